@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 import tempfile
 import uuid
 
@@ -88,9 +89,15 @@ def byte_ranks(path: str):
     return tiktoken.Encoding("ranks", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={})
 
 
+_L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+_LATIN = re.compile("[\0-\u024f]*")
+_LATIN_PRE_TOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+
+
 def pre_tokens():
-    """text -> its pre-tokens, which joined give the text."""
-    return regex.compile(PRE_TOKEN).findall
+    """text -> its pre-tokens, which joined give the text. Texts of Latin characters take the same pattern spelt out, which is faster."""
+    latin, quick, other = _LATIN.fullmatch, _LATIN_PRE_TOKEN.findall, regex.compile(PRE_TOKEN).findall
+    return lambda text: quick(text) if latin(text) else other(text)
 
 
 def slices(texts: list, most_chars: int = 24_000_000):

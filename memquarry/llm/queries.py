@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memquarry.llm import langid, mixture, ngram_join, piece_codec, pii, token_counts
+from memquarry.llm import compress_bands, langid, license_scan, mixture, ngram_join, paragraph_sketch, piece_codec, pii, repair, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,18 +27,57 @@ def op4_sentencepiece(spark, sf_dir):
     return piece_codec.encode(_documents(spark, sf_dir))
 
 
+def op5_compression(spark, sf_dir):
+    return compress_bands.rated(_documents(spark, sf_dir))
+
+
+def op6_version_differences(spark, sf_dir):
+    return paragraph_sketch.version_differences(_documents(spark, sf_dir))
+
+
+def op7_repair_shards(spark, sf_dir):
+    return repair.shards(_documents(spark, sf_dir))
+
+
 def op8_ngram_jaccard(spark, sf_dir):
     return ngram_join.ngram_pairs(_documents(spark, sf_dir))
 
 
+def op9_license_notices(spark, sf_dir):
+    return license_scan.notices(_documents(spark, sf_dir))
+
+
 def op10_language(spark, sf_dir):
     docs = _documents(spark, sf_dir)
     return langid.identify(docs, langid.fit(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_mixture, op3_token_counts, op4_sentencepiece, op8_ngram_jaccard, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_mixture, op3_token_counts, op4_sentencepiece, op5_compression, op6_version_differences, op7_repair_shards, op8_ngram_jaccard, op9_license_notices, op10_language)}
 
 ORACLE_SQL = {
+    "op6_version_differences": """
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+), digests AS (
+  SELECT DISTINCT doc_id, substr(md5(trim(line)), 1, 15) AS h FROM lines WHERE trim(line) <> ''
+), anchors AS (
+  SELECT doc_id, min(h) AS anchor FROM digests GROUP BY doc_id
+), bases AS (
+  SELECT anchor, min(doc_id) AS doc_a FROM anchors GROUP BY anchor
+), versions AS (
+  SELECT doc_a, doc_id AS doc_b FROM anchors JOIN bases USING (anchor) WHERE doc_id <> doc_a
+), a AS (
+  SELECT doc_a, doc_b, h FROM versions JOIN digests ON doc_id = doc_a
+), b AS (
+  SELECT doc_a, doc_b, h FROM versions JOIN digests ON doc_id = doc_b
+), only_a AS (
+  SELECT doc_a, doc_b, count(*) AS n, string_agg(h, ',' ORDER BY h) AS hs FROM (SELECT * FROM a EXCEPT SELECT * FROM b) GROUP BY ALL
+), only_b AS (
+  SELECT doc_a, doc_b, count(*) AS n, string_agg(h, ',' ORDER BY h) AS hs FROM (SELECT * FROM b EXCEPT SELECT * FROM a) GROUP BY ALL
+)
+SELECT v.doc_a, v.doc_b, coalesce(x.n, 0) AS n_only_a, coalesce(y.n, 0) AS n_only_b, coalesce(x.hs, '') AS only_a, coalesce(y.hs, '') AS only_b
+FROM versions v LEFT JOIN only_a x ON v.doc_a = x.doc_a AND v.doc_b = x.doc_b LEFT JOIN only_b y ON v.doc_a = y.doc_a AND v.doc_b = y.doc_b
+""",
     "op8_ngram_jaccard": r"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL

@@ -8,6 +8,8 @@ where the documents are read; the frequencies of the others are joined to the ta
 from __future__ import annotations
 
 import gc
+import itertools
+import re
 from collections import Counter
 
 import numpy as np
@@ -15,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memquarry.llm.common import TOKENIZER_DIR, BoundedCache, byte_ranks, mapped, pre_tokens, slices, written
+from memquarry.llm.common import TOKENIZER_DIR, byte_ranks, gathered, mapped, pre_tokens, slices, written
 
 RANKS = f"{TOKENIZER_DIR}/byte_bpe_50k.tiktoken"
 HEAD = 400_000
 
+_UNEVEN = re.compile(r"[ \n]\s|\s[ \n]")  # white space beside a space or line feed; a NUL, too, would look like the mark of a text's start
+_OTHER_SPACE = re.compile(r"[^\S \n]")
 _ENCODINGS: dict = {}
 
 
@@ -29,19 +33,70 @@ def encoding(path: str):
     return _ENCODINGS[path]
 
 
-def piece_counter(path: str = RANKS, most: int = 400_000) -> BoundedCache:
-    """A dict from pre-token to its number of pieces, filled in as asked."""
-    single = encoding(path).encode_ordinary
-    return BoundedCache(lambda pre: len(single(pre)), most)
+def _uneven(t: str) -> bool:
+    if "  " in t or "\n " in t or " \n" in t or "\n\n" in t or "\0" in t or t[0].isspace() or t[-1].isspace():
+        return True
+    return bool(_OTHER_SPACE.search(t)) and bool(_UNEVEN.search(t))
 
 
-def text_counts(texts: list, counter: BoundedCache, split) -> list:
-    """The exact number of tokens of each text; None for a null one."""
-    out = []
+def parts_of(texts: list, known) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """ids, starts and sizes of the distinct parts of the texts, and by text the parts it consists of: their numbers, and how many.
+
+    Where a text's spaces and line feeds stand alone, each between two characters that are no white space, a pre-token begins at each. Such a text is cut there; the distinct parts of all texts
+    are encoded at once, one a line, and told apart by the line feed's id. Any other text is a part of its own.
+    """
+    (feed,) = known.encode_ordinary("\n")
+    parts, whole = [], []
     for t in texts:
-        out.append(None if t is None else sum(map(counter.__getitem__, split(t))))
-        counter.trim()
-    return out
+        if not t:
+            parts.append([])
+        elif _uneven(t):
+            parts.append([None])
+            whole.append(t)
+        else:
+            parts.append(("\0" + t).replace("\n", " \n").split(" "))
+    distinct = set(itertools.chain.from_iterable(parts))
+    distinct.discard(None)
+    distinct = list(distinct)
+    lines = "\n".join([p[1:] if p[0] in "\0\n" else " " + p for p in distinct])
+    pool = np.append(np.array(known.encode_ordinary(lines), np.int32), np.int32(feed))
+    ends = np.flatnonzero(pool == feed)[: len(distinct)]
+    starts = np.concatenate(([0], ends[:-1] + 1)) if len(distinct) else ends
+    # a part that begins a line has the feed in front: that of the line before, or the last one of the pool
+    place = dict(zip(distinct, range(len(distinct))))
+    fed = np.fromiter((p[0] == "\n" for p in distinct), bool, len(distinct))
+    if len(fed) and fed[0]:
+        pool, starts, ends = np.concatenate(([np.int32(feed)], pool)), starts + 1, ends + 1
+    starts = starts - fed
+    sizes = ends - starts
+    lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+    place[None] = -1
+    at = np.fromiter(map(place.__getitem__, itertools.chain.from_iterable(parts)), np.int64, int(lengths.sum()))
+    if whole:
+        more = [np.array(known.encode_ordinary(t), np.int32) for t in whole]
+        at[at < 0] = len(sizes) + np.arange(len(whole))
+        own = np.fromiter(map(len, more), np.int64, len(more))
+        starts = np.concatenate((starts, len(pool) + np.cumsum(own) - own))
+        sizes = np.concatenate((sizes, own))
+        pool = np.concatenate((pool, *more))
+    return pool, starts, sizes, at, lengths
+
+
+def _by_text(per_part: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    sums, edges = np.concatenate(([0], np.cumsum(per_part))), np.concatenate(([0], np.cumsum(lengths)))
+    return sums[edges[1:]] - sums[edges[:-1]]
+
+
+def encoded(texts: list, known) -> tuple[np.ndarray, np.ndarray]:
+    """All token ids of the texts, and how many each has; none for a null or empty one."""
+    pool, starts, sizes, at, lengths = parts_of(texts, known)
+    return gathered(pool, starts[at], sizes[at]), _by_text(sizes[at], lengths)
+
+
+def text_counts(texts: list, known) -> list:
+    """The exact number of tokens of each text; None for a null one."""
+    _, _, sizes, at, lengths = parts_of(texts, known)
+    return [None if t is None else n for t, n in zip(texts, _by_text(sizes[at], lengths).tolist())]
 
 
 def with_counts(docs: DataFrame, columns: list[str], text: str = "text", path: str = RANKS, name: str = "n_tokens") -> DataFrame:
@@ -49,10 +104,10 @@ def with_counts(docs: DataFrame, columns: list[str], text: str = "text", path: s
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
 
     def run(batches):
-        counter, split = piece_counter(path), pre_tokens()
         gc.disable()
         for b in batches:
-            counts = pa.array(text_counts(b.column(len(columns)).to_pylist(), counter, split), pa.int64())
+            texts = b.column(len(columns)).to_pylist()
+            counts = pa.array([n for i, j in slices(texts) for n in text_counts(texts[i:j], encoding(path))], pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], counts], names=[*columns, name])
 
     return mapped(docs.select(*[F.col(f"`{c}`") for c in columns], F.col(text).alias("__text")), run, f"{fields}, {name} long")
