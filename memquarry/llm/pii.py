@@ -66,7 +66,7 @@ def _secret(m: str) -> float:
 KINDS = {
     "email": ("@", re.compile(r"(?<![\w.+-])[\w][\w.+-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,62})\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"), lambda m: 0.9, ("mail", "contact"), ()),
     "iban": ("0", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), lambda m: 0.85 if mod97(m.replace(" ", "")) else 0.0, ("iban", "account", "konto", "compte", "cuenta", "bank"), ()),
-    "card": ("0", re.compile(r"(?<![\d.])(?<!\d[ -])\d(?:[ -]?\d){12,18}(?![ -]?\d)"), _card, ("card", "visa", "mastercard", "credit", "karte", "carte", "tarjeta"), ("order", "isbn", "serial", "tracking")),
+    "card": ("0", re.compile(r"(?<![\d.])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{4,5})(?!\d)"), _card, ("card", "visa", "mastercard", "credit", "karte", "carte", "tarjeta"), ("order", "isbn", "serial", "tracking")),
     "ssn": ("0", re.compile(r"(?<![\d-])\d{3}([- ])\d{2}\1\d{4}(?![\d-])"), _ssn, ("ssn", "social", "security"), ("part", "order", "serial")),
     "phone": ("0", re.compile(r"(?<![\w+.-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{2,4}\) ?\d{3,4}[ .-]\d{3,4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-]|\.\d)"), _phone, ("phone", "tel", "call", "mobile", "fax", "telefon"), ("order", "isbn", "serial", "version")),
     "ip": ("0", re.compile(r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w-]|\.\d)"), _ip, ("ip", "host", "server", "address", "login"), ("version", "release", "section", "chapter")),
