@@ -5,7 +5,7 @@ groups of the smaller count, so points whose sum is below threshold / (1 + thres
 applies that bound to whole nodes (with the nodes' largest counts and least sizes) and then to points; what survives is verified on the sets.
 
 One tree over a whole corpus prunes little near its root, since most texts of one length have much the same counts, and can't be spread
-over executors. So documents are first brought together by bands of min-hashes, 40 bands of 3, which lose a pair at 0.5 with probability 0.005,
+over executors. So documents are first brought together by 40 bands of min-hashes, at a threshold of 0.5 of 3 each, which lose a pair at 0.5 with probability 0.005,
 at 0.6 with 0.0001; every set of documents that shares a band gets its own tree, large sets in blocks of 256. No set and no partner list is capped.
 """
 
@@ -22,12 +22,12 @@ from pyspark.sql import functions as F
 from memquarry.llm.common import mapped, mix64, token_hashes, written
 
 GROUPS = 64
-BANDS, ROWS = 40, 3
+BANDS, MOST_ROWS, MISS = 40, 8, 0.01
 BLOCK, LEAF = 256, 16
 BROADCAST_IDS = 1_000_000
 WORD = re.compile(r"\w+")
 
-_SEEDS = np.random.default_rng(20240613).integers(1, 1 << 32, size=(2, BANDS * ROWS), dtype=np.uint32)
+_SEEDS = np.random.default_rng(20240613).integers(1, 1 << 32, size=(2, BANDS * MOST_ROWS), dtype=np.uint32)
 _MULTIPLY, _ADD = _SEEDS[0] | np.uint32(1), _SEEDS[1]
 
 
@@ -44,15 +44,21 @@ def gram_set(text: str | None, n: int, ids) -> np.ndarray:
     return np.unique(out)
 
 
-def band_keys(grams: np.ndarray) -> np.ndarray:
+def band_rows(threshold: float) -> int:
+    """The most min-hashes a band for which a pair at the threshold is lost with a probability of at most MISS."""
+    return max([r for r in range(1, MOST_ROWS + 1) if (1 - threshold**r) ** BANDS <= MISS], default=1)
+
+
+def band_keys(grams: np.ndarray, rows: int) -> np.ndarray:
     """A 64-bit key per band from the least of the grams' permuted hashes."""
     low = (grams >> np.uint64(32)).astype(np.uint32)
-    least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    least = np.full(BANDS * rows, 0xFFFFFFFF, np.uint32)
+    multiply, add = _MULTIPLY[: BANDS * rows], _ADD[: BANDS * rows]
     for i in range(0, len(low), 1024):
-        np.minimum(least, (low[i : i + 1024, None] * _MULTIPLY + _ADD).min(axis=0), out=least)
-    wide = least.reshape(BANDS, ROWS).astype(np.uint64)
+        np.minimum(least, (low[i : i + 1024, None] * multiply + add).min(axis=0), out=least)
+    wide = least.reshape(BANDS, rows).astype(np.uint64)
     key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for i in range(ROWS):
+    for i in range(rows):
         key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + wide[:, i])
     return key.view(np.int64)
 
@@ -113,7 +119,7 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(both) - common)
 
 
-def _fingerprints(n: int):
+def _fingerprints(n: int, rows: int):
     def run(batches):
         ids = token_hashes()
         for b in batches:
@@ -123,7 +129,7 @@ def _fingerprints(n: int):
                 if len(g):
                     keep.append(i)
                     marks.append(_mark(g))
-                    keys.append(band_keys(g))
+                    keys.append(band_keys(g, rows))
             ids.trim()
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pa.array(keep, pa.int64())), pa.array(marks, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
@@ -137,13 +143,13 @@ def _mark(grams: np.ndarray) -> bytes:
     return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
 
 
-def _sets(n: int):
+def _sets(n: int, rows: int):
     def run(batches):
         ids = token_hashes()
         for b in batches:
             sets = [gram_set(t, n, ids) for t in b.column(1).to_pylist()]
             ids.trim()
-            columns = [[_mark(s) for s in sets], [band_keys(s).tobytes() for s in sets], [s.tobytes() for s in sets]]
+            columns = [[_mark(s) for s in sets], [band_keys(s, rows).tobytes() for s in sets], [s.tobytes() for s in sets]]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.binary()) for c in columns)], names=["rep", "mark", "keys", "grams"])
 
     return run
@@ -211,7 +217,7 @@ def ngram_pairs(docs: DataFrame, n: int = 3, threshold: float = 0.5, doc_id: str
     """
     kind = docs.schema[doc_id].dataType.simpleString()
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    prints = mapped(texts, _fingerprints(n), f"doc_id {kind}, mark binary, keys array<long>").groupBy("mark").agg(F.collect_set("doc_id").alias("members"), F.min("doc_id").cast("long").alias("rep"), F.first("keys").alias("keys"))
+    prints = mapped(texts, _fingerprints(n, band_rows(threshold)), f"doc_id {kind}, mark binary, keys array<long>").groupBy("mark").agg(F.collect_set("doc_id").alias("members"), F.min("doc_id").cast("long").alias("rep"), F.first("keys").alias("keys"))
     prints = written(prints, "ngram-prints")
     together = (
         prints.select("rep", "mark", F.posexplode("keys").alias("band", "key"))
@@ -229,7 +235,7 @@ def ngram_pairs(docs: DataFrame, n: int = 3, threshold: float = 0.5, doc_id: str
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted.hint("shuffle_hash")
     again = texts.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep", "left_semi")
     # an id may come with several texts; the mark tells which is meant
-    grams = mapped(again, _sets(n), "rep long, mark binary, keys binary, grams binary").dropDuplicates(["rep", "mark"])
+    grams = mapped(again, _sets(n, band_rows(threshold)), "rep long, mark binary, keys binary, grams binary").dropDuplicates(["rep", "mark"])
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     blocks = (
         members.select("*", other)

@@ -222,7 +222,7 @@ def pieces(path: str = MODEL) -> Pieces:
 def words_of(text: str) -> list[str]:
     """The words of a text without their first space mark; one that starts with a line feed has no mark."""
     text = text.replace(MARK, " ")
-    if "  " in text:
+    if "  " in text or text[:1] == " ":  # a leading space meets the mark in front
         return [w if w[0] == "\n" else w[1:] for w in _RUNS.findall(" " + text)]
     return text.replace("\n", " \n").split(" ")
 
@@ -233,9 +233,7 @@ def encode_texts(model: Pieces, texts: list) -> tuple[np.ndarray, np.ndarray, li
     Decoding goes word by word: no character's bytes lie in two words, so a text is restored where all its words are."""
     split = [words_of(t) if t else [] for t in texts]
     words = list(set().union(*split))
-    marked = [MARK + w if w[:1] != "\n" else w for w in words]
-    if any("  " in t for t in texts if t):
-        marked = [m.replace(" ", MARK) for m in marked]
+    marked = [MARK + w.replace(" ", MARK) if w[:1] != "\n" else w for w in words]
     order = sorted(range(len(words)), key=marked.__getitem__)
     sizes, pool, place = np.empty(len(words), np.int64), [], {}
     good = np.empty(len(words), bool)

@@ -1,0 +1,54 @@
+from memquarry.llm import pii
+
+CARD, IBAN = "4539 1488 0343 6467", "DE89 3704 0044 0532 0130 00"
+
+
+def kinds(text):
+    return [(text[a:b], k) for a, b, k, _ in pii.spans(text)]
+
+
+def test_validators():
+    assert pii.luhn("4539148803436467") and not pii.luhn("4539148803436468") and not pii.luhn("0" * 16)
+    assert pii.mod97("DE89370400440532013000") and not pii.mod97("DE89370400440532013001") and not pii.mod97("DE8937040044053201300")
+
+
+def test_kinds():
+    assert kinds(f"pay {CARD} or {IBAN}.") == [(CARD, "card"), (IBAN, "iban")]
+    assert kinds("4539148803436467 4539148803436467") == [("4539148803436467", "card")] * 2
+    assert kinds("4539148803436468") == [] and kinds("DE89 3704 0044 0532 0130 01") == []
+    assert kinds("write to a.b+c@mail7.example.com, or und.34@x.org") == [("a.b+c@mail7.example.com", "email"), ("und.34@x.org", "email")]
+    assert kinds("+1 (017) 555-7713 and (555) 123-4567") == [("+1 (017) 555-7713", "phone"), ("(555) 123-4567", "phone")]
+    assert kinds("from 97.51.17.173 not 300.1.1.1") == [("97.51.17.173", "ip")]
+    assert kinds("SSN 219-09-9999, not 000-12-3456") == [("219-09-9999", "ssn")]
+    assert kinds('token = "9233a8ecf7c5b09fe5949719b6b82bc439e9329b"') == [('token = "9233a8ecf7c5b09fe5949719b6b82bc439e9329b"', "secret")]
+    assert kinds("version 3, in 2024, 50,000 of 1.5 and 12:30") == []
+
+
+def test_context_moves_the_score():
+    assert kinds("release 1.2.3.4 of it") == [] and kinds("host 1.2.3.4 of it") == [("1.2.3.4", "ip")]
+    assert pii.spans(f"my visa card {CARD}")[0][3] > pii.spans(f"the number {CARD}")[0][3]
+
+
+def test_redaction_is_complete_and_overlaps_do_no_harm():
+    text = f"a@b.org {CARD} token = \"a1b2c3d4e5f6a7b8\" 10.0.0.1!"
+    out = pii.redact(text)
+    assert out == "[EMAIL] [CARD] [SECRET] [IP]!" and pii.spans(out) == []
+
+
+def test_odd_tables(odd, table):
+    assert pii.find(odd).collect() == []
+    assert pii.find(table([])).collect() == []
+    docs = table([(1, "a@b.org", "en", "s"), (1, "a@b.org", "en", "s"), (None, "a@b.org"), (2, None), (3, "clean")])
+    assert sorted((r["doc_id"] or 0, r["kind"], r["span_start"], r["span_end"]) for r in pii.find(docs).collect()) == [(0, "email", 0, 7), (1, "email", 0, 7), (1, "email", 0, 7)]
+    new = pii.redacted(docs)
+    assert new.columns == docs.columns and new.schema == docs.schema
+    assert sorted((r["text"] or "", r["n_chars"] or -1) for r in new.collect()) == [("", -1), ("[EMAIL]", 7), ("[EMAIL]", 7), ("[EMAIL]", 7), ("clean", 5)]
+    assert pii.redacted(odd).count() == odd.count()
+
+
+def test_query_is_the_scan_of_every_text(spark, data):
+    from memquarry.llm.queries import op1_pii
+
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()
+    want = sorted((d["doc_id"], k, a, b) for d in docs for a, b, k, _ in pii.spans(d["text"]))
+    assert sorted((r["doc_id"], r["kind"], r["span_start"], r["span_end"]) for r in op1_pii(spark, data).collect()) == want and want
