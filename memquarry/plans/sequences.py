@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -441,8 +439,7 @@ def _stream(name: str, table: str, make, sql: str | None, mode: str = "append")
     def run(spark, sf_dir):
         path = f"{sf_dir}/{table}.parquet"
         schema = spark.read.parquet(path).schema
-        shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="memquarry-stream-")
-        return trackers.drained(make(trackers.events_stream(spark, path, schema)), shared, mode)
+        return trackers.drained(make(trackers.events_stream(spark, path, schema)), mode)
 
     QUERIES[name] = run
     if sql:

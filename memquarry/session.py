@@ -38,3 +38,27 @@ def ship(spark: SparkSession) -> None:
             z.write(source, source.relative_to(root.parent))
     context.addPyFile(str(path))
     context._memquarry_shipped = True
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which every executor sees. Where it is unset, as in local tests, a folder of this machine is set; on a cluster that is refused."""
+    import tempfile
+
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or context._jsc.sc().getCheckpointDir().getOrElse(None)
+    if not base:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="memquarry-")
+        context.setCheckpointDir(base)
+    return str(base)
+
+
+def passing_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that is removed when the driver ends."""
+    import uuid
+
+    path = f"{shared_folder(spark)}/memquarry/{name}-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path

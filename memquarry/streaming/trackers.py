@@ -5,7 +5,6 @@ State is keyed by user, label or session, so it spreads over executors; a group'
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from memquarry.session import ship
+from memquarry.session import passing_path, ship
 
 
 def events_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1000) -> DataFrame:
@@ -22,9 +21,9 @@ def events_stream(spark: SparkSession, path: str, schema, files_per_batch: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def drained(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
-    """What a stream gives for all that is there now, as a table under a folder of the shared file system."""
-    out = f"{folder}/stream-{uuid.uuid4().hex}"
+def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """What a stream gives for all that is there now, as a table in the shared folder."""
+    out = passing_path(stream.sparkSession, "stream")
     if mode == "append":
         q = stream.writeStream.format("parquet").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start(f"{out}/rows")
     else:
