@@ -5,35 +5,19 @@ from __future__ import annotations
 import base64
 import os
 import re
-import tempfile
-import uuid
 
 import numpy as np
 import regex
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-from memquarry.session import ship
+from memquarry.session import passing_path, ship
 
 TOKENIZER_DIR = os.environ.get("MEMQUARRY_TOKENIZERS", "/opt/tokenizers")
 
 #: Splits a text into the pre-tokens that the byte-level vocabularies merge within.
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-MASK64 = (1 << 64) - 1
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which every executor sees. Where it is unset, as in local tests, a folder of this machine is set."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="memquarry-")
-        spark.sparkContext.setCheckpointDir(base)
-    return str(base)
-
-
 def mapped(df: DataFrame, make, schema) -> DataFrame:
     """df.mapInArrow by functions of this package, which the workers are given."""
     ship(df.sparkSession)
@@ -42,13 +26,9 @@ def mapped(df: DataFrame, make, schema) -> DataFrame:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, without lineage, readable after the loss of executors. The table goes when the driver ends."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/memquarry/{name}-{uuid.uuid4().hex}"
+    path = passing_path(df.sparkSession, name)
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
