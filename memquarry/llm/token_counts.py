@@ -14,7 +14,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memquarry.llm.common import TOKENIZER_DIR, byte_ranks, gathered, mapped, pre_tokens, slices, written
@@ -150,7 +150,10 @@ def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pa
     spark, kind = docs.sparkSession, docs.schema[doc_id].dataType.simpleString()
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     table = written(distinct_pre_tokens(texts, "text", path), "pre-tokens")
-    top = table.orderBy(F.desc("n"), "pre").limit(head).select("pre", "pieces").toArrow()
+    # the head is all pre-tokens of at least the frequency that keeps it within bounds; frequencies' histogram is short, a sort of the table isn't needed
+    above = table.groupBy("n").count().withColumn("upto", F.sum("count").over(Window.orderBy(F.desc("n"))))
+    bar = above.where(F.col("upto") <= head).agg(F.min("n")).first()[0]
+    top = table.where(F.col("n") >= (bar if bar is not None else (1 << 62))).select("pre", "pieces").toArrow()
     known = spark.sparkContext.broadcast(dict(zip(top.column("pre").to_pylist(), top.column("pieces").to_pylist())))  # at most `head` entries
 
     def frequencies(batches):
