@@ -13,7 +13,8 @@ W = "WITH " + LOG_SQL
 
 def _cql(name: str, statement: str, sql: str) -> None:
     def f(t):
-        return cql.execute(log_rows(t("events")), statement)
+        out = cql.execute(log_rows(t("events")), statement)
+        return out.select(F.round("value", 6).alias("value")) if " avg(" in statement else out
 
     f.__name__ = name
     query(W + " " + sql)(f)
@@ -22,7 +23,7 @@ def _cql(name: str, statement: str, sql: str) -> None:
 _cql("cql_lines_like", "SELECT lines WHERE text LIKE '%PURCHASE%'", "SELECT line_no, text FROM log WHERE text ILIKE '%PURCHASE%'")
 _cql("cql_not_like", "SELECT lines WHERE NOT text LIKE 'event v%'", "SELECT line_no, text FROM log WHERE NOT text ILIKE 'event v%'")
 _cql("cql_count", "SELECT count() WHERE slot[0] = 'error'", "SELECT count(*) AS value FROM log WHERE event_type = 'error'")
-_cql("cql_avg", "SELECT avg(slot[2]) WHERE slot[0] = 'view'", "SELECT avg(CAST(value AS DOUBLE)) AS value FROM log WHERE event_type = 'view'")
+_cql("cql_avg", "SELECT avg(slot[2]) WHERE slot[0] = 'view'", "SELECT round(avg(CAST(value AS DOUBLE)), 6) AS value FROM log WHERE event_type = 'view'")
 _cql("cql_min", "SELECT min(slot[2])", "SELECT min(CAST(value AS DOUBLE)) AS value FROM log")
 _cql("cql_max", "SELECT max(slot[2]) WHERE template LIKE 'event%'", "SELECT max(CAST(value AS DOUBLE)) AS value FROM log")
 _cql("cql_avg_not_numeric", "SELECT avg(slot[0])", "SELECT CAST(NULL AS DOUBLE) AS value")
@@ -42,7 +43,7 @@ def _events(t):
     return logs.match_templates(log_rows(t("events")).select("line_no", F.col("text").alias("line")), TEMPLATES)
 
 
-_EVENT = "CASE event_type WHEN 'purchase' THEN 1 WHEN 'error' THEN 2 ELSE 3 END"
+_EVENT = "CAST(CASE event_type WHEN 'purchase' THEN 1 WHEN 'error' THEN 2 ELSE 3 END AS BIGINT)"
 
 
 @query(W + f" SELECT line_no, {_EVENT} AS event_id, CASE WHEN event_type IN ('purchase', 'error') THEN user_id || '|' || value ELSE event_type || '|' || user_id || '|' || value END AS params FROM log")
@@ -173,7 +174,7 @@ def template_mining(t):
     return logs.mine_templates(rows)
 
 
-@query("SELECT 5 AS templates, 10 AS slots, count(*) AS lines, round(count(*) / 5, 6) AS reuse, 6.0 AS cost FROM events")
+@query("SELECT CAST(5 AS BIGINT) AS templates, CAST(10 AS BIGINT) AS slots, count(*) AS lines, round(count(*) / 5, 6) AS reuse, CAST(6 AS DOUBLE) AS cost FROM events")
 def template_stats(t):
     rows = t("events").select(F.concat("event_type", F.lit(" happened to "), F.col("user_id").cast("string"), F.lit(" with "), "props").alias("line"))
     return logs.template_stats(logs.mine_templates(rows))

@@ -317,12 +317,12 @@ def witnesses(t):
     return t("orders").select("o_orderkey", F.array_join(T.witnesses(text), "\n").alias("witnesses"), T.residual(text).alias("residual"))
 
 
-@query("WITH " + _LINES + ", c AS (SELECT doc_id, line, count(*) AS n FROM ch GROUP BY 1, 2), s AS (SELECT doc_id, max(n) / sum(n) AS share FROM c GROUP BY 1) SELECT d.doc_id, CASE WHEN trim(text) = '' THEN 0 WHEN strlen(text) < 100 THEN 3 WHEN share > 0.8 THEN 0 ELSE 3 END AS tier FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id")
+@query("WITH " + _LINES + ", c AS (SELECT doc_id, line, count(*) AS n FROM ch GROUP BY 1, 2), s AS (SELECT doc_id, max(n) / sum(n) AS share FROM c GROUP BY 1) SELECT d.doc_id, CAST(CASE WHEN trim(text) = '' THEN 0 WHEN strlen(text) < 100 THEN 3 WHEN share > 0.8 THEN 0 ELSE 3 END AS BIGINT) AS tier FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id")
 def tier_select(t):
     return slots.auto_tier(t("documents"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size < 10 THEN 0.95 WHEN p_size < 20 THEN 0.70 ELSE 0.0 END AS confidence FROM part")
+@query("SELECT p_partkey, CAST(CASE WHEN p_size < 10 THEN 0.95 WHEN p_size < 20 THEN 0.70 ELSE 0.0 END AS DOUBLE) AS confidence FROM part")
 def tier_confidence(t):
     tier = F.when(F.col("p_size") < 10, 3).when(F.col("p_size") < 20, 0).otherwise(1)
     return t("part").select("p_partkey", T.confidence(tier).alias("confidence"))
@@ -450,5 +450,5 @@ _BY_ID = _GRAMS.replace("ORDER BY ts, event_id", "ORDER BY event_id")
 _stream("stream_motif_tracker", "events", trackers.motif_tracker, "WITH " + _BY_ID.replace("row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS start", "event_id AS e, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS start") + ", s AS (SELECT user_id, start + n - 1 AS place, n, row_number() OVER (PARTITION BY user_id, motif ORDER BY start) AS times FROM g) SELECT s.user_id AS key, e AS at, CAST(max(n) AS INTEGER) AS longest FROM s JOIN o ON o.user_id = s.user_id AND o.start = s.place WHERE times >= 2 GROUP BY 1, 2")
 _stream("stream_ratio_monitor", "events", trackers.ratio_monitor, "WITH " + _Z.replace("ORDER BY ts, event_id", "ORDER BY event_id") + " SELECT user_id AS key, event_id AS at, z FROM zz WHERE z IS NOT NULL")
 _stream("stream_chunks", "conversations", trackers.chunk_stream, None)
-_stream("stream_windows", "events", trackers.windowed_counts, "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2", "complete")
+_stream("stream_windows", "events", lambda s: trackers.windowed_counts(s).withColumn("total", F.round("total", 4)), "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2", "complete")
 _stream("stream_agents", "events", lambda s: trackers.merged_agents({"a": s.where("user_id % 2 = 0"), "b": s.where("user_id % 2 = 1")}).select("event_id", "agent"), "SELECT event_id, CASE WHEN user_id % 2 = 0 THEN 'a' ELSE 'b' END AS agent FROM events")
