@@ -111,7 +111,7 @@ def document_frequencies(docs: DataFrame, text: str = "text", dims: int = 1 << 1
     return df, int(rows.df[~inside].sum())
 
 
-def fit(docs: DataFrame, text: str = "text", label: str = "lang", sample_per_lang: int = 300, clusters: int = 4, dims: int = 1 << 15, slack: float = 0.6, seed: int = 7) -> Model:
+def fit(docs: DataFrame, text: str = "text", label: str = "lang", sample_per_lang: int = 300, clusters: int = 4, dims: int = 1 << 15, slack: float = 0.45, seed: int = 7) -> Model:
     """Fits centroids on at most `sample_per_lang` labelled documents of each language, those with the least seeded hash of their text.
 
     A band's limit is `slack` times the 1 % quantile of the sample's cosines there; a band with fewer than 20 samples takes half of the

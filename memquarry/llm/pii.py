@@ -1,7 +1,7 @@
 """Personal data: regular expressions propose spans, validators confirm them, and words nearby adjust the score.
 
-Kinds: email, phone, ssn, ip, card (13 to 19 digits, Luhn), iban (country length and mod 97), secret (a key, token or password that is assigned).
-A span counts where its score reaches `threshold`; of overlapping spans the one of the largest score stays, then the longest, then the first.
+Kinds: email, phone, ssn, ip, card (13 to 19 digits, Luhn), iban (country length and mod 97), secret (a key, token or password that is assigned), key (access keys of known forms).
+Words within 48 characters on either side raise a score; words in the 16 characters before lower it. A span counts where its score reaches `threshold`; of overlapping spans the one of the largest score stays, then the longest, then the first.
 """
 
 from __future__ import annotations
@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from memquarry.llm.common import mapped
 
-THRESHOLD, NEAR = 0.5, 48
+THRESHOLD, NEAR, BEFORE = 0.5, 48, 16
 #: What a text must hold for any kind to be proposed; tested in the JVM, so that other texts never reach Python.
-TRIGGER = r"[0-9@=:]"
+TRIGGER = r"[0-9@=:]|AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk-"
 
 _IBAN_LENGTH = dict(x.split("=") for x in (
     "AD=24 AE=23 AL=28 AT=20 AZ=28 BA=20 BE=16 BG=22 BH=22 BR=29 CH=21 CR=22 CY=28 CZ=24 DE=22 DK=18 DO=28 EE=20 EG=29 ES=24 FI=18 FO=18 FR=27 GB=22 GE=22 GI=23 GL=18 GR=27 GT=28 HR=21 HU=28 "
@@ -53,7 +53,7 @@ def _ssn(m: str) -> float:
 
 def _phone(m: str) -> float:
     n = len(re.sub(r"\D", "", m))
-    return 0.0 if not 7 <= n <= 15 else 0.65 if m[0] == "+" else 0.55
+    return 0.0 if not 7 <= n <= 15 else 0.75 if m[0] == "+" else 0.55
 
 
 def _secret(m: str) -> float:
@@ -71,7 +71,9 @@ KINDS = {
     "phone": ("0", re.compile(r"(?<![\w+.-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{2,4}\) ?\d{3,4}[ .-]\d{3,4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-]|\.\d)"), _phone, ("phone", "tel", "call", "mobile", "fax", "telefon"), ("order", "isbn", "serial", "version")),
     "ip": ("0", re.compile(r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w-]|\.\d)"), _ip, ("ip", "host", "server", "address", "login"), ("version", "release", "section", "chapter")),
     "secret": ("=", re.compile(r"(?i)(?<![a-z0-9])(?:api[_-]?key|access[_-]?key|secret(?:[_-]?key)?|auth[_-]?token|token|passw(?:or)?d|pwd)[\"']? ?[:=] ?(?:\"[^\"\s]{6,256}\"|'[^'\s]{6,256}'|[A-Za-z0-9_+/.=-]{8,256})"), _secret, ("key", "token", "password", "credential"), ("example",)),
+    "key": ("A", re.compile(r"(?<![A-Za-z0-9])(?:A[KS]IA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,72}|sk-[A-Za-z0-9]{20,64})(?![A-Za-z0-9])"), lambda m: 0.85, ("key", "token", "secret"), ()),
 }
+_KEYS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk-")
 _DIGIT = re.compile(r"\d")
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -80,7 +82,7 @@ def spans(text: str | None, threshold: float = THRESHOLD) -> list[tuple[int, int
     """(start, end, kind, score) of what a text holds, in order, without overlaps; none in a null or empty text."""
     if not text:
         return []
-    has = {"@": "@" in text, "0": bool(_DIGIT.search(text)), "=": "=" in text or ":" in text}
+    has = {"@": "@" in text, "0": bool(_DIGIT.search(text)), "=": "=" in text or ":" in text, "A": any(k in text for k in _KEYS)}
     found = []
     for kind, (need, pattern, rate, more, less) in KINDS.items():
         if not has[need]:
@@ -88,7 +90,8 @@ def spans(text: str | None, threshold: float = THRESHOLD) -> list[tuple[int, int
         for m in pattern.finditer(text):
             if score := rate(m.group()):
                 near = set(_WORDS.findall((text[max(0, m.start() - NEAR) : m.start()] + " " + text[m.end() : m.end() + NEAR]).lower()))
-                score += 0.2 * any(w in near for w in more) - 0.2 * any(w in near for w in less)
+                before = set(_WORDS.findall(text[max(0, m.start() - BEFORE) : m.start()].lower()))
+                score += 0.2 * any(w in near for w in more) - 0.2 * any(w in before for w in less)
                 if score >= threshold - 1e-9:
                     found.append((m.start(), m.end(), kind, round(min(score, 1.0), 2)))
     out: list = []
