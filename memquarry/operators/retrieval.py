@@ -39,11 +39,9 @@ def bm25(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text", k
     terms = query_terms(query)
     if not terms:
         return docs.select(F.col(key), F.lit(0.0).alias("score")).limit(0)
-    w = words(F.col(text))
-    counted = docs.select(
-        F.col(key), (keep if keep is not None else F.lit(True)).alias("__keep"), F.size(w).cast("double").alias("__dl"),
-        *[F.size(F.filter(w, _equals(t))).cast("double").alias(f"__t{i}") for i, t in enumerate(terms)],
-    )
+    # two projections: the tokens are made once and read for each term
+    tokens = docs.select(F.col(key), (keep if keep is not None else F.lit(True)).alias("__keep"), words(F.col(text)).alias("__w"))
+    counted = tokens.select(key, "__keep", F.size("__w").cast("double").alias("__dl"), *[F.size(F.filter("__w", _equals(t))).cast("double").alias(f"__t{i}") for i, t in enumerate(terms)])
     stats = counted.agg(F.count(F.lit(1)).cast("double").alias("__n"), F.avg("__dl").alias("__avg"), *[F.sum((F.col(f"__t{i}") > 0).cast("double")).alias(f"__df{i}") for i in range(len(terms))])
     matching = counted.where(reduce(lambda a, b: a & b, [F.col(f"__t{i}") > 0 for i in range(len(terms))]) & F.col("__keep"))
     scored = matching.crossJoin(F.broadcast(stats))  # one row
