@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import bisect
 import os
 import re
 
@@ -93,6 +94,19 @@ def slices(texts: list, most_chars: int = 24_000_000):
         yield start, len(texts)
 
 
+def disjoint(spans, start, end) -> list:
+    """The spans, given in the order of preference, that overlap none taken before."""
+    starts, ends, out = [], [], []
+    for s in spans:
+        a, b = start(s), end(s)
+        i = bisect.bisect_right(starts, a)
+        if (i == 0 or ends[i - 1] <= a) and (i == len(starts) or starts[i] >= b):
+            starts.insert(i, a)
+            ends.insert(i, b)
+            out.append(s)
+    return out
+
+
 def gathered(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The concatenation of pool[s : s + n] over starts and lengths."""
     total = int(lengths.sum())

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memquarry.llm.common import mapped, mix64
+from memquarry.llm.common import disjoint, mapped, mix64
 
 K, WINDOW, BAND, COVERAGE = 3, 4, 8, 0.7
 WORD = re.compile(r"\w+")
@@ -90,7 +90,7 @@ def _within(h: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return keys[at] == h
 
 
-def align(template: list[str], words: list[str], start: int, diagonal: int, band: int = BAND) -> list[tuple[int, int]]:
+def align(template: list[str], words: list[str], diagonal: int, band: int = BAND) -> list[tuple[int, int]]:
     """Places (i, j) of equal words of template[i] and words[j] on the best local alignment with |j - i - diagonal| <= band: match 2, mismatch and gap -1."""
     n, width = len(template), 2 * band + 1
     score = np.zeros((n + 1, width + 2), np.int32)
@@ -158,14 +158,15 @@ def scan(text: str | None, index: Index, coverage: float = COVERAGE, band: int =
         template = index.words[t]
         hits.sort()
         groups = [[hits[0]]]
+        width = min(band, max(1, len(template) // 4))  # so that short notices in a row stay apart
         for d in hits[1:]:
-            if d[0] - groups[-1][0][0] <= band:
+            if d[0] - groups[-1][0][0] <= width:
                 groups[-1].append(d)
             else:
                 groups.append([d])
         for g in groups:
             middle = g[len(g) // 2][0]
-            pairs = align(template, words, 0, middle, band)
+            pairs = align(template, words, middle, width)
             if len(pairs) < coverage * len(template):
                 continue
             if spans is None:
@@ -176,11 +177,9 @@ def scan(text: str | None, index: Index, coverage: float = COVERAGE, band: int =
                     if len(spans) != len(words):
                         spans = [(0, len(text))] * len(words)
             found.append((len(pairs), round(len(pairs) / len(template), 4), t, spans[pairs[0][1]][0], spans[pairs[-1][1]][1]))
-    out: list = []
-    for f in sorted(set(found), key=lambda f: (-f[0], -f[1], index.names[f[2]], f[3])):
-        if all(f[4] <= o[3] or f[3] >= o[4] for o in out):
-            out.append(f)
-    return [(index.licence[t], index.names[t], c, a, b) for _, c, t, a, b in sorted(out, key=lambda f: f[3])]
+    best = sorted(set(found), key=lambda f: (-f[0], -f[1], index.names[f[2]], f[3]))
+    kept = disjoint(best, lambda f: f[3], lambda f: f[4])
+    return [(index.licence[t], index.names[t], c, a, b) for _, c, t, a, b in sorted(kept, key=lambda f: f[3])]
 
 
 def notices(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates=TEMPLATES, coverage: float = COVERAGE) -> DataFrame:

@@ -209,7 +209,7 @@ def _verified(threshold: float):
 def ngram_pairs(docs: DataFrame, n: int = 3, threshold: float = 0.5, doc_id: str = "doc_id", text: str = "text", expand: bool = True) -> DataFrame:
     """doc_a < doc_b, jaccard (6 places): every pair of ids whose texts' n-gram sets reach the threshold, exact copies included.
 
-    Rows with a null id, or without any word (null, empty), pair with nothing. Rows that repeat an id never pair with one another; an id with several texts gets, per
+    Ids are integers. Rows with a null id, or without any word (null, empty), pair with nothing. Rows that repeat an id never pair with one another; an id with several texts gets, per
     partner, its largest similarity. Ties need no order: all pairs are given. An empty table gives an empty one; columns besides id and text aren't read. With expand=False each group of
     equal sets shows as pairs of its least id with each other one, and pairs between groups as one pair of least ids, which has the same connected components in linear size.
 

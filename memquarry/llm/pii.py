@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memquarry.llm.common import mapped
+from memquarry.llm.common import disjoint, mapped
 
 THRESHOLD, NEAR, BEFORE = 0.5, 48, 16
 #: What a text must hold for any kind to be proposed; tested in the JVM, so that other texts never reach Python.
@@ -94,18 +94,17 @@ def spans(text: str | None, threshold: float = THRESHOLD) -> list[tuple[int, int
                 score += 0.2 * any(w in near for w in more) - 0.2 * any(w in before for w in less)
                 if score >= threshold - 1e-9:
                     found.append((m.start(), m.end(), kind, round(min(score, 1.0), 2)))
-    out: list = []
-    for s in sorted(found, key=lambda s: (-s[3], s[0] - s[1], s[0])):
-        if all(s[1] <= o[0] or s[0] >= o[1] for o in out):
-            out.append(s)
-    return sorted(out)
+    best = sorted(found, key=lambda s: (-s[3], s[0] - s[1], s[0]))
+    return sorted(disjoint(best, lambda s: s[0], lambda s: s[1]))
 
 
 def redact(text: str | None, threshold: float = THRESHOLD) -> str | None:
     """The text with each span replaced by its kind in square brackets."""
-    for start, end, kind, _ in reversed(spans(text, threshold)):
-        text = f"{text[:start]}[{kind.upper()}]{text[end:]}"
-    return text
+    parts, at = [], 0
+    for start, end, kind, _ in spans(text, threshold):
+        parts += [text[at:start], f"[{kind.upper()}]"]
+        at = end
+    return "".join([*parts, text[at:]]) if parts else text
 
 
 def find(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

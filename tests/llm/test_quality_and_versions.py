@@ -145,6 +145,7 @@ def test_notices():
     (found,) = one("Head. " + changed + " Tail.")
     assert found[0] == "MIT" and 0.9 <= found[1] < 1 and found[2].startswith("Permission is hereby") and found[2].endswith("the Software")
     assert one("the license of the poet is under discussion") == [] and one("") == [] and S.scan(None, index) == []
+    assert len(one("Released under the MIT License. " * 5)) == 5
     twice = "Released under the MIT License. " + "word " * 50 + "Licensed under the Apache License, Version 2.0."
     assert [r[0] for r in one(twice)] == ["MIT", "Apache-2.0"]
 
