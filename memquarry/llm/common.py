@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import base64
 import bisect
+import ctypes
+import gc
 import os
 import re
 
 import numpy as np
+import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import DataFrame
@@ -19,10 +22,28 @@ TOKENIZER_DIR = os.environ.get("MEMQUARRY_TOKENIZERS", "/opt/tokenizers")
 #: Splits a text into the pre-tokens that the byte-level vocabularies merge within.
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+
 def mapped(df: DataFrame, make, schema) -> DataFrame:
-    """df.mapInArrow by functions of this package, which the workers are given."""
+    """df.mapInArrow by functions of this package, which the workers are given. A worker serves many tasks: after each it gives free memory back, and collects garbage again where a task had that switched off."""
     ship(df.sparkSession)
-    return df.mapInArrow(make, schema)
+
+    def run(batches):
+        try:
+            yield from make(batches)
+        finally:
+            _tidy()
+
+    return df.mapInArrow(run, schema)
+
+
+def _tidy() -> None:
+    gc.enable()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -41,6 +62,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Characters of text that a worker takes apart at once.
+SLICE = 6_000_000
+
+
 class BoundedCache(dict):
     """A dict that computes what it lacks; trim() empties it once it holds more than `most` entries, so that a worker's memory stays bounded."""
 
@@ -61,6 +86,17 @@ def token_hashes(most: int = 400_000) -> BoundedCache:
     return BoundedCache(xxhash.xxh64_intdigest, most)
 
 
+_MODEL: dict = {}
+
+
+def only_model(key, make):
+    """What make() gives, kept for a worker's next tasks with the same key; a worker holds one vocabulary at a time."""
+    if key not in _MODEL:
+        _MODEL.clear()
+        _MODEL[key] = make()
+    return _MODEL[key]
+
+
 def byte_ranks(path: str):
     """The rank file's vocabulary as a tiktoken encoding; no special tokens, so that any text is ordinary text."""
     import tiktoken
@@ -81,7 +117,24 @@ def pre_tokens():
     return lambda text: quick(text) if latin(text) else other(text)
 
 
-def slices(texts: list, most_chars: int = 24_000_000):
+def regrouped(batches, text: int, most_chars: int = SLICE):
+    """Consecutive batches joined until their texts hold most_chars bytes; for work whose cost falls with the number of texts seen at once."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.column(text).nbytes
+        if size >= most_chars:
+            yield from _joined(held)
+            held, size = [], 0
+    if held:
+        yield from _joined(held)
+
+
+def _joined(held: list):
+    return held if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def slices(texts: list, most_chars: int = SLICE):
     """(start, stop) of consecutive rows with at most `most_chars` characters together, or one row; keeps a worker's memory bounded whatever the batch."""
     start = held = 0
     for i, t in enumerate(texts):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memquarry.llm.common import TOKENIZER_DIR, gathered, mapped, slices
+from memquarry.llm.common import TOKENIZER_DIR, gathered, mapped, only_model, regrouped, slices
 
 MODEL = f"{TOKENIZER_DIR}/piece_bpe_32k.model"
 MARK = "▁"
@@ -81,13 +81,12 @@ class Pieces:
                 self.fail[to] = self.next[f].get(ch, 0) if self.next[f].get(ch, 0) != to else 0
                 self.ends[to] = self.ends[to] + self.ends[self.fail[to]]
                 queue.append(to)
-        self.step = [dict(x) for x in self.next]  # filled in with failure transitions as they are met
 
     def _to(self, at: int, ch: str) -> int:
         f = at
         while f and ch not in self.next[f]:
             f = self.fail[f]
-        to = self.step[at][ch] = self.next[f].get(ch, 0)
+        to = self.next[at][ch] = self.next[f].get(ch, 0)  # where a failure leads is kept beside the trie's own steps
         return to
 
     def string(self, i: int) -> str:
@@ -114,9 +113,9 @@ class Pieces:
 
     def encode_sorted(self, words):
         """The ids of each of the sorted distinct marked words, in order, as lists."""
-        bpe, ends, step, pairs = self.kind == BPE, self.ends, self.step, self.pairs
+        bpe, ends, step, pairs = self.kind == BPE, self.ends, self.next, self.pairs
         score, lowest = self.score, self.least - _UNKNOWN_PENALTY
-        if len(pairs) > 4_000_000:
+        if len(pairs) > 600_000:
             pairs.clear()
         # by depth: automaton state, last piece, its length, forward score
         states, last, size, forward = [0], [-1], [0], [0.0]
@@ -210,13 +209,8 @@ class Pieces:
         return "".join(parts)
 
 
-_LOADED: dict[str, Pieces] = {}
-
-
 def pieces(path: str = MODEL) -> Pieces:
-    if path not in _LOADED:
-        _LOADED[path] = Pieces(path)
-    return _LOADED[path]
+    return only_model(("pieces", path), lambda: Pieces(path))
 
 
 def words_of(text: str) -> list[str]:
@@ -267,7 +261,7 @@ def encode(docs: DataFrame, path: str = MODEL, doc_id: str = "doc_id", text: str
 
     def run(batches):
         model = pieces(path)
-        for b in batches:
+        for b in regrouped(batches, 1):
             texts = b.column(1).to_pylist()
             gc.disable()  # millions of live strings and lists, none in cycles
             for i, j in slices(texts):

@@ -18,13 +18,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memquarry.llm.common import mapped, slices
+from memquarry.llm.common import mapped, regrouped, slices
 from memquarry.llm.token_counts import RANKS, encoded, encoding
 
 TERMINALS = 1 << 16  # nonterminals are numbered from here
 SHARD = 1 << 20  # tokens after which a shard is closed; a document stays whole while it has at most _MOST
 MIN_COUNT, FALL = 16, 64
 _BITS = 21
+_AT_ONCE = 24_000_000  # characters of which the distinct parts are encoded once
 _MOST = 1 << _BITS
 
 
@@ -147,9 +148,9 @@ def shards(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: st
         gc.disable()
         held: list[tuple] = []
         tokens = number = 0
-        for b in batches:
+        for b in regrouped(batches, 1, _AT_ONCE):
             texts = b.column(1).to_pylist()
-            for i, j in slices(texts):
+            for i, j in slices(texts, _AT_ONCE):
                 ids, counts = encoded(texts[i:j], encoding(path))
                 ends = np.cumsum(counts)
                 for d, n, end in zip(b.column(0).slice(i, j - i).to_pylist(), counts.tolist(), ends.tolist()):

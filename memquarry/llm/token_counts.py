@@ -17,20 +17,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from memquarry.llm.common import TOKENIZER_DIR, byte_ranks, gathered, mapped, pre_tokens, slices, written
+from memquarry.llm.common import TOKENIZER_DIR, byte_ranks, gathered, mapped, only_model, pre_tokens, regrouped, slices, written
 
 RANKS = f"{TOKENIZER_DIR}/byte_bpe_50k.tiktoken"
 HEAD = 400_000
 
 _UNEVEN = re.compile(r"[ \n]\s|\s[ \n]")  # white space beside a space or line feed; a NUL, too, would look like the mark of a text's start
 _OTHER_SPACE = re.compile(r"[^\S \n]")
-_ENCODINGS: dict = {}
 
 
 def encoding(path: str):
-    if path not in _ENCODINGS:
-        _ENCODINGS[path] = byte_ranks(path)
-    return _ENCODINGS[path]
+    return only_model(("ranks", path), lambda: byte_ranks(path))
 
 
 def _uneven(t: str) -> bool:
@@ -105,7 +102,7 @@ def with_counts(docs: DataFrame, columns: list[str], text: str = "text", path: s
 
     def run(batches):
         gc.disable()
-        for b in batches:
+        for b in regrouped(batches, len(columns)):
             texts = b.column(len(columns)).to_pylist()
             counts = pa.array([n for i, j in slices(texts) for n in text_counts(texts[i:j], encoding(path))], pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], counts], names=[*columns, name])
@@ -159,7 +156,7 @@ def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pa
     def frequencies(batches):
         head_pieces, split = known.value, pre_tokens()
         gc.disable()
-        for b in batches:
+        for b in regrouped(batches, 1):
             texts = b.column(1).to_pylist()
             for i, j in slices(texts):
                 rows, sums, lengths, tail_of, tail, times = [], [], [], [], [], []
