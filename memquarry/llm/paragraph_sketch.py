@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memquarry.llm.common import mapped, mix64, written
+from memquarry.llm.ngram_join import ngram_pairs
 
 CELLS, GROW = 48, 4
 _PARTS = 3
@@ -106,21 +107,9 @@ def _differences(kind: str, pairs: DataFrame, cells: int) -> DataFrame:
     return mapped(pairs.select("doc_a", "doc_b", "sketch_a", "sketch_b"), run, f"doc_a {kind}, doc_b {kind}, done boolean, n_only_a long, n_only_b long, only_a string, only_b string")
 
 
-def version_differences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cells: int = CELLS) -> DataFrame:
-    """doc_a, doc_b, n_only_a, n_only_b, only_a, only_b: one row per version doc_b of a document doc_a, with the digests (hex, sorted, joined by commas) of the paragraphs that only one has.
-
-    Versions are ids whose least paragraph digest is the same, which two documents have with the probability that their paragraphs' Jaccard similarity gives; doc_a is the least id among them. Equal versions have empty lists.
-    Rows that repeat an id are one document with the paragraphs of all; a paragraph that repeats in it counts once; null ids, null texts and texts of blanks take no part. An empty table gives an empty one; other columns aren't read.
-
-    Texts are read once; digests and sketches are shuffled, a first version only in partial minima, so a digest that many documents share isn't a hot key.
-    """
-    kind = docs.schema[doc_id].dataType.simpleString()
-    digests = written(paragraph_digests(docs, doc_id, text), "digests")
-    prints = fingerprints(digests, cells)
-    least = digests.select("doc_id", F.array_min("digests").alias("anchor"))
-    bases = least.groupBy("anchor").agg(F.min("doc_id").alias("doc_a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    base_of = written(least.join(bases.select("anchor", "doc_a"), "anchor").where("doc_id <> doc_a").select("doc_a", F.col("doc_id").alias("doc_b")), "versions")
-    open_pairs, done = base_of, []
+def _peeled(kind: str, digests: DataFrame, open_pairs: DataFrame, cells: int, prints: DataFrame) -> DataFrame:
+    """The differences of all pairs (doc_a, doc_b), those that don't peel tried again with larger sketches; prints holds the sketches of the first size."""
+    done: list = []
     while True:
         sketches = fingerprints(digests.join(open_pairs.select(F.explode(F.array("doc_a", "doc_b")).alias("doc_id")).distinct(), "doc_id", "left_semi"), cells) if done else prints
         sketches = sketches.select("doc_id", "sketch")
@@ -135,3 +124,42 @@ def version_differences(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     for more in done[1:]:
         out = out.unionByName(more)
     return out
+
+
+def version_differences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cells: int = CELLS) -> DataFrame:
+    """doc_a, doc_b, n_only_a, n_only_b, only_a, only_b: one row per version doc_b of a document doc_a, with the digests (hex, sorted, joined by commas) of the paragraphs that only one has.
+
+    Versions are ids whose least paragraph digest is the same, which two documents have with the probability that their paragraphs' Jaccard similarity gives; doc_a is the least id among them. Equal versions have empty lists.
+    Rows that repeat an id are one document with the paragraphs of all; a paragraph that repeats in it counts once; null ids, null texts and texts of blanks take no part. An empty table gives an empty one; other columns aren't read.
+
+    Texts are read once; digests and sketches are shuffled, a first version only in partial minima, so a digest that many documents share isn't a hot key.
+    """
+    kind = docs.schema[doc_id].dataType.simpleString()
+    digests = written(paragraph_digests(docs, doc_id, text), "digests")
+    prints = fingerprints(digests, cells)
+    least = digests.select("doc_id", F.array_min("digests").alias("anchor"))
+    bases = least.groupBy("anchor").agg(F.min("doc_id").alias("doc_a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    base_of = written(least.join(bases.select("anchor", "doc_a"), "anchor").where("doc_id <> doc_a").select("doc_a", F.col("doc_id").alias("doc_b")), "versions")
+    return _peeled(kind, digests, base_of, cells, prints)
+
+
+def version_pairs(docs: DataFrame, threshold: float = 0.5, doc_id: str = "doc_id", text: str = "text", cells: int = CELLS) -> DataFrame:
+    """The columns of version_differences, of every pair doc_a < doc_b whose paragraphs, or whose word 3-grams, have a Jaccard similarity of at least the threshold, exact copies included.
+
+    Both kinds of pairs come from ngram_pairs, which at a threshold of 0.5 loses a pair at 0.5 with probability 0.005 and one at 0.6 with 0.0001; paragraphs are its 1-grams. The 3-grams find versions of one edited paragraph.
+    Ids are integers; rows that repeat an id, null ids, null texts and texts of blanks are taken as in version_differences. Sketches are subtracted once for each pair of distinct paragraph sets and the result is given to all their copies.
+    """
+    kind = docs.schema[doc_id].dataType.simpleString()
+    digests = written(paragraph_digests(docs, doc_id, text), "digests")
+    as_words = digests.select("doc_id", F.concat_ws(" ", F.transform("digests", lambda x: x.cast("string"))).alias("text"))
+    found = ngram_pairs(as_words, 1, threshold).unionByName(ngram_pairs(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), 3, threshold)).select("doc_a", "doc_b").distinct()
+    marks = digests.select("doc_id", F.sha2(F.concat_ws(" ", F.transform(F.array_sort("digests"), lambda x: x.cast("string"))), 256).alias("mark"))
+    rep = written(marks.join(marks.groupBy("mark").agg(F.min("doc_id").alias("rep")), "mark").select("doc_id", "rep"), "paragraph-sets")
+    pairs = written(found.join(rep.toDF("doc_a", "ra"), "doc_a").join(rep.toDF("doc_b", "rb"), "doc_b").select("doc_a", "doc_b", F.least("ra", "rb").alias("x"), F.greatest("ra", "rb").alias("y"), (F.col("ra") > F.col("rb")).alias("turned")), "version-pairs")
+    apart = pairs.where("x <> y").select(F.col("x").alias("doc_a"), F.col("y").alias("doc_b")).distinct()
+    held = digests.join(apart.select(F.explode(F.array("doc_a", "doc_b")).alias("doc_id")).distinct(), "doc_id", "left_semi")
+    differences = _peeled(kind, digests, apart, cells, fingerprints(held, cells)).toDF("x", "y", "n_x", "n_y", "only_x", "only_y")
+    side = lambda k, a, b, none: F.coalesce(F.when(F.col("turned"), F.col(f"{k}_{b}")).otherwise(F.col(f"{k}_{a}")), F.lit(none))
+    return pairs.join(differences, ["x", "y"], "left").select(
+        *("doc_a", "doc_b"), side("n", "x", "y", 0).cast("long").alias("n_only_a"), side("n", "y", "x", 0).cast("long").alias("n_only_b"), side("only", "x", "y", "").alias("only_a"), side("only", "y", "x", "").alias("only_b")
+    )

@@ -35,6 +35,10 @@ def op6_version_differences(spark, sf_dir):
     return paragraph_sketch.version_differences(_documents(spark, sf_dir))
 
 
+def op6_version_pairs(spark, sf_dir):
+    return paragraph_sketch.version_pairs(_documents(spark, sf_dir))
+
+
 def op7_repair_shards(spark, sf_dir):
     return repair.shards(_documents(spark, sf_dir))
 
@@ -52,7 +56,7 @@ def op10_language(spark, sf_dir):
     return langid.identify(docs, langid.fit(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_mixture, op3_token_counts, op4_sentencepiece, op5_compression, op6_version_differences, op7_repair_shards, op8_ngram_jaccard, op9_license_notices, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_mixture, op3_token_counts, op4_sentencepiece, op5_compression, op6_version_differences, op6_version_pairs, op7_repair_shards, op8_ngram_jaccard, op9_license_notices, op10_language)}
 
 ORACLE_SQL = {
     "op6_version_differences": """

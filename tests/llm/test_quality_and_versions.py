@@ -86,6 +86,66 @@ def test_version_odd_tables(odd, table):
     assert [tuple(r) for r in P.version_differences(rows).collect()] == [(1, 2, 0, 0, "", "")]
 
 
+def brute_versions(rows, threshold=0.5):
+    """(a, b) -> (paragraphs only in a, only in b), of all pairs, from the texts."""
+    import hashlib
+    import re
+
+    kept = []
+    for d, text in rows:
+        lines = {x.strip(" ") for x in (text or "").split("\n")} - {""}
+        words = re.findall(r"\w+", (text or "").lower())
+        if lines:
+            kept.append((d, {hashlib.md5(x.encode()).hexdigest()[:15] for x in lines}, {tuple(words[i : i + 3]) for i in range(max(1, len(words) - 2))} if words else set()))
+    out = {}
+    alike = lambda a, b: bool(a and b) and len(a & b) >= threshold * len(a | b)
+    for i, (d, p, g) in enumerate(kept):
+        for e, q, h in kept[:i]:
+            if alike(p, q) or alike(g, h):
+                (x, u), (y, v) = sorted(((d, p), (e, q)), key=lambda z: z[0])
+                out[x, y] = (len(u - v), len(v - u), ",".join(sorted(u - v)), ",".join(sorted(v - u)))
+    return out
+
+
+def test_version_pairs_by_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = brute_versions([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()])
+    got = {(r["doc_a"], r["doc_b"]): tuple(r)[2:] for r in P.version_pairs(docs).collect()}
+    assert all(want[k] == v for k, v in got.items())
+    edited = {k for k, v in want.items() if v[0] or v[1]}
+    assert len(edited) > 50 and len(edited & set(got)) >= 0.95 * len(edited) and len(got) >= 0.99 * len(want)
+
+
+def test_version_pairs_of_edited_texts(table):
+    r = random.Random(9)
+    line = lambda: " ".join("".join(r.choice(string.ascii_lowercase) for _ in range(6)) for _ in range(8))
+    rows, want = [], set()
+    for k in range(0, 120, 2):  # one paragraph with a changed word, and ten of which the one with the least digest is changed
+        one = " ".join(line() for _ in range(4))
+        rows += [(k, one), (k + 1, one.replace(one.split()[9], "changed"))]
+        want.add((k, k + 1))
+    for k in range(200, 320, 2):
+        ten = [line() for _ in range(10)]
+        import hashlib
+
+        least = min(ten, key=lambda t: hashlib.md5(t.encode()).hexdigest())
+        rows += [(k, "\n".join(ten)), (k + 1, "\n".join(line() if t == least else t for t in ten))]
+        want.add((k, k + 1))
+    got = {(r["doc_a"], r["doc_b"]): tuple(r)[2:] for r in P.version_pairs(table(rows)).collect()}
+    brute = brute_versions(rows)
+    assert set(brute) == want and all(brute[k] == v for k, v in got.items()) and len(got) >= 0.9 * len(want)
+    assert not {(r["doc_a"], r["doc_b"]) for r in P.version_differences(table([x for x in rows if x[0] < 120])).collect()}
+
+
+def test_version_pairs_odd_tables(odd, table):
+    assert P.version_pairs(table([])).collect() == []
+    assert P.version_pairs(odd).count() >= 0
+    rows = table([(1, "x\n\n x \ny"), (1, "z"), (2, "z\ny\nx"), (3, None), (None, "x"), (4, "z\ny\nw")])
+    digest = lambda t: __import__("hashlib").md5(t.encode()).hexdigest()[:15]
+    got = {tuple(r) for r in P.version_pairs(rows).collect()}
+    assert got == {(1, 2, 0, 0, "", ""), (1, 4, 1, 1, digest("x"), digest("w")), (2, 4, 1, 1, digest("x"), digest("w"))}
+
+
 # ---- grammars
 
 
