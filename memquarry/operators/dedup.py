@@ -134,6 +134,31 @@ def set_jaccard(sets: DataFrame, key: str, item: str, least: float = 0.3, most_d
     return scored.select("id_a", "id_b", "shared", F.round(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), 6).alias("jaccard")).where(F.col("jaccard") >= least)
 
 
+def set_jaccard_all(sets: DataFrame, key: str, item: str, least: float = 0.3) -> DataFrame:
+    """id_a < id_b, shared, jaccard of all sets (key, item rows) of at least `least`, whatever the number of sets that hold an item.
+
+    Equal sets are joined once, by their least key, and expanded at the end. Of the others a pair at `least` shares an item among the first n - ceil(least n) + 1 of each set, the rarest first, so only those propose pairs.
+    """
+    items = F.array_sort(F.collect_set(item))
+    held = sets.where(F.col(key).isNotNull() & F.col(item).isNotNull()).groupBy(key).agg(items.alias("items")).withColumn("mark", F.sha2(F.to_json("items"), 256))
+    one = held.groupBy("mark").agg(F.min(key).alias("rep"), F.first("items").alias("items"))
+    df = one.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("df"))
+    ranked = one.select("rep", F.explode("items").alias("item")).join(df, "item").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("ranked"))
+    bar = least - 1e-6  # similarities are rounded to 6 places
+    n = F.size("ranked")
+    first = ranked.select("rep", n.alias("n"), F.explode(F.slice("ranked", F.lit(1), n - F.ceil(n * bar).cast("int") + 1)).alias("r")).where("r.df > 1").select("rep", "n", "r.item")
+    a, b = first.toDF("ra", "na", "item"), first.toDF("rb", "nb", "item")
+    pairs = a.join(b, "item").where((F.col("ra") < F.col("rb")) & (F.least("na", "nb") >= F.greatest("na", "nb") * bar)).select("ra", "rb").distinct()
+    both = pairs.join(one.select(F.col("rep").alias("ra"), F.col("items").alias("ia")), "ra").join(one.select(F.col("rep").alias("rb"), F.col("items").alias("ib")), "rb")
+    shared = F.size(F.array_intersect("ia", "ib")).cast("long")
+    scored = both.select("ra", "rb", shared.alias("shared"), F.round(shared / (F.size("ia") + F.size("ib") - shared), 6).alias("jaccard")).where(F.col("jaccard") >= least)
+    copies = held.join(one.select("mark", "rep"), "mark").select(F.col(key).alias("id"), "rep", F.size("items").cast("long").alias("n"))
+    x, y = copies.select(F.col("id").alias("x"), F.col("rep").alias("ra")), copies.select(F.col("id").alias("y"), F.col("rep").alias("rb"))
+    across = scored.join(x, "ra").join(y, "rb").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "shared", "jaccard")
+    within = copies.select(F.col("id").alias("id_a"), "rep", "n").join(copies.select(F.col("id").alias("id_b"), "rep"), "rep").where("id_a < id_b").select("id_a", "id_b", F.col("n").alias("shared"), F.lit(1.0).alias("jaccard"))
+    return across.unionByName(within)
+
+
 def similar_to(sets: DataFrame, key: str, item: str, one, least: float = 0.3) -> DataFrame:
     """Sets that share an item with one set, by similarity; linear in the table."""
     items = sets.select(key, item).distinct()

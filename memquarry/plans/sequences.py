@@ -169,6 +169,11 @@ def line_jaccard(t):
     return D.set_jaccard(D.line_chunks(t("documents")), "doc_id", "chunk")
 
 
+@query("WITH " + _SETS + ", k AS (SELECT a.doc_id AS id_a, b.doc_id AS id_b, count(*) AS shared FROM s a JOIN s b ON a.chunk = b.chunk AND a.doc_id < b.doc_id GROUP BY 1, 2) SELECT id_a, id_b, shared, round(shared / (x.n + y.n - shared), 6) AS jaccard FROM k JOIN n x ON x.doc_id = id_a JOIN n y ON y.doc_id = id_b WHERE round(shared / (x.n + y.n - shared), 6) >= 0.3")
+def line_jaccard_all(t):
+    return D.set_jaccard_all(D.line_chunks(t("documents")), "doc_id", "chunk")
+
+
 @query("WITH " + _SETS + ", o AS (SELECT chunk FROM s WHERE doc_id = 0), k AS (SELECT doc_id, count(*) AS shared FROM s JOIN o USING (chunk) WHERE doc_id <> 0 GROUP BY 1) SELECT k.doc_id, shared, round(shared / (n.n + (SELECT count(*) FROM o) - shared), 6) AS jaccard FROM k JOIN n ON n.doc_id = k.doc_id WHERE round(shared / (n.n + (SELECT count(*) FROM o) - shared), 6) >= 0.05")
 def find_similar(t):
     return D.similar_to(D.line_chunks(t("documents")), "doc_id", "chunk", 0, 0.05)

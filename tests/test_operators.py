@@ -185,3 +185,24 @@ def test_vault_prefix(spark):
     got = {r["path"]: r for r in v.collect()}
     assert got["a"]["method"] != "raw" and got["b"]["method"] == "raw"
     assert store.by_prefix(v, got["a"]["content_hash"][:10]).count() == 1 and store.by_prefix(v, "").count() == 0
+
+
+def test_set_jaccard_of_many_copies_and_common_items(spark):
+    """Groups of more than 64 copies, and pairs that share only an item of more than 64 sets."""
+    sets = {i: {"a", "b"} for i in range(80)} | {100 + i: {"a", f"own {i}"} for i in range(10)} | {200: {"x", "y", "z"}, 201: {"x", "y", "w"}, 202: {"q"}}
+    rows = spark.createDataFrame([(k, x) for k, v in sets.items() for x in v] * 2, "doc_id long, chunk string")
+    want = {}
+    for a in sets:
+        for b in sets:
+            if a < b and (j := round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6)) >= 0.3:
+                want[a, b] = (len(sets[a] & sets[b]), j)
+    found = D.set_jaccard_all(rows, "doc_id", "chunk").collect()
+    assert len(found) == len(want) and {(r["id_a"], r["id_b"]): (r["shared"], r["jaccard"]) for r in found} == want
+
+
+def test_line_jaccard_all_same_as_sql(spark):
+    import compare
+    from memquarry.plans import registry, sequences  # noqa: F401
+
+    folder = "/root/testdata/sf0.01"
+    compare.same(registry.QUERIES["line_jaccard_all"](spark, folder), compare.tables(folder), registry.ORACLE_SQL["line_jaccard_all"])
