@@ -47,7 +47,7 @@ def longest_known(events: DataFrame, by: str, order: list[str], event: str, leas
 
 
 def motif_encode(events: DataFrame, by: str, order: list[str], event: str, least: int = 3, most: int = 10) -> DataFrame:
-    """by, encoded, n_events, n_symbols, savings: each sequence with its repeated runs, the heaviest first, replaced from left to right by M and a number. One sequence is handled at a time."""
+    """by, encoded, n_events, n_symbols, savings: each sequence with all its repeated runs, numbered from the heaviest, replaced from left to right by M and a number. One sequence is handled at a time."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         seq = pdf.sort_values(order)[event].tolist()
@@ -56,7 +56,7 @@ def motif_encode(events: DataFrame, by: str, order: list[str], event: str, least
             for i in range(len(seq) - n + 1):
                 g = tuple(seq[i : i + n])
                 counts[g] = counts.get(g, 0) + 1
-        table = {g: k for k, g in enumerate(sorted((g for g, c in counts.items() if c > 1), key=lambda g: (-counts[g] * len(g), g))[:256])}
+        table = {g: k for k, g in enumerate(sorted((g for g, c in counts.items() if c > 1), key=lambda g: (-counts[g] * len(g), g)))}
         out, i = [], 0
         while i < len(seq):
             n = next((n for n in range(most, least - 1, -1) if tuple(seq[i : i + n]) in table and i + n <= len(seq)), 0)

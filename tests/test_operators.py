@@ -206,3 +206,14 @@ def test_line_jaccard_all_same_as_sql(spark):
 
     folder = "/root/testdata/sf0.01"
     compare.same(registry.QUERIES["line_jaccard_all"](spark, folder), compare.tables(folder), registry.ORACLE_SQL["line_jaccard_all"])
+
+
+def test_motif_encode_takes_every_repeated_run(spark):
+    """400 distinct runs of three events, each seen twice with other events between, are all replaced."""
+    seq, fresh = [], iter(range(10_000, 99_999))
+    for i in [*range(400), *range(400)]:
+        seq += [f"a{i}", f"b{i}", f"c{i}", f"x{next(fresh)}"]
+    rows = spark.createDataFrame([(1, k, e) for k, e in enumerate(seq)], "user_id long, event_id long, event_type string")
+    (row,) = S.motif_encode(rows, "user_id", ["event_id"], "event_type").collect()
+    codes = [x for x in row["encoded"].split() if x.startswith("M")]
+    assert len(codes) == 800 and len(set(codes)) == 400 and row["n_symbols"] == 1600 and row["savings"] == 0.5
