@@ -221,6 +221,15 @@ def cooccurrence(chunks: DataFrame, key: str = "doc_id", window: int = 5) -> Dat
     return placed.select("a", F.explode("ahead").alias("b")).where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("cnt"))
 
 
+def cooccurrence_all(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
+    """a, b, cnt: how often chunk b stands at another place of a document than chunk a, over all ordered pairs of places, so a chunk that repeats in a document pairs with itself. Documents of the same chunks are counted once and weighted."""
+    held = chunks.groupBy(key, "chunk").agg(F.count(F.lit(1)).alias("n")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("chunk", "n"))).alias("own"))
+    one = held.groupBy(F.sha2(F.to_json("own"), 256).alias("mark")).agg(F.first("own").alias("own"), F.count(F.lit(1)).alias("copies"))
+    pairs = one.select("own", "copies", F.explode("own").alias("x")).select("x", "copies", F.explode("own").alias("y"))
+    times = F.col("x.n") * (F.col("y.n") - F.when(F.col("x.chunk") == F.col("y.chunk"), 1).otherwise(0))
+    return pairs.select(F.col("x.chunk").alias("a"), F.col("y.chunk").alias("b"), (times * F.col("copies")).alias("cnt")).where("cnt > 0").groupBy("a", "b").agg(F.sum("cnt").alias("cnt"))
+
+
 def predicted(pairs: DataFrame, k: int = 5) -> DataFrame:
     """The k chunks that most often follow each chunk."""
     w = Window.partitionBy("a").orderBy(F.desc("cnt"), "b")

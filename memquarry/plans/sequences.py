@@ -197,6 +197,19 @@ def predicted_chunks(t):
     return D.predicted(D.cooccurrence(D.line_chunks(t("documents"))))
 
 
+_CO_ALL = _LINES + ", co AS (SELECT a.chunk AS a, b.chunk AS b, count(*) AS cnt FROM ch a JOIN ch b ON a.doc_id = b.doc_id AND a.pos <> b.pos GROUP BY 1, 2)"
+
+
+@query("WITH " + _CO_ALL + " SELECT a, b, cnt FROM co WHERE cnt > 1")
+def cooccurrence_all(t):
+    return D.cooccurrence_all(D.line_chunks(t("documents"))).where("cnt > 1")
+
+
+@query("WITH " + _CO_ALL + ", k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY cnt DESC, b) AS r FROM co) SELECT a, b, cnt, CAST(r AS INTEGER) AS rank FROM k WHERE r <= 5")
+def predicted_chunks_all(t):
+    return D.predicted(D.cooccurrence_all(D.line_chunks(t("documents"))))
+
+
 @query("WITH " + _LINES + ", o AS (SELECT chunk, count(*) AS refs, max(doc_id) % 100 AS last_seen FROM ch GROUP BY chunk), h AS (SELECT chunk FROM o WHERE refs >= 5 ORDER BY refs DESC, chunk LIMIT 10000) SELECT o.chunk, refs, CASE WHEN h.chunk IS NOT NULL THEN 'hot' WHEN refs < 5 AND 100 - last_seen > 30 THEN 'cold' ELSE 'warm' END AS tier FROM o LEFT JOIN h USING (chunk)")
 def chunk_tiers(t):
     rows = D.line_chunks(t("documents")).groupBy("chunk").agg(F.count(F.lit(1)).alias("refs"), (F.max("doc_id") % 100).alias("last_seen"))

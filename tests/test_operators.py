@@ -217,3 +217,16 @@ def test_motif_encode_takes_every_repeated_run(spark):
     (row,) = S.motif_encode(rows, "user_id", ["event_id"], "event_type").collect()
     codes = [x for x in row["encoded"].split() if x.startswith("M")]
     assert len(codes) == 800 and len(set(codes)) == 400 and row["n_symbols"] == 1600 and row["savings"] == 0.5
+
+
+def test_cooccurrence_of_all_ordered_pairs(spark):
+    """Pairs further than five places apart, of either order, of a chunk with itself, and in copies of a document."""
+    docs = {1: "abcdefghi", 2: "abcdefghi", 3: "iab", 4: "aab", 5: "z"}
+    want = {}
+    for d in docs.values():
+        for i, x in enumerate(d):
+            for j, y in enumerate(d):
+                if i != j:
+                    want[x, y] = want.get((x, y), 0) + 1
+    rows = spark.createDataFrame([(k, i, c) for k, d in docs.items() for i, c in enumerate(d)], "doc_id long, pos int, chunk string")
+    assert {(r["a"], r["b"]): r["cnt"] for r in D.cooccurrence_all(rows).collect()} == want
