@@ -1,6 +1,7 @@
 """Personal data: regular expressions propose spans, validators confirm them, and words nearby adjust the score.
 
 Kinds: email, phone, ssn, ip, card (13 to 19 digits, Luhn), iban (country length and mod 97), secret (a key, token or password that is assigned), key (access keys of known forms).
+Numbers in groups of three, three and four digits that only blanks part count as phones where such a word is near.
 Words within 48 characters on either side raise a score; words in the 16 characters before lower it. A span counts where its score reaches `threshold`; of overlapping spans the one of the largest score stays, then the longest, then the first.
 """
 
@@ -16,7 +17,7 @@ from memquarry.llm.common import disjoint, mapped
 
 THRESHOLD, NEAR, BEFORE = 0.5, 48, 16
 #: What a text must hold for any kind to be proposed; tested in the JVM, so that other texts never reach Python.
-TRIGGER = r"[0-9@=:]|AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk-"
+TRIGGER = r"[\p{Nd}@=:]|AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk-"
 
 _IBAN_LENGTH = dict(x.split("=") for x in (
     "AD=24 AE=23 AL=28 AT=20 AZ=28 BA=20 BE=16 BG=22 BH=22 BR=29 CH=21 CR=22 CY=28 CZ=24 DE=22 DK=18 DO=28 EE=20 EG=29 ES=24 FI=18 FO=18 FR=27 GB=22 GE=22 GI=23 GL=18 GR=27 GT=28 HR=21 HU=28 "
@@ -24,6 +25,15 @@ _IBAN_LENGTH = dict(x.split("=") for x in (
 ).split())
 
 
+def _iban_pattern() -> str:
+    """For each length the countries that have it; the length says where a number ends, so that words behind it are never taken in."""
+    by_length: dict = {}
+    for country, n in _IBAN_LENGTH.items():
+        by_length.setdefault(int(n), []).append(country)
+    rest = lambda n: f"(?: ?[A-Z0-9]{{{n}}})" if n else ""
+    return "|".join(f"(?:{'|'.join(c)})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}{rest((n - 4) % 4)}" for n, c in sorted(by_length.items()))
+
+
 def luhn(digits: str) -> bool:
     """Whether a number's last digit is its check digit; one and the same digit throughout doesn't count."""
     d = [int(c) for c in digits]
@@ -53,7 +63,7 @@ def _ssn(m: str) -> float:
 
 def _phone(m: str) -> float:
     n = len(re.sub(r"\D", "", m))
-    return 0.0 if not 7 <= n <= 15 else 0.75 if m[0] == "+" else 0.55
+    return 0.0 if not 7 <= n <= 15 else 0.75 if m[0] == "+" else 0.35 if re.fullmatch(r"(?:1 )?\d{3} \d{3} \d{4}", m) else 0.55
 
 
 def _secret(m: str) -> float:
@@ -65,10 +75,10 @@ def _secret(m: str) -> float:
 #: kind: what the text must hold, pattern, score of a match, words that raise it by 0.2, words that lower it by 0.2. Every pattern takes linear time.
 KINDS = {
     "email": ("@", re.compile(r"(?<![\w.+-])[\w][\w.+-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,62})\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"), lambda m: 0.9, ("mail", "contact"), ()),
-    "iban": ("0", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), lambda m: 0.85 if mod97(m.replace(" ", "")) else 0.0, ("iban", "account", "konto", "compte", "cuenta", "bank"), ()),
+    "iban": ("0", re.compile(rf"(?<![A-Za-z0-9])(?:{_iban_pattern()})(?![A-Za-z0-9])"), lambda m: 0.85 if mod97(m.replace(" ", "")) else 0.0, ("iban", "account", "konto", "compte", "cuenta", "bank"), ()),
     "card": ("0", re.compile(r"(?<![\d.])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{4,5})(?!\d)"), _card, ("card", "visa", "mastercard", "credit", "karte", "carte", "tarjeta"), ("order", "isbn", "serial", "tracking")),
     "ssn": ("0", re.compile(r"(?<![\d-])\d{3}([- ])\d{2}\1\d{4}(?![\d-])"), _ssn, ("ssn", "social", "security"), ("part", "order", "serial")),
-    "phone": ("0", re.compile(r"(?<![\w+.-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{2,4}\) ?\d{3,4}[ .-]\d{3,4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-]|\.\d)"), _phone, ("phone", "tel", "call", "mobile", "fax", "telefon"), ("order", "isbn", "serial", "version")),
+    "phone": ("0", re.compile(r"(?<![\w+.-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{2,4}\) ?\d{3,4}[ .-]\d{3,4}|(?:1[ .-])?\d{3}([ .-])\d{3}\1\d{4})(?![\w-]|\.\d)"), _phone, ("phone", "tel", "call", "mobile", "fax", "telefon"), ("order", "isbn", "serial", "version")),
     "ip": ("0", re.compile(r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w-]|\.\d)"), _ip, ("ip", "host", "server", "address", "login"), ("version", "release", "section", "chapter")),
     "secret": ("=", re.compile(r"(?i)(?<![a-z0-9])(?:api[_-]?key|access[_-]?key|secret(?:[_-]?key)?|auth[_-]?token|token|passw(?:or)?d|pwd)[\"']? ?[:=] ?(?:\"[^\"\s]{6,256}\"|'[^'\s]{6,256}'|[A-Za-z0-9_+/.=-]{8,256})"), _secret, ("key", "token", "password", "credential"), ("example",)),
     "key": ("A", re.compile(r"(?<![A-Za-z0-9])(?:A[KS]IA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,72}|sk-[A-Za-z0-9]{20,64})(?![A-Za-z0-9])"), lambda m: 0.85, ("key", "token", "secret"), ()),
@@ -110,7 +120,8 @@ def redact(text: str | None, threshold: float = THRESHOLD) -> str | None:
 def find(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, kind, span_start, span_end, score: one row per span, offsets in characters; one pass, no shuffle. The values themselves aren't given.
 
-    Null and empty texts give no rows; rows that repeat give their rows again; null ids stay null; an empty table gives an empty one; other columns aren't read.
+    Null and empty texts give no rows; rows that repeat give their rows again; null ids stay null; an empty table gives an empty one; other columns, whatever their names, aren't read. Texts are searched
+    whole, however long, in linear time; of spans that overlap the one of the largest score stays, of equal ones the longest, then the first. The same spans are those that redacted() replaces.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
 
@@ -125,7 +136,9 @@ def find(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id",
 
 
 def redacted(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", length: str = "n_chars") -> DataFrame:
-    """docs with personal data replaced in `text`; `length`, where there is such a column, becomes the new length of a changed text. No row goes, no shuffle; all other columns stay."""
+    """docs with personal data replaced in `text`; `length`, where there is such a column, becomes the new length of a changed text. No row goes, no shuffle; all other columns, whatever their names, stay.
+
+    Null and empty texts, null ids and rows that repeat stay as they are; an empty table gives an empty one. Texts are searched whole, however long; ties between overlapping spans as in find()."""
     place, at = docs.columns.index(text), docs.columns.index(length) if length in docs.columns else None
 
     def run(batches):

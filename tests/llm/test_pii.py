@@ -1,3 +1,9 @@
+import re
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
 from memquarry.llm import pii
 
 CARD, IBAN = "4539 1488 0343 6467", "DE89 3704 0044 0532 0130 00"
@@ -54,3 +60,63 @@ def test_query_is_the_scan_of_every_text(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()
     want = sorted((d["doc_id"], k, a, b) for d in docs for a, b, k, _ in pii.spans(d["text"]))
     assert sorted((r["doc_id"], r["kind"], r["span_start"], r["span_end"]) for r in op1_pii(spark, data).collect()) == want and want
+
+
+def iban(country, length, k):
+    """A number with the right check digits, from digits that k makes; computed without pii's own code."""
+    body = "".join(str((7 * k + 3 * i) % 10) for i in range(length - 4))
+    number = int("".join(str("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ".index(c)) for c in body + country + "00"))
+    return f"{country}{98 - number % 97:02d}{body}"
+
+
+@pytest.mark.parametrize("tail", ["", " EUR 50", " A", " BIC ABC", " BANK", " end", ".", "\nEUR"])
+def test_ibans_of_every_country_before_any_word(tail):
+    for k, (country, length) in enumerate(pii._IBAN_LENGTH.items()):
+        own = iban(country, int(length), k)
+        for form in (own, re.sub("(.{4})(?=.)", r"\1 ", own)):
+            assert kinds(f"to {form}{tail}") == [(form, "iban")], (country, form)
+        wrong = own[:2] + f"{(int(own[2:4]) + 1) % 100:02d}" + own[4:]
+        assert not any(k == "iban" for _, k in kinds(wrong))
+
+
+def test_phones_with_blanks_need_a_word():
+    assert kinds("tel 555 123 4567") == [("555 123 4567", "phone")] and kinds("about 555 123 4567 of") == []
+    assert kinds("at 1-800-555-0199 or 1.800.555.0199") == [("1-800-555-0199", "phone"), ("1.800.555.0199", "phone")]
+
+
+def brute_cards(text):
+    """Runs of 13 to 19 digits that pass the check sum, told by hand."""
+    for run in re.findall(r"(?<![0-9.])[0-9]+", text):
+        if 13 <= len(run) <= 19 and len(set(run)) > 1:
+            total = 0
+            for place, c in enumerate(reversed(run)):
+                d = int(c) * (1 + place % 2)
+                total += d // 10 + d % 10
+            if total % 10 == 0:
+                yield run
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(10**11, 10**19), max_size=4))
+def test_cards_by_brute_force(numbers):
+    text = " x ".join(map(str, numbers))
+    assert [v for v, k in kinds(text) if k == "card"] == list(brute_cards(text))
+
+
+ANY = st.text(st.sampled_from("٤٩١٧٠123456789 0+-.()@:=abcxyzAKIAghp_ES\nß４５"), max_size=60)
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(ANY, min_size=8, max_size=40))
+def test_find_and_redacted_agree_on_any_text(table, texts):
+    texts = [*texts, "ring +٤٩ ١٧٠ ١٢٣ ٤٥٦٧", "４５３９１４８８０３４３６４６７", "no digit in it"]
+    docs = table(list(enumerate(texts)))
+    found = {}
+    for r in pii.find(docs).collect():
+        found.setdefault(r["doc_id"], []).append((r["span_start"], r["span_end"], r["kind"]))
+    assert found[len(texts) - 3] and found[len(texts) - 2]
+    for r in pii.redacted(docs).collect():
+        text, at, out = texts[r["doc_id"]], 0, ""
+        for a, b, k in sorted(found.get(r["doc_id"], [])):
+            out, at = out + text[at:a] + f"[{k.upper()}]", b
+        assert r["text"] == out + text[at:]
