@@ -112,22 +112,25 @@ def document_frequencies(docs: DataFrame, text: str = "text", dims: int = 1 << 1
 
 
 def fit(docs: DataFrame, text: str = "text", label: str = "lang", sample_per_lang: int = 300, clusters: int = 4, dims: int = 1 << 15, slack: float = 0.45, seed: int = 7) -> Model:
-    """Fits centroids on at most `sample_per_lang` labelled documents of each language, those with the least seeded hash of their text.
+    """Fits centroids on at most `sample_per_lang` distinct labelled texts of each language, those with the least seeded hash; a language of fewer distinct texts gives all of them.
 
     A band's limit is `slack` times the 1 % quantile of the sample's cosines there; a band with fewer than 20 samples takes half of the
-    least limit of the others (0.02 where there is none). Rows with a null label or text are not sampled. Without labelled rows the model rejects everything.
+    least limit of the others (0.02 where there is none). Rows with a null label or text are not sampled; copies of a text are one, so they neither fill nor empty a sample. Without labelled
+    rows, or where no labelled text has a letter, the model rejects everything. Texts are taken whole, however long. Other columns, whatever their names, aren't read.
     """
     spark = docs.sparkSession
     df, n = document_frequencies(docs, text, dims)
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
     labelled = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).cast("string").alias("lang"), F.col(text).alias("text"))
-    sizes = {r.lang: r["count"] for r in labelled.select("lang").groupBy("lang").count().collect()}
+    hashed = labelled.withColumn("h", F.xxhash64("text", F.lit(seed)))
+    sizes = {r.lang: r["count"] for r in hashed.select("lang", "h").distinct().groupBy("lang").count().collect()}  # one row per language
     if not sizes:
         return Model([], np.zeros((dims, 0), np.float32), idf, np.zeros(len(BANDS) + 1), dims)
     span = 1 << 31
     keep = F.lit(False)
-    for lang, size in sorted(sizes.items()):  # about 1.5 times the sample by hash, then exactly the sample
-        keep = keep | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(span)) < int(span * min(1.0, (1.5 * sample_per_lang + 20) / size))))
+    for lang, size in sorted(sizes.items()):  # about 1.5 times the sample of distinct texts by hash, then exactly the sample
+        keep = keep | ((F.col("lang") == lang) & (F.pmod("h", F.lit(span)) < int(span * min(1.0, (1.5 * sample_per_lang + 20) / size))))
+    chosen = hashed.where(keep).groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "text", "h")  # a text's copies are one, in each task before anything is shuffled
 
     def vectors(batches):
         for b in batches:
@@ -138,7 +141,7 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", sample_per_lan
             )
 
     sample = (
-        mapped(labelled.where(keep).withColumn("h", F.xxhash64("text", F.lit(seed))), vectors, "lang string, h long, places array<int>, weights array<float>, letters long")
+        mapped(chosen, vectors, "lang string, h long, places array<int>, weights array<float>, letters long")
         .withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(span)), "h")))
         .where((F.col("r") <= sample_per_lang) & (F.col("letters") > 0))
         .orderBy("lang", "r")
@@ -176,7 +179,7 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
     """doc_id, predicted, similarity, rejected: one row per row of docs, in one pass without a shuffle.
 
     Rejected rows (null or empty text, no letters, too far from every centroid) have a null `predicted`; null ids and repeated rows are kept as they are; ties take the
-    first language in alphabetical order; an empty table gives an empty one. Other columns are not read.
+    first language in alphabetical order; an empty table gives an empty one. Texts are taken whole, however long. Other columns, whatever their names, are not read.
     """
 
     def run(model, batches):
@@ -191,7 +194,9 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
 
 
 def keep_identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs without the rows that the model rejects, all columns as they are; no shuffle."""
+    """docs without the rows that the model rejects, all columns, whatever their names, as they are; no shuffle.
+
+    Rejected are null and empty texts, those without letters and those too far from every centroid; null ids and repeated rows stay or go by their texts; an empty table stays empty; texts are taken whole."""
     place = docs.columns.index(text)
 
     def run(model, batches):
