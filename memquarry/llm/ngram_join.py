@@ -1,271 +1,103 @@
-"""All pairs of documents whose sets of word n-grams have a Jaccard similarity of at least a threshold.
+"""Documents whose sets of word n-grams have a Jaccard similarity of at least a threshold.
 
-A document's n-grams are hashed, and their hashes into groups; the counts by group are a point. Two sets share at most the sum over the
-groups of the smaller count, so points whose sum is below threshold / (1 + threshold) * (|A| + |B|) can't be a pair. An R-tree packed over the points
-applies that bound to whole nodes (with the nodes' largest counts and least sizes) and then to points; what survives is verified on the sets.
-
-One tree over a whole corpus prunes little near its root, since most texts of one length have much the same counts, and can't be spread
-over executors. So documents are first brought together by 40 bands of min-hashes, at a threshold of 0.5 of 3 each, which lose a pair at 0.5 with probability 0.005,
-at 0.6 with 0.0001; every set of documents that shares a band gets its own tree, large sets in blocks of 256. No set and no partner list is capped.
+A document's n-grams are hashed, their hashes counted by group, and the counts are points of R-trees: two sets share at most the sum over the groups of the smaller count. How the trees are packed, spread over
+executors and searched without loss says set_join; no min-hash decides what is compared.
 """
 
 from __future__ import annotations
 
-import hashlib
-import re
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memquarry.llm.common import mapped, mix64, token_hashes, written
-
-GROUPS = 64
-BANDS, MOST_ROWS, MISS = 40, 8, 0.01
-BLOCK, LEAF = 256, 16
-BROADCAST_IDS = 1_000_000
-WORD = re.compile(r"\w+")
-
-_SEEDS = np.random.default_rng(20240613).integers(1, 1 << 32, size=(2, BANDS * MOST_ROWS), dtype=np.uint32)
-_MULTIPLY, _ADD = _SEEDS[0] | np.uint32(1), _SEEDS[1]
-
-
-def gram_set(text: str | None, n: int, ids) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the n-grams of lower-cased words; a text of fewer than n words has one gram, of all of them; one without words has none."""
-    words = WORD.findall(text.lower()) if text else ()
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(ids.__getitem__, words), np.uint64, len(words))
-    k = min(n, len(h))
-    out = np.full(len(h) - k + 1, k, np.uint64)
-    for i in range(k):
-        out = mix64(out + h[i : len(h) - k + 1 + i])
-    return np.unique(out)
-
-
-def band_rows(threshold: float) -> int:
-    """The most min-hashes a band for which a pair at the threshold is lost with a probability of at most MISS."""
-    return max([r for r in range(1, MOST_ROWS + 1) if (1 - threshold**r) ** BANDS <= MISS], default=1)
-
-
-def band_keys(grams: np.ndarray, rows: int) -> np.ndarray:
-    """A 64-bit key per band from the least of the grams' permuted hashes."""
-    low = (grams >> np.uint64(32)).astype(np.uint32)
-    least = np.full(BANDS * rows, 0xFFFFFFFF, np.uint32)
-    multiply, add = _MULTIPLY[: BANDS * rows], _ADD[: BANDS * rows]
-    for i in range(0, len(low), 1024):
-        np.minimum(least, (low[i : i + 1024, None] * multiply + add).min(axis=0), out=least)
-    wide = least.reshape(BANDS, rows).astype(np.uint64)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for i in range(rows):
-        key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + wide[:, i])
-    return key.view(np.int64)
-
-
-def point(grams: np.ndarray) -> np.ndarray:
-    return np.bincount((grams & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
-
-
-class Tree:
-    """An R-tree over points, packed by halving along the widest coordinate, to LEAF points a leaf. A node holds its points' largest counts and least size."""
-
-    def __init__(self, points: np.ndarray, rows: np.ndarray):
-        self.rows, self.most, self.least, self.kids = rows, points[rows].max(axis=0), points[rows].sum(axis=1).min(), None
-        if len(rows) > LEAF:
-            own = points[rows]
-            order = rows[np.argsort(own[:, np.ptp(own, axis=0).argmax()], kind="stable")]
-            self.kids = Tree(points, order[: len(order) // 2]), Tree(points, order[len(order) // 2 :])
-
-    def joined(self, other: "Tree", points: np.ndarray, share: float, out: list) -> None:
-        """Adds to out the arrays (i, j) of all points of self and other that the bound can't tell apart."""
-        stack = [(self, other)]
-        while stack:
-            a, b = stack.pop()
-            if np.minimum(a.most, b.most).sum() < share * (a.least + b.least) - 1e-9:
-                continue
-            if a.kids or b.kids:
-                if a is b:
-                    stack += [(a.kids[0], a.kids[0]), (a.kids[1], a.kids[1]), (a.kids[0], a.kids[1])]
-                elif a.kids and (not b.kids or len(a.rows) >= len(b.rows)):
-                    stack += [(kid, b) for kid in a.kids]
-                else:
-                    stack += [(a, kid) for kid in b.kids]
-                continue
-            x, y = points[a.rows], points[b.rows]
-            shared = np.minimum(x[:, None, :], y[None, :, :]).sum(axis=2)
-            i, j = np.nonzero(shared >= share * (x.sum(axis=1)[:, None] + y.sum(axis=1)[None, :]) - 1e-9)
-            if a is b:
-                i, j = i[i < j], j[i < j]
-            out.append((a.rows[i], b.rows[j]))
-
-
-def candidates(points: np.ndarray, left: np.ndarray, right: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows, both of left, or one of left and one of right, that the bound lets through."""
-    out: list = []
-    if len(left) and (right is None or len(right)):
-        tree = Tree(points, left)
-        tree.joined(tree if right is None else Tree(points, right), points, threshold / (1 + threshold), out)
-    if not out:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate([i for i, _ in out]), np.concatenate([j for _, j in out])
-
-
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Of sorted distinct arrays, neither empty."""
-    both = np.concatenate((a, b))
-    both.sort()
-    common = int((both[1:] == both[:-1]).sum())
-    return common / (len(both) - common)
-
-
-def _fingerprints(n: int, rows: int):
-    def run(batches):
-        ids = token_hashes()
-        for b in batches:
-            keep, marks, keys = [], [], []
-            for i, t in enumerate(b.column(1).to_pylist()):
-                g = gram_set(t, n, ids)
-                if len(g):
-                    keep.append(i)
-                    marks.append(_mark(g))
-                    keys.append(band_keys(g, rows))
-            ids.trim()
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(keep, pa.int64())), pa.array(marks, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "mark", "keys"],
-            )
-
-    return run
-
-
-def _mark(grams: np.ndarray) -> bytes:
-    return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
-
-
-def _sets(n: int, rows: int):
-    def run(batches):
-        ids = token_hashes()
-        for b in batches:
-            sets = [gram_set(t, n, ids) for t in b.column(1).to_pylist()]
-            ids.trim()
-            columns = [[_mark(s) for s in sets], [band_keys(s, rows).tobytes() for s in sets], [s.tobytes() for s in sets]]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.binary()) for c in columns)], names=["rep", "mark", "keys", "grams"])
-
-    return run
-
-
-_BLOCK_ROW = ("mark", "rep", "band", "side", "keys", "grams")
-
-
-def _block_pairs(rows: dict, threshold: float) -> list[tuple]:
-    """The pairs of one block. A pair that meets in several blocks is taken in that of its first common band."""
-    grams = [np.frombuffer(x, np.uint64) for x in rows["grams"]]
-    points = np.array([point(g) for g in grams])
-    side, band = np.array(rows["side"]), rows["band"][0]
-    keys = np.array([np.frombuffer(k, np.int64) for k in rows["keys"]])
-    i, j = candidates(points, np.flatnonzero(side <= 0), np.flatnonzero(side == 1) if side.max() >= 0 else None, threshold)
-    out = []
-    for at in range(0, len(i), 1 << 16):
-        x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-        new = ~(keys[x, :band] == keys[y, :band]).any(axis=1)
-        for p, q in zip(x[new].tolist(), y[new].tolist()):
-            if rows["mark"][p] > rows["mark"][q]:
-                p, q = q, p
-            if (s := jaccard(grams[p], grams[q])) >= threshold:
-                out.append((rows["mark"][p], rows["mark"][q], rows["rep"][p], rows["rep"][q], s))
-    return out
+from memquarry.llm.common import gathered, mix64, word_hashes, written
+from memquarry.llm.set_join import BITS, keyed, links, marks_of
+
+BROADCAST_IDS = 200_000  # ids of 16 bytes and their hash table: some 16 MB
+
+
+def gram_sets(texts: list, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct hashes of the n-grams of each text's lower-cased words, one text after another, and how many each has; a text of fewer than n words has one gram, of all of them; one without words has none."""
+    h, words = word_hashes(texts)
+    first = np.cumsum(words) - words
+    held = np.where(words >= n, words - n + 1, np.minimum(words, 1))
+    g = np.full(max(len(h) - n + 1, 0), n, np.uint64)
+    for i in range(n):
+        g = mix64(g + h[i : len(h) - n + 1 + i]) if len(g) else g
+    g = np.append(g, np.zeros(len(h) - len(g), np.uint64))  # the last words begin no gram of n
+    for k in np.flatnonzero((words > 0) & (words < n)).tolist():
+        x = np.full(1, words[k], np.uint64)
+        for i in range(words[k]):
+            x = mix64(x + h[first[k] + i : first[k] + i + 1])
+        g[first[k]] = x[0]
+    g = gathered(g, first, held) >> np.uint64(64 - BITS)
+    stops = np.cumsum(held)
+    for a, b in zip((stops - held).tolist(), stops.tolist()):
+        g[a:b].sort()
+    new = np.ones(len(g), bool)
+    new[1:] = g[1:] != g[:-1]
+    new[(stops - held)[held > 0]] = True
+    upto = np.concatenate(([0], np.cumsum(new)))
+    return g[new], upto[stops] - upto[stops - held]
+
+
+def _make(n: int):
+    def make(texts):
+        grams, sizes = gram_sets(texts, n)
+        return grams, sizes, marks_of(grams, sizes)
+
+    return make
+
+
+def _linked(docs: DataFrame, n: int, threshold: float, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """doc_id, mark of each id and set; mark, rep (the least id), members of each set; mark_a, mark_b, jaccard of different sets. All come from written tables."""
+    kind = docs.schema[doc_id].dataType.simpleString()
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
+    table = keyed(texts, _make(n), threshold, "ngram-sets")
+    own = table.select("doc_id", "mark").distinct()
+    prints = own.where("mark IS NOT NULL").groupBy("mark").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members"))
+    prints = written(prints.select("mark", F.col("rep").cast(kind), "members"), "ngram-prints")
+    return own, prints, written(links(table, threshold), "ngram-links")
 
 
-def _verified(threshold: float):
-    """Rows sorted by block to pairs; one block is held at a time."""
+def _edges(own: DataFrame, prints: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_a, doc_b: each set's least id with its other ones, and of linked sets the least ids; in linear size what pairs of ids say about components."""
+    rep = prints.select("mark", "rep")
+    within = own.join(rep, "mark").where("doc_id <> rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"))
+    across = found.join(rep.toDF("mark_a", "doc_a"), "mark_a").join(rep.toDF("mark_b", "doc_b"), "mark_b").select("doc_a", "doc_b")
+    return within.unionByName(across)
 
-    def flushed(rows):
-        found = _block_pairs(rows, threshold)
-        kinds = {"mark_a": pa.binary(), "mark_b": pa.binary(), "rep_a": pa.int64(), "rep_b": pa.int64(), "jaccard": pa.float64()}
-        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], t) for k, t in enumerate(kinds.values())], names=list(kinds))
 
-    def run(batches):
-        block, held = None, {k: [] for k in _BLOCK_ROW}
-        for b in batches:
-            blocks = list(zip(*(b.column(k).to_pylist() for k in ("block", "bi", "bj"))))
-            columns = {k: b.column(k).to_pylist() for k in _BLOCK_ROW}
-            start = 0
-            for i, own in enumerate(blocks):
-                if own != block:
-                    if block is not None:
-                        for k in _BLOCK_ROW:
-                            held[k] += columns[k][start:i]
-                        yield flushed(held)
-                    block, held, start = own, {k: [] for k in _BLOCK_ROW}, i
-            for k in _BLOCK_ROW:
-                held[k] += columns[k][start:]
-        if block is not None:
-            yield flushed(held)
+def ngram_classes(docs: DataFrame, n: int = 3, threshold: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, class_id, n_links: one row per id. n_links counts the other documents whose sets reach the threshold with the document's own, copies included; class_id is the least id of all that are linked to it over any number of links.
 
-    return run
+    Ids are integers. Rows with a null id take no part; a null text, an empty one and one without a word have a class of their own and no links. Rows that repeat are one; an id with several texts has the links of each (where two of its
+    texts are similar, with itself, too) and joins their classes. Ties need no order. Texts are taken whole, however long. An empty table gives an empty one; columns besides id and text aren't read, whatever their names.
 
+    Texts are read once. Copies are never expanded to pairs: each link of two different sets counts for all their members.
+    """
+    own, prints, found = _linked(docs, n, threshold, doc_id, text)
+    both = found.select("mark_a", "mark_b").unionByName(found.select(F.col("mark_b").alias("mark_a"), F.col("mark_a").alias("mark_b")))
+    outer = both.join(prints.select(F.col("mark").alias("mark_b"), "members"), "mark_b").groupBy(F.col("mark_a").alias("mark")).agg(F.sum("members").alias("outer"))
+    per_set = prints.join(outer, "mark", "left").select("mark", (F.col("members") - 1 + F.coalesce("outer", F.lit(0))).alias("k"))
+    linked = own.join(per_set, "mark", "left").groupBy("doc_id").agg(F.coalesce(F.sum("k"), F.lit(0)).cast("long").alias("n_links"))
+    groups = components(_edges(own, prints, found)).toDF("doc_id", "root")
+    kind = docs.schema[doc_id].dataType.simpleString()
+    return linked.join(groups, "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").cast(kind).alias("class_id"), "n_links")
 
-def ngram_pairs(docs: DataFrame, n: int = 3, threshold: float = 0.5, doc_id: str = "doc_id", text: str = "text", expand: bool = True) -> DataFrame:
-    """doc_a < doc_b, jaccard (6 places): every pair of ids whose texts' n-gram sets reach the threshold, exact copies included.
 
-    Ids are integers. Rows with a null id, or without any word (null, empty), pair with nothing. Rows that repeat an id never pair with one another; an id with several texts gets, per
-    partner, its largest similarity. Ties need no order: all pairs are given. An empty table gives an empty one; columns besides id and text aren't read. With expand=False each group of
-    equal sets shows as pairs of its least id with each other one, and pairs between groups as one pair of least ids, which has the same connected components in linear size.
+def ngram_pairs(docs: DataFrame, n: int = 3, threshold: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_a < doc_b, jaccard (6 places): every pair of ids whose texts' n-gram sets reach the threshold, exact copies included; as many rows as there are such pairs, so copies of one text have a square of them. ngram_classes is linear.
 
-    Texts are read twice; the first pass shuffles 40 band keys a distinct set, the second only the sets of documents that share a band with another. Nothing is collected.
+    Ids, nulls, empty and long texts, empty tables and other columns as in ngram_classes. Rows that repeat an id never pair with one another; an id with several texts gets, per partner, its largest similarity.
     """
-    kind = docs.schema[doc_id].dataType.simpleString()
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    prints = mapped(texts, _fingerprints(n, band_rows(threshold)), f"doc_id {kind}, mark binary, keys array<long>").groupBy("mark").agg(F.collect_set("doc_id").alias("members"), F.min("doc_id").cast("long").alias("rep"), F.first("keys").alias("keys"))
-    prints = written(prints, "ngram-prints")
-    together = (
-        prints.select("rep", "mark", F.posexplode("keys").alias("band", "key"))
-        .groupBy("band", "key")
-        .agg(F.sort_array(F.collect_list(F.struct("rep", "mark"))).alias("found"))
-        .where(F.size("found") > 1)
-        .groupBy("found")
-        .agg(F.min("band").alias("band"))
-    )
-    members = together.select(
-        F.xxhash64("found", "band").alias("block"), "band", F.ceil(F.size("found") / BLOCK).cast("int").alias("blocks"), F.posexplode("found").alias("pos", "m")
-    ).select("block", "band", "blocks", F.expr(f"cast(pos div {BLOCK} as int)").alias("own"), "m.rep", "m.mark")
-    members = written(members, "ngram-members")
-    wanted = members.select("rep").distinct()
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted.hint("shuffle_hash")
-    again = texts.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep", "left_semi")
-    # an id may come with several texts; the mark tells which is meant
-    grams = mapped(again, _sets(n, band_rows(threshold)), "rep long, mark binary, keys binary, grams binary").dropDuplicates(["rep", "mark"])
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    blocks = (
-        members.select("*", other)
-        .join(grams, ["rep", "mark"])
-        .select(
-            "block",
-            F.least("own", "other").alias("bi"),
-            F.greatest("own", "other").alias("bj"),
-            *("mark", "rep", "band", "keys", "grams"),
-            F.when(F.col("own") == F.col("other"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
-        )
-        .repartition("block", "bi", "bj")
-        .sortWithinPartitions("block", "bi", "bj")
-    )
-    found = mapped(blocks, _verified(threshold), "mark_a binary, mark_b binary, rep_a long, rep_b long, jaccard double")
-    same = prints.where(F.size("members") > 1)
-    if expand:
-        one = prints.select("mark", F.explode("members").alias("doc"))
-        within = same.select(F.explode("members").alias("doc_a"), "members").select("doc_a", F.explode("members").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-        across = (
-            found.join(one.select(F.col("mark").alias("mark_a"), F.col("doc").alias("x")), "mark_a")
-            .join(one.select(F.col("mark").alias("mark_b"), F.col("doc").alias("y")), "mark_b")
-            .select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
-        )
-    else:
-        within = same.select(F.col("rep").alias("doc_a"), F.explode("members").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-        across = found.select(F.least("rep_a", "rep_b").alias("doc_a"), F.greatest("rep_a", "rep_b").alias("doc_b"), "jaccard")
+    own, prints, found = _linked(docs, n, threshold, doc_id, text)
+    one = own.where("mark IS NOT NULL")
+    within = one.toDF("doc_a", "mark").join(one.toDF("doc_b", "mark"), "mark").select("doc_a", "doc_b", F.lit(1.0).alias("jaccard"))
+    across = found.join(one.toDF("x", "mark_a"), "mark_a").join(one.toDF("y", "mark_b"), "mark_b").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
     # only ids with several texts can give a pair twice
     pairs = within.unionByName(across).where("doc_a < doc_b").groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
-    return pairs.select(F.col("doc_a").cast(kind), F.col("doc_b").cast(kind), F.round("jaccard", 6).alias("jaccard"))
+    return pairs.select("doc_a", "doc_b", F.round("jaccard", 6).alias("jaccard"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -299,9 +131,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame, n: int = 3, threshold: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without all but the least id of each connected component of pairs at the threshold; all columns as they are. Rows that repeat an id stay or go together; null ids stay."""
-    pairs = ngram_pairs(docs, n, threshold, doc_id, text, expand=False)
-    gone = components(pairs.select("doc_a", "doc_b")).where("node <> root").select(F.col("node").alias("__gone"))
+    """docs without all but the least id of each class of ngram_classes; all columns as they are, whatever their names. Rows that repeat an id stay or go together; rows with a null id, a null text or one without a word stay; an empty table stays empty."""
+    gone = components(_edges(*_linked(docs, n, threshold, doc_id, text))).where("node <> root").select(F.col("node").alias("__gone"))
     gone = written(gone, "gone")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone.hint("shuffle_hash")
     return docs.join(gone, docs[f"`{doc_id}`"] == gone["__gone"], "left_anti")

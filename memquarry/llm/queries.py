@@ -44,7 +44,7 @@ def op7_repair_shards(spark, sf_dir):
 
 
 def op8_ngram_jaccard(spark, sf_dir):
-    return ngram_join.ngram_pairs(_documents(spark, sf_dir))
+    return ngram_join.ngram_classes(_documents(spark, sf_dir))
 
 
 def op9_license_notices(spark, sf_dir):
@@ -83,7 +83,7 @@ SELECT v.doc_a, v.doc_b, coalesce(x.n, 0) AS n_only_a, coalesce(y.n, 0) AS n_onl
 FROM versions v LEFT JOIN only_a x ON v.doc_a = x.doc_a AND v.doc_b = x.doc_b LEFT JOIN only_b y ON v.doc_a = y.doc_a AND v.doc_b = y.doc_b
 """,
     "op8_ngram_jaccard": r"""
-WITH words AS (
+WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
 ), grams AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS gram
@@ -92,9 +92,14 @@ WITH words AS (
   SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id
 ), shared AS (
   SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS k FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2
+), pairs AS (
+  SELECT doc_a, doc_b FROM shared JOIN sizes x ON x.doc_id = doc_a JOIN sizes y ON y.doc_id = doc_b WHERE k >= 0.5 * (x.n + y.n - k)
+), links AS (
+  SELECT doc_a AS a, doc_b AS b FROM pairs UNION ALL SELECT doc_b, doc_a FROM pairs
+), reached AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b
 )
-SELECT doc_a, doc_b, round(k / (x.n + y.n - k), 6) AS jaccard
-FROM shared JOIN sizes x ON x.doc_id = doc_a JOIN sizes y ON y.doc_id = doc_b
-WHERE k >= 0.5 * (x.n + y.n - k)
+SELECT d.doc_id, least(d.doc_id, coalesce((SELECT min(b) FROM reached WHERE a = d.doc_id), d.doc_id)) AS class_id, (SELECT count(*) FROM links WHERE a = d.doc_id) AS n_links
+FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) d
 """,
 }
