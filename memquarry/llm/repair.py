@@ -1,7 +1,7 @@
 """Token ids in binary shards, compressed by Re-Pair grammars that allow random access.
 
 Within a shard the most frequent pairs of neighbouring symbols are replaced by nonterminals, again and again, until no pair inside a document
-occurs `min_count` times. A rule has two symbols; with every rule the number of tokens that it expands to is stored, so that a range of a
+occurs `min_count` times (twice, unless more is asked for). A rule has two symbols; with every rule the number of tokens that it expands to is stored, so that a range of a
 document's tokens is decoded without expanding what lies before it. No pair reaches over the end of a document.
 
 Pairs are replaced in rounds. A round takes all pairs that occur at least as often as a bar, the count of the most frequent pair over `FALL`; where two occurrences overlap, the one of the
@@ -21,22 +21,22 @@ from pyspark.sql import functions as F
 from memquarry.llm.common import mapped, regrouped, slices
 from memquarry.llm.token_counts import RANKS, encoded, encoding
 
-TERMINALS = 1 << 16  # nonterminals are numbered from here
 SHARD = 1 << 20  # tokens after which a shard is closed; a document stays whole while it has at most _MOST
-MIN_COUNT, FALL = 16, 64
+MIN_COUNT, FALL = 2, 64
 _BITS = 21
-_AT_ONCE = 24_000_000  # characters of which the distinct parts are encoded once
+_AT_ONCE = 16_000_000  # characters of which the distinct parts are encoded once
 _MOST = 1 << _BITS
 
 
-def compress(tokens: np.ndarray, lengths: np.ndarray, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols, symbols of each document, rules (n x 2), and the rules' expansion lengths, for at most 2 ** 21 tokens of documents of the given lengths."""
-    assert len(tokens) <= _MOST
+def compress(tokens: np.ndarray, lengths: np.ndarray, min_count: int = MIN_COUNT, terminals: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols, symbols of each document, rules (n x 2), and the rules' expansion lengths, for at most 2 ** 21 tokens below `terminals`, from which on rules are numbered, of documents of the given lengths."""
+    if len(tokens) > _MOST or terminals > _MOST // 2 or (len(tokens) and int(tokens.max()) >= terminals):
+        raise ValueError("a shard holds at most 2 ** 21 tokens of a vocabulary of at most 2 ** 20")
     seq = tokens.astype(np.int64)
     last = np.zeros(len(seq), bool)
     ends = np.cumsum(lengths)
     last[ends[lengths > 0] - 1] = True
-    rules, bar, top = [], _MOST, TERMINALS
+    rules, bar, top = [], _MOST, terminals
     alive = ~last  # places whose pair may still be frequent: an old pair's count only falls
     while len(seq) > 1:
         at = np.flatnonzero(alive)
@@ -89,19 +89,19 @@ def compress(tokens: np.ndarray, lengths: np.ndarray, min_count: int = MIN_COUNT
         top += len(new)
     found = np.concatenate(rules) if rules else np.empty((0, 2), np.int64)
     size = np.ones(top, np.int64)
-    for k, (a, b) in enumerate(found.tolist(), TERMINALS):
+    for k, (a, b) in enumerate(found.tolist(), terminals):
         size[k] = size[a] + size[b]
     symbols = np.zeros(len(lengths), np.int64)
     symbols[lengths > 0] = np.diff(np.concatenate(([-1], np.flatnonzero(last))))
-    return seq, symbols, found, size[TERMINALS:]
+    return seq, symbols, found, size[terminals:]
 
 
-def expand(symbols, rules: np.ndarray, sizes: np.ndarray, start: int = 0, stop: int | None = None) -> list[int]:
+def expand(symbols, rules: np.ndarray, sizes: np.ndarray, start: int = 0, stop: int | None = None, terminals: int = 1 << 16) -> list[int]:
     """The tokens from start to stop of a document's symbols. Symbols before start are skipped by their lengths, not expanded."""
     symbols = np.asarray(symbols, np.int64)
-    long = symbols >= TERMINALS
+    long = symbols >= terminals
     own = np.ones(len(symbols), np.int64)
-    own[long] = sizes[symbols[long] - TERMINALS]
+    own[long] = sizes[symbols[long] - terminals]
     ends = np.cumsum(own)
     total = int(ends[-1]) if len(ends) else 0
     stop = total if stop is None else min(stop, total)
@@ -115,32 +115,53 @@ def expand(symbols, rules: np.ndarray, sizes: np.ndarray, start: int = 0, stop:
         k += 1
         while stack and place < stop:
             s = stack.pop()
-            n = 1 if s < TERMINALS else int(sizes[s - TERMINALS])
+            n = 1 if s < terminals else int(sizes[s - terminals])
             if place + n <= start:
                 place += n
-            elif s < TERMINALS:
+            elif s < terminals:
                 out.append(s)
                 place += 1
             else:
-                a, b = rules[s - TERMINALS]
+                a, b = rules[s - terminals]
                 stack += [int(b), int(a)]
     return out
 
 
-def read_document(row, doc_id, start: int = 0, stop: int | None = None) -> list[int]:
-    """The tokens from start to stop of one document of a shard's row."""
-    place = list(row["doc_ids"]).index(doc_id)
-    at = np.cumsum(np.asarray(row["n_symbols"]))
-    begin = int(at[place] - row["n_symbols"][place])
-    symbols = np.frombuffer(row["symbols"], "<u4")[begin : int(at[place])]
-    return expand(symbols, np.frombuffer(row["rules"], "<u4").reshape(-1, 2), np.frombuffer(row["rule_lengths"], "<u4"), start, stop)
+def read_document(rows, doc_id, start: int = 0, stop: int | None = None, copy: int = 0) -> list[int]:
+    """The tokens from start to stop of one document, from the rows of the shards that hold its id (or one such row), in any order. Of several rows of docs with this id `copy` picks one. Entries that end before start aren't expanded; KeyError where there is no such document."""
+    rows = sorted(rows if isinstance(rows, list) else [rows], key=lambda r: r["shard"])
+    out, at, seen, found = [], 0, -1, False
+    for row in rows:
+        ends = np.cumsum(np.asarray(row["n_symbols"], np.int64))
+        for place, own in enumerate(row["doc_ids"]):
+            if own != doc_id:
+                continue
+            seen += row["pieces"][place] == 0
+            if seen != copy:
+                continue
+            found = True
+            n = int(row["n_tokens"][place])
+            if at + n > start and (stop is None or at < stop):
+                symbols = np.frombuffer(row["symbols"], "<u4")[int(ends[place] - row["n_symbols"][place]) : int(ends[place])]
+                rules, sizes = np.frombuffer(row["rules"], "<u4").reshape(-1, 2), np.frombuffer(row["rule_lengths"], "<u4")
+                out += expand(symbols, rules, sizes, start - at, None if stop is None else stop - at, int(row["terminals"]))
+            at += n
+    if not found:
+        raise KeyError(doc_id)
+    return out
+
+
+def read(shards: DataFrame, doc_id, start: int = 0, stop: int | None = None, copy: int = 0) -> list[int]:
+    """read_document() from the table: only the few shards that hold the id come to the driver."""
+    return read_document(shards.where(F.array_contains("doc_ids", doc_id)).collect(), doc_id, start, stop, copy)
 
 
 def shards(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = RANKS, shard_tokens: int = SHARD, min_count: int = MIN_COUNT) -> DataFrame:
-    """One row per shard: shard, doc_ids, n_tokens and n_symbols (lists by document), symbols, rules, rule_lengths (binary, 4-byte little-endian).
+    """One row per shard: shard, doc_ids, pieces, n_tokens and n_symbols (lists by entry), terminals, symbols, rules, rule_lengths (binary, 4-byte little-endian).
 
     A shard holds consecutive rows of one task; every row of docs is in exactly one, repeated ones too, null ids as null. Null and empty texts have no tokens. A text of more than 2 ** 21 tokens is laid
-    down in several entries of its id, in order. An empty table gives no shards; other columns aren't read. One pass, no shuffle.
+    down in several entries of its id, in order, over shards that follow one another; `pieces` counts them from 0, so that read_document() gives it whole. Rules are numbered from `terminals` on, the size of the vocabulary.
+    An empty table gives no shards; other columns, whatever their names, aren't read. One pass, no shuffle.
     """
 
     def run(batches):
@@ -155,32 +176,34 @@ def shards(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: st
                 ends = np.cumsum(counts)
                 for d, n, end in zip(b.column(0).slice(i, j - i).to_pylist(), counts.tolist(), ends.tolist()):
                     own = ids[end - n : end]
-                    for part in [own[k : k + _MOST] for k in range(0, n, _MOST)] or [own]:
+                    for piece, part in enumerate([own[k : k + _MOST] for k in range(0, n, _MOST)] or [own]):
                         if held and tokens + len(part) > shard_tokens:
                             yield shard(task, number, held)
                             held, tokens, number = [], 0, number + 1
-                        held.append((d, part))
+                        held.append((d, part, piece))
                         tokens += len(part)
         if held:
             yield shard(task, number, held)
 
     def shard(task, number, held):
-        lengths = np.array([len(p) for _, p in held], np.int64)
-        seq, symbols, rules, sizes = compress(np.concatenate([p for _, p in held]), lengths, min_count)
+        lengths, terminals = np.array([len(p) for _, p, _ in held], np.int64), encoding(path).max_token_value + 1
+        seq, symbols, rules, sizes = compress(np.concatenate([p for _, p, _ in held]), lengths, min_count, terminals)
         one = lambda v, t: pa.array([v], t)
         return pa.RecordBatch.from_arrays(
             [
                 one(task << 32 | number, pa.int64()),
-                pa.array([[d for d, _ in held]], pa.list_(id_type)),
+                pa.array([[d for d, *_ in held]], pa.list_(id_type)),
+                one([k for *_, k in held], pa.list_(pa.int32())),
                 one(lengths.astype(np.int32), pa.list_(pa.int32())),
                 one(symbols.astype(np.int32), pa.list_(pa.int32())),
+                one(terminals, pa.int32()),
                 *(one(x.astype("<u4").tobytes(), pa.binary()) for x in (seq, rules, sizes)),
             ],
-            names=["shard", "doc_ids", "n_tokens", "n_symbols", "symbols", "rules", "rule_lengths"],
+            names=["shard", "doc_ids", "pieces", "n_tokens", "n_symbols", "terminals", "symbols", "rules", "rule_lengths"],
         )
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = docs.schema[doc_id].dataType
     id_type = to_arrow_type(kind)
-    return mapped(docs.select(F.col(doc_id), F.col(text)), run, f"shard long, doc_ids array<{kind.simpleString()}>, n_tokens array<int>, n_symbols array<int>, symbols binary, rules binary, rule_lengths binary")
+    return mapped(docs.select(F.col(doc_id), F.col(text)), run, f"shard long, doc_ids array<{kind.simpleString()}>, pieces array<int>, n_tokens array<int>, n_symbols array<int>, terminals int, symbols binary, rules binary, rule_lengths binary")

@@ -8,8 +8,6 @@ where the documents are read; the frequencies of the others are joined to the ta
 from __future__ import annotations
 
 import gc
-import itertools
-import re
 from collections import Counter
 
 import numpy as np
@@ -17,66 +15,93 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from memquarry.llm.common import TOKENIZER_DIR, byte_ranks, gathered, mapped, only_model, pre_tokens, regrouped, slices, written
+from memquarry.llm.common import TOKENIZER_DIR, byte_ranks, character_sums, gathered, mapped, only_model, order_of, pre_tokens, regrouped, slices, written
 
 RANKS = f"{TOKENIZER_DIR}/byte_bpe_50k.tiktoken"
 HEAD = 400_000
 
-_UNEVEN = re.compile(r"[ \n]\s|\s[ \n]")  # white space beside a space or line feed; a NUL, too, would look like the mark of a text's start
-_OTHER_SPACE = re.compile(r"[^\S \n]")
-
-
 def encoding(path: str):
     return only_model(("ranks", path), lambda: byte_ranks(path))
 
 
-def _uneven(t: str) -> bool:
-    if "  " in t or "\n " in t or " \n" in t or "\n\n" in t or "\0" in t or t[0].isspace() or t[-1].isspace():
-        return True
-    return bool(_OTHER_SPACE.search(t)) and bool(_UNEVEN.search(t))
+_SPACES: list = []
+
+
+def _spaces() -> np.ndarray:
+    """By code point whether it is white space."""
+    if not _SPACES:
+        _SPACES.append(np.fromiter((chr(c).isspace() for c in range(0x110000)), bool, 0x110000))
+    return _SPACES[0]
+
+
+def _cut(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """By part of the texts that can be cut: a 64-bit hash, its text, its place there and its size; by text the number of parts, and whether it can't be cut.
+
+    A part begins at each space and line feed and, with a NUL in front, at the start of a text. A text can't be cut where white space stands beside a space or line feed, at its start or end, or where it holds a NUL.
+    """
+    out, counts, uneven = [], np.zeros(len(texts), np.int64), np.zeros(len(texts), bool)
+    for i, j in slices(texts, 2_000_000):  # so that what is worked on fits in a processor's cache
+        own = [t or "" for t in texts[i:j]]
+        c = np.frombuffer(("\0" + "\0".join(own) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32)
+        sizes = np.fromiter(map(len, own), np.int64, len(own))
+        mark = np.cumsum(sizes + 1) - sizes - 1
+        nul = c == 0
+        cut = (c == 32) | (c == 10) | nul
+        space = _spaces()[c] | nul
+        nul[mark] = nul[-1] = False
+        nul[:-1] |= space[:-1] & space[1:] & (cut[:-1] | cut[1:])
+        bad = np.zeros(len(own), bool)
+        bad[np.searchsorted(mark, np.flatnonzero(nul), side="right") - 1] = True
+        bad &= sizes > 0
+        start = np.flatnonzero(cut[:-1])
+        size = np.diff(np.append(start, len(c) - 1))
+        text = np.searchsorted(mark, start, side="right") - 1
+        h = character_sums(c[:-1], start, size)
+        kept = ((sizes > 0) & ~bad)[text]
+        text, start, size = text[kept], start[kept], size[kept]
+        out.append((h[kept], text + i, start - mark[text] - 1, size))
+        counts[i:j] = np.bincount(text, minlength=len(own))
+        uneven[i:j] = bad
+    parts = [np.concatenate([x[k] for x in out]) if out else np.empty(0, np.int64) for k in range(4)]
+    return *parts, counts, uneven
 
 
 def parts_of(texts: list, known) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """ids, starts and sizes of the distinct parts of the texts, and by text the parts it consists of: their numbers, and how many.
 
-    Where a text's spaces and line feeds stand alone, each between two characters that are no white space, a pre-token begins at each. Such a text is cut there; the distinct parts of all texts
-    are encoded at once, one a line, and told apart by the line feed's id. Any other text is a part of its own.
+    Where a text's spaces and line feeds stand alone, each between two characters that are no white space, a pre-token begins at each. Such a text is cut there; parts are told apart by hashes of 64 bits and their sizes
+    (two of a million differ in neither with a probability below 1e-7), the distinct ones are encoded at once, one a line, and told apart by the line feed's id. Any other text is a part of its own.
     """
     (feed,) = known.encode_ordinary("\n")
-    parts, whole = [], []
-    for t in texts:
-        if not t:
-            parts.append([])
-        elif _uneven(t):
-            parts.append([None])
-            whole.append(t)
-        else:
-            parts.append(("\0" + t).replace("\n", " \n").split(" "))
-    distinct = set(itertools.chain.from_iterable(parts))
-    distinct.discard(None)
-    distinct = list(distinct)
-    lines = "\n".join([p[1:] if p[0] in "\0\n" else " " + p for p in distinct])
-    pool = np.append(np.array(known.encode_ordinary(lines), np.int32), np.int32(feed))
+    h, text, place, size, lengths, uneven = _cut(texts)
+    order = order_of(h)
+    new = np.ones(len(h), bool)
+    new[1:] = (h[order][1:] != h[order][:-1]) | (size[order][1:] != size[order][:-1])
+    number = np.empty(len(h), np.int64)
+    number[order] = np.cumsum(new) - 1
+    first = order[new]
+    distinct = [texts[t][p + 1 : p + n] if p < 0 else texts[t][p : p + n] for t, p, n in zip(text[first].tolist(), place[first].tolist(), size[first].tolist())]
+    fed = np.fromiter((p[0] == "\n" for p in distinct), bool, len(distinct)) & (place[first] >= 0)
+    lines = "\n".join([p[1:] if f else p for p, f in zip(distinct, fed.tolist())])
+    pool = np.append(known.encode_to_numpy(lines, disallowed_special=()).astype(np.int32), np.int32(feed))
     ends = np.flatnonzero(pool == feed)[: len(distinct)]
     starts = np.concatenate(([0], ends[:-1] + 1)) if len(distinct) else ends
     # a part that begins a line has the feed in front: that of the line before, or the last one of the pool
-    place = dict(zip(distinct, range(len(distinct))))
-    fed = np.fromiter((p[0] == "\n" for p in distinct), bool, len(distinct))
     if len(fed) and fed[0]:
         pool, starts, ends = np.concatenate(([np.int32(feed)], pool)), starts + 1, ends + 1
     starts = starts - fed
     sizes = ends - starts
-    lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-    place[None] = -1
-    at = np.fromiter(map(place.__getitem__, itertools.chain.from_iterable(parts)), np.int64, int(lengths.sum()))
-    if whole:
-        more = [np.array(known.encode_ordinary(t), np.int32) for t in whole]
-        at[at < 0] = len(sizes) + np.arange(len(whole))
+    if uneven.any():
+        whole = np.flatnonzero(uneven)
+        more = [known.encode_to_numpy(texts[t], disallowed_special=()).astype(np.int32) for t in whole.tolist()]
+        before = np.cumsum(lengths) - lengths
+        number = np.insert(number, before[whole], len(sizes) + np.arange(len(whole)))
+        lengths[whole] = 1
         own = np.fromiter(map(len, more), np.int64, len(more))
         starts = np.concatenate((starts, len(pool) + np.cumsum(own) - own))
         sizes = np.concatenate((sizes, own))
         pool = np.concatenate((pool, *more))
-    return pool, starts, sizes, at, lengths
+    return pool, starts, sizes, number, lengths
 
 
 def _by_text(per_part: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -141,7 +166,8 @@ def distinct_pre_tokens(docs: DataFrame, text: str = "text", path: str = RANKS)
 def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = RANKS, head: int = HEAD) -> DataFrame:
     """doc_id, n_tokens, n_pre_tokens: one row per id, over all its rows.
 
-    Rows that repeat an id add up; null ids form one row; null and empty texts count 0; an empty table gives an empty one. Texts that look like special tokens are ordinary text. Other columns aren't read.
+    Rows that repeat an id add up; null ids form one row; null and empty texts count 0; an empty table gives an empty one. Texts that look like special tokens are ordinary text. Texts are
+    counted whole, however long; ties of frequency at the head's edge change nothing in the result. Other columns, whatever their names, aren't read.
     Two passes over the texts. Shuffled are the tasks' distinct pre-tokens, and the frequencies of those outside the head.
     """
     spark, kind = docs.sparkSession, docs.schema[doc_id].dataType.simpleString()
