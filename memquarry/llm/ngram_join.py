@@ -51,13 +51,16 @@ def _make(n: int):
 
 def _linked(docs: DataFrame, n: int, threshold: float, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """doc_id, mark of each id and set; mark, rep (the least id), members of each set; mark_a, mark_b, jaccard of different sets. All come from written tables."""
-    kind = docs.schema[doc_id].dataType.simpleString()
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
-    table = keyed(texts, _make(n), threshold, "ngram-sets")
+    return linked_sets(keyed(texts, _make(n), threshold, "ngram-sets"), threshold)
+
+
+def linked_sets(table: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three tables of _linked() from set_join.keyed()'s."""
     own = table.select("doc_id", "mark").distinct()
     prints = own.where("mark IS NOT NULL").groupBy("mark").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members"))
-    prints = written(prints.select("mark", F.col("rep").cast(kind), "members"), "ngram-prints")
-    return own, prints, written(links(table, threshold), "ngram-links")
+    prints = written(prints, "set-marks")
+    return own, prints, written(links(table, threshold), "set-links")
 
 
 def _edges(own: DataFrame, prints: DataFrame, found: DataFrame) -> DataFrame:
@@ -76,14 +79,17 @@ def ngram_classes(docs: DataFrame, n: int = 3, threshold: float = 0.5, doc_id: s
 
     Texts are read once. Copies are never expanded to pairs: each link of two different sets counts for all their members.
     """
-    own, prints, found = _linked(docs, n, threshold, doc_id, text)
+    return classed(*_linked(docs, n, threshold, doc_id, text))
+
+
+def classed(own: DataFrame, prints: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_id, class_id, n_links of each id of own, from the three tables of _linked()."""
     both = found.select("mark_a", "mark_b").unionByName(found.select(F.col("mark_b").alias("mark_a"), F.col("mark_a").alias("mark_b")))
     outer = both.join(prints.select(F.col("mark").alias("mark_b"), "members"), "mark_b").groupBy(F.col("mark_a").alias("mark")).agg(F.sum("members").alias("outer"))
     per_set = prints.join(outer, "mark", "left").select("mark", (F.col("members") - 1 + F.coalesce("outer", F.lit(0))).alias("k"))
     linked = own.join(per_set, "mark", "left").groupBy("doc_id").agg(F.coalesce(F.sum("k"), F.lit(0)).cast("long").alias("n_links"))
     groups = components(_edges(own, prints, found)).toDF("doc_id", "root")
-    kind = docs.schema[doc_id].dataType.simpleString()
-    return linked.join(groups, "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").cast(kind).alias("class_id"), "n_links")
+    return linked.join(groups, "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").cast(own.schema["doc_id"].dataType).alias("class_id"), "n_links")
 
 
 def ngram_pairs(docs: DataFrame, n: int = 3, threshold: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -3,6 +3,8 @@
 A document's sketch has a fixed number of cells; each of its distinct paragraphs' digests goes to one cell in each of three parts, where it adds 1 to a count and is
 xor-ed into a key and, hashed, into a check. Subtracting two sketches cancels what both hold; peeling cells of a single digest then recovers the digests that differ. Where peeling
 stops early, the pair is tried again with four times the cells, until it succeeds, so results are exact.
+
+Versions are documents whose sets of paragraphs have a Jaccard similarity of at least a threshold, all of them, found by set_join. A document is held against the version it is most like among those of smaller ids.
 """
 
 from __future__ import annotations
@@ -13,9 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memquarry.llm.common import mapped, mix64, written
-from memquarry.llm.ngram_join import ngram_pairs
+from memquarry.llm.ngram_join import classed, linked_sets, ngram_pairs
+from memquarry.llm.set_join import BITS, keyed, marks_of
 
-CELLS, GROW = 48, 4
+CELLS, GROW, THRESHOLD = 48, 4, 0.5
 _PARTS = 3
 
 
@@ -80,7 +83,7 @@ def paragraph_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
 
 def fingerprints(digests: DataFrame, cells: int = CELLS) -> DataFrame:
-    """doc_id, anchor (the least digest), sketch (binary)."""
+    """doc_id, sketch (binary)."""
     kind = digests.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -88,9 +91,9 @@ def fingerprints(digests: DataFrame, cells: int = CELLS) -> DataFrame:
             lists = b.column(1)
             values, ends = lists.flatten().to_numpy(), np.cumsum(np.diff(lists.offsets.to_numpy()))
             own = np.split(values, ends[:-1]) if len(ends) else []
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([int(d.min()) for d in own], pa.int64()), pa.array([sketch(d, cells).tobytes() for d in own], pa.binary())], names=["doc_id", "anchor", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sketch(d, cells).tobytes() for d in own], pa.binary())], names=["doc_id", "sketch"])
 
-    return mapped(digests.select("doc_id", "digests"), run, f"doc_id {kind}, anchor long, sketch binary")
+    return mapped(digests.select("doc_id", "digests"), run, f"doc_id {kind}, sketch binary")
 
 
 def _differences(kind: str, pairs: DataFrame, cells: int) -> DataFrame:
@@ -107,12 +110,12 @@ def _differences(kind: str, pairs: DataFrame, cells: int) -> DataFrame:
     return mapped(pairs.select("doc_a", "doc_b", "sketch_a", "sketch_b"), run, f"doc_a {kind}, doc_b {kind}, done boolean, n_only_a long, n_only_b long, only_a string, only_b string")
 
 
-def _peeled(kind: str, digests: DataFrame, open_pairs: DataFrame, cells: int, prints: DataFrame) -> DataFrame:
-    """The differences of all pairs (doc_a, doc_b), those that don't peel tried again with larger sketches; prints holds the sketches of the first size."""
+def _peeled(kind: str, digests: DataFrame, open_pairs: DataFrame, cells: int) -> DataFrame:
+    """The differences of all pairs (doc_a, doc_b), those that don't peel tried again with larger sketches. Only documents of open pairs are sketched."""
     done: list = []
     while True:
-        sketches = fingerprints(digests.join(open_pairs.select(F.explode(F.array("doc_a", "doc_b")).alias("doc_id")).distinct(), "doc_id", "left_semi"), cells) if done else prints
-        sketches = sketches.select("doc_id", "sketch")
+        held = digests.join(open_pairs.select(F.explode(F.array("doc_a", "doc_b")).alias("doc_id")).distinct(), "doc_id", "left_semi")
+        sketches = fingerprints(held, cells)
         pairs = open_pairs.join(sketches.toDF("doc_b", "sketch_b"), "doc_b").join(sketches.toDF("doc_a", "sketch_a"), "doc_a")
         tried = written(_differences(kind, pairs, cells), "differences")
         done.append(tried.where("done").drop("done"))
@@ -126,27 +129,42 @@ def _peeled(kind: str, digests: DataFrame, open_pairs: DataFrame, cells: int, pr
     return out
 
 
-def version_differences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cells: int = CELLS) -> DataFrame:
-    """doc_a, doc_b, n_only_a, n_only_b, only_a, only_b: one row per version doc_b of a document doc_a, with the digests (hex, sorted, joined by commas) of the paragraphs that only one has.
+def _as_items(lists: list) -> tuple[np.ndarray, np.ndarray, list]:
+    """Lists of distinct 60-bit digests as set_join takes sets."""
+    sets = [np.unique(np.array(x or (), np.uint64) >> np.uint64(60 - BITS)) for x in lists]
+    sizes = np.array([len(x) for x in sets], np.int64)
+    items = np.concatenate([np.empty(0, np.uint64), *sets])
+    return items, sizes, marks_of(items, sizes)
+
+
+def version_differences(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text", cells: int = CELLS) -> DataFrame:
+    """doc_id, class_id, n_links, base_id, n_only_base, n_only_doc, only_base, only_doc: one row per id.
 
-    Versions are ids whose least paragraph digest is the same, which two documents have with the probability that their paragraphs' Jaccard similarity gives; doc_a is the least id among them. Equal versions have empty lists.
-    Rows that repeat an id are one document with the paragraphs of all; a paragraph that repeats in it counts once; null ids, null texts and texts of blanks take no part. An empty table gives an empty one; other columns aren't read.
+    Two documents are versions of one another where their paragraphs' Jaccard similarity reaches the threshold. n_links counts a document's versions, copies included; class_id is the least id that it is linked to over any number of links.
+    base_id is, of its versions with smaller ids, the most similar one, of equals the least; only_base and only_doc are the digests (hex, sorted, joined by commas) of the paragraphs that only one of the two has, empty for copies.
+    A document without such a version has nulls there.
 
-    Texts are read once; digests and sketches are shuffled, a first version only in partial minima, so a digest that many documents share isn't a hot key.
+    Ids are integers. Rows that repeat an id are one document with the paragraphs of all; a paragraph that repeats in it counts once; ids with null texts or texts of blanks alone have a class of their own and no links; null ids take no
+    part. Texts are taken whole, however long. An empty table gives an empty one; other columns, whatever their names, aren't read. Texts are read once; digests are shuffled, sketches only of documents that are compared.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
     digests = written(paragraph_digests(docs, doc_id, text), "digests")
-    prints = fingerprints(digests, cells)
-    least = digests.select("doc_id", F.array_min("digests").alias("anchor"))
-    bases = least.groupBy("anchor").agg(F.min("doc_id").alias("doc_a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    base_of = written(least.join(bases.select("anchor", "doc_a"), "anchor").where("doc_id <> doc_a").select("doc_a", F.col("doc_id").alias("doc_b")), "versions")
-    return _peeled(kind, digests, base_of, cells, prints)
+    own, prints, found = linked_sets(keyed(digests.select("doc_id", F.col("digests").alias("text")), _as_items, threshold, "paragraph-sets"), threshold)
+    rep = prints.select("mark", "rep")
+    pairs = found.join(rep.toDF("mark_a", "x"), "mark_a").join(rep.toDF("mark_b", "y"), "mark_b").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
+    # a set's least id is the only one whose base may lie in another set; its copies have it for their base
+    best = written(pairs.groupBy("doc_b").agg(F.max(F.struct("jaccard", (-F.col("doc_a")).alias("less"))).alias("b")).select((-F.col("b.less")).cast(kind).alias("doc_a"), "doc_b"), "bases")
+    apart = _peeled(kind, digests, best, cells).toDF("base_id", "doc_id", "n_only_base", "n_only_doc", "only_base", "only_doc")
+    same = own.join(rep, "mark").where("doc_id <> rep").select(F.col("rep").alias("base_id"), "doc_id", F.lit(0).cast("long").alias("n_only_base"), F.lit(0).cast("long").alias("n_only_doc"), F.lit("").alias("only_base"), F.lit("").alias("only_doc"))
+    every = docs.select(F.col(doc_id).alias("doc_id")).where("doc_id IS NOT NULL").distinct()
+    classes = every.join(classed(own, prints, found), "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return classes.join(apart.unionByName(same), "doc_id", "left").select("doc_id", "class_id", "n_links", "base_id", "n_only_base", "n_only_doc", "only_base", "only_doc")
 
 
 def version_pairs(docs: DataFrame, threshold: float = 0.5, doc_id: str = "doc_id", text: str = "text", cells: int = CELLS) -> DataFrame:
     """The columns of version_differences, of every pair doc_a < doc_b whose paragraphs, or whose word 3-grams, have a Jaccard similarity of at least the threshold, exact copies included.
 
-    Both kinds of pairs come from ngram_pairs, which at a threshold of 0.5 loses a pair at 0.5 with probability 0.005 and one at 0.6 with 0.0001; paragraphs are its 1-grams. The 3-grams find versions of one edited paragraph.
+    Both kinds of pairs come from ngram_pairs; paragraphs are its 1-grams. The 3-grams find versions of one edited paragraph.
     Ids are integers; rows that repeat an id, null ids, null texts and texts of blanks are taken as in version_differences. Sketches are subtracted once for each pair of distinct paragraph sets and the result is given to all their copies.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -157,8 +175,7 @@ def version_pairs(docs: DataFrame, threshold: float = 0.5, doc_id: str = "doc_id
     rep = written(marks.join(marks.groupBy("mark").agg(F.min("doc_id").alias("rep")), "mark").select("doc_id", "rep"), "paragraph-sets")
     pairs = written(found.join(rep.toDF("doc_a", "ra"), "doc_a").join(rep.toDF("doc_b", "rb"), "doc_b").select("doc_a", "doc_b", F.least("ra", "rb").alias("x"), F.greatest("ra", "rb").alias("y"), (F.col("ra") > F.col("rb")).alias("turned")), "version-pairs")
     apart = pairs.where("x <> y").select(F.col("x").alias("doc_a"), F.col("y").alias("doc_b")).distinct()
-    held = digests.join(apart.select(F.explode(F.array("doc_a", "doc_b")).alias("doc_id")).distinct(), "doc_id", "left_semi")
-    differences = _peeled(kind, digests, apart, cells, fingerprints(held, cells)).toDF("x", "y", "n_x", "n_y", "only_x", "only_y")
+    differences = _peeled(kind, digests, apart, cells).toDF("x", "y", "n_x", "n_y", "only_x", "only_y")
     side = lambda k, a, b, none: F.coalesce(F.when(F.col("turned"), F.col(f"{k}_{b}")).otherwise(F.col(f"{k}_{a}")), F.lit(none))
     return pairs.join(differences, ["x", "y"], "left").select(
         *("doc_a", "doc_b"), side("n", "x", "y", 0).cast("long").alias("n_only_a"), side("n", "y", "x", 0).cast("long").alias("n_only_b"), side("only", "x", "y", "").alias("only_a"), side("only", "y", "x", "").alias("only_b")

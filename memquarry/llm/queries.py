@@ -35,10 +35,6 @@ def op6_version_differences(spark, sf_dir):
     return paragraph_sketch.version_differences(_documents(spark, sf_dir))
 
 
-def op6_version_pairs(spark, sf_dir):
-    return paragraph_sketch.version_pairs(_documents(spark, sf_dir))
-
-
 def op7_repair_shards(spark, sf_dir):
     return repair.shards(_documents(spark, sf_dir))
 
@@ -56,31 +52,39 @@ def op10_language(spark, sf_dir):
     return langid.identify(docs, langid.fit(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_mixture, op3_token_counts, op4_sentencepiece, op5_compression, op6_version_differences, op6_version_pairs, op7_repair_shards, op8_ngram_jaccard, op9_license_notices, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_mixture, op3_token_counts, op4_sentencepiece, op5_compression, op6_version_differences, op7_repair_shards, op8_ngram_jaccard, op9_license_notices, op10_language)}
 
 ORACLE_SQL = {
     "op6_version_differences": """
-WITH lines AS (
+WITH RECURSIVE lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
 ), digests AS (
   SELECT DISTINCT doc_id, substr(md5(trim(line)), 1, 15) AS h FROM lines WHERE trim(line) <> ''
-), anchors AS (
-  SELECT doc_id, min(h) AS anchor FROM digests GROUP BY doc_id
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM digests GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM digests a JOIN digests b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2
+), pairs AS (
+  SELECT a, b, k / (x.n + y.n - k) AS jaccard FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE k >= 0.5 * (x.n + y.n - k)
+), links AS (
+  SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs
+), reached AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b
 ), bases AS (
-  SELECT anchor, min(doc_id) AS doc_a FROM anchors GROUP BY anchor
-), versions AS (
-  SELECT doc_a, doc_id AS doc_b FROM anchors JOIN bases USING (anchor) WHERE doc_id <> doc_a
-), a AS (
-  SELECT doc_a, doc_b, h FROM versions JOIN digests ON doc_id = doc_a
-), b AS (
-  SELECT doc_a, doc_b, h FROM versions JOIN digests ON doc_id = doc_b
-), only_a AS (
-  SELECT doc_a, doc_b, count(*) AS n, string_agg(h, ',' ORDER BY h) AS hs FROM (SELECT * FROM a EXCEPT SELECT * FROM b) GROUP BY ALL
-), only_b AS (
-  SELECT doc_a, doc_b, count(*) AS n, string_agg(h, ',' ORDER BY h) AS hs FROM (SELECT * FROM b EXCEPT SELECT * FROM a) GROUP BY ALL
+  SELECT b AS doc_id, a AS base_id FROM pairs QUALIFY row_number() OVER (PARTITION BY b ORDER BY jaccard DESC, a) = 1
+), theirs AS (
+  SELECT base_id, b.doc_id, h FROM bases b JOIN digests d ON d.doc_id = base_id
+), ours AS (
+  SELECT base_id, b.doc_id, h FROM bases b JOIN digests d ON d.doc_id = b.doc_id
+), only_base AS (
+  SELECT doc_id, count(*) AS n, string_agg(h, ',' ORDER BY h) AS hs FROM (SELECT * FROM theirs EXCEPT SELECT * FROM ours) GROUP BY doc_id
+), only_doc AS (
+  SELECT doc_id, count(*) AS n, string_agg(h, ',' ORDER BY h) AS hs FROM (SELECT * FROM ours EXCEPT SELECT * FROM theirs) GROUP BY doc_id
 )
-SELECT v.doc_a, v.doc_b, coalesce(x.n, 0) AS n_only_a, coalesce(y.n, 0) AS n_only_b, coalesce(x.hs, '') AS only_a, coalesce(y.hs, '') AS only_b
-FROM versions v LEFT JOIN only_a x ON v.doc_a = x.doc_a AND v.doc_b = x.doc_b LEFT JOIN only_b y ON v.doc_a = y.doc_a AND v.doc_b = y.doc_b
+SELECT d.doc_id, least(d.doc_id, coalesce((SELECT min(b) FROM reached WHERE a = d.doc_id), d.doc_id)) AS class_id, (SELECT count(*) FROM links WHERE a = d.doc_id) AS n_links, base_id,
+  CASE WHEN base_id IS NOT NULL THEN coalesce(x.n, 0) END AS n_only_base, CASE WHEN base_id IS NOT NULL THEN coalesce(y.n, 0) END AS n_only_doc,
+  CASE WHEN base_id IS NOT NULL THEN coalesce(x.hs, '') END AS only_base, CASE WHEN base_id IS NOT NULL THEN coalesce(y.hs, '') END AS only_doc
+FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) d LEFT JOIN bases USING (doc_id) LEFT JOIN only_base x USING (doc_id) LEFT JOIN only_doc y USING (doc_id)
 """,
     "op8_ngram_jaccard": r"""
 WITH RECURSIVE words AS (
