@@ -1,7 +1,7 @@
 """Licence notices in texts: winnowed fingerprints find candidates, banded alignment measures them.
 
 Templates' word k-grams are hashed and winnowed into an inverted index from fingerprint to (template, place). A text's fingerprints, chosen by the same rule, are looked up; hits of a
-template whose diagonals lie close together make a candidate, which is aligned with the template within a band about those diagonals. Reported are the share of the template's words
+template whose diagonals lie close together make a candidate. Where the words there, counted, can reach the coverage, it is aligned with the template within a band about those diagonals. Reported are the share of the template's words
 that match and the span of the text from the first to the last of them.
 """
 
@@ -17,11 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memquarry.llm.common import disjoint, mapped, mix64
+from memquarry.llm.licence_texts import FULL_TEXTS
 
-K, WINDOW, BAND, COVERAGE = 3, 4, 8, 0.7
+K, WINDOW, BAND, COVERAGE = 3, 3, 8, 0.7  # a run of K + WINDOW - 1 words that text and template share gives a common fingerprint; no template is shorter
 WORD = re.compile(r"\w+")
 
-#: name: (licence, text). Notices of one line and the operative paragraphs of common licences.
+#: name: (licence, text). Notices of one line, the operative paragraphs of common licences, and licences in full.
 TEMPLATES = {
     "mit-line": ("MIT", "Released under the MIT License."),
     "mit-line-2": ("MIT", "This project is licensed under the MIT License."),
@@ -41,7 +42,7 @@ TEMPLATES = {
     "cc-by-nc-4-long": ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "isc-grant": ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     "unlicense": ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
-}
+} | FULL_TEXTS
 
 
 def gram_hashes(ids: np.ndarray, k: int) -> np.ndarray:
@@ -64,23 +65,30 @@ def winnow(h: np.ndarray, window: int) -> np.ndarray:
     return np.unique(best)
 
 
+def reach(n: int, band: int = BAND) -> int:
+    """How far an alignment with a template of n words may stray from its diagonal: a quarter of a short notice, so that such notices in a row stay apart, `band` words, or one in fifty of a long text."""
+    return max(1, min(band, n // 4), n // 50)
+
+
 class Index:
-    """The templates' words, and fingerprint -> places in templates. A template of fewer grams than a window gives all of them, and its texts' are all looked up."""
+    """The templates' words, and fingerprint -> places in templates, both winnowed by the rule that texts are."""
 
     def __init__(self, templates=TEMPLATES, k: int = K, window: int = WINDOW):
         self.k, self.window, self.names = k, window, list(templates)
         self.licence = [templates[n][0] for n in self.names]
         self.words = [WORD.findall(templates[n][1].lower()) for n in self.names]
-        self.ids = {w: xxhash.xxh64_intdigest(w) | 1 for ws in self.words for w in ws}  # 0 stands for all other words
+        if short := [n for n, ws in zip(self.names, self.words) if len(ws) < k + window - 1]:
+            raise ValueError(f"templates of fewer than {k + window - 1} words: {short}")
+        self.number = {w: i for i, w in enumerate(sorted({w for ws in self.words for w in ws}), 1)}  # 0 stands for all other words
+        self.hash = np.array([0, *(xxhash.xxh64_intdigest(w) | 1 for w in self.number)], np.uint64)
+        self.numbers = [np.array([self.number[w] for w in ws], np.int64) for ws in self.words]
+        self.counts = [np.bincount(x, minlength=len(self.hash)) for x in self.numbers]
         self.at = defaultdict(list)
-        for t, ws in enumerate(self.words):
-            h = gram_hashes(np.array([self.ids[w] for w in ws], np.uint64), min(k, len(ws)))
-            # every gram is indexed, so a text's winnowed grams meet it wherever a window's worth of words agree; short templates need no full window
-            for i, x in enumerate(h.tolist()):
-                self.at[x].append((t, i))
+        for t, x in enumerate(self.numbers):
+            h = gram_hashes(self.hash[x], k)
+            for i in winnow(h, window).tolist():
+                self.at[int(h[i])].append((t, i))
         self.keys = np.array(sorted(self.at), np.uint64)
-        short = {x for t, ws in enumerate(self.words) if len(ws) < k + window for x in gram_hashes(np.array([self.ids[w] for w in ws], np.uint64), k).tolist()}
-        self.short = np.array(sorted(short), np.uint64)
 
 
 def _within(h: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -90,38 +98,39 @@ def _within(h: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return keys[at] == h
 
 
-def align(template: list[str], words: list[str], diagonal: int, band: int = BAND) -> list[tuple[int, int]]:
+def align(template: list, words: list, diagonal: int, band: int = BAND) -> list[tuple[int, int]]:
     """Places (i, j) of equal words of template[i] and words[j] on the best local alignment with |j - i - diagonal| <= band: match 2, mismatch and gap -1."""
     n, width = len(template), 2 * band + 1
-    score = np.zeros((n + 1, width + 2), np.int32)
-    move = np.zeros((n + 1, width + 2), np.int8)
+    above, moves = [0] * (width + 2), []
     best, at = 0, None
     for i in range(1, n + 1):
-        for c in range(1, width + 1):
-            j = i - 1 + diagonal + c - 1 - band  # word that template[i - 1] meets in this column
-            if not 0 <= j < len(words):
-                continue
-            same = template[i - 1] == words[j]
-            options = (0, score[i - 1, c] + (2 if same else -1), score[i - 1, c + 1] - 1, score[i, c - 1] - 1)
-            k = max(range(4), key=options.__getitem__)
-            score[i, c], move[i, c] = options[k], k
-            if options[k] > best:
-                best, at = options[k], (i, c)
+        word, row, move = template[i - 1], [0] * (width + 2), bytearray(width + 2)
+        first = i - 1 + diagonal - band  # the word that template[i - 1] meets in column 1
+        for c in range(max(1, 1 - first), min(width, len(words) - first) + 1):
+            score, k = 0, 0
+            if (s := above[c] + (2 if word == words[first + c - 1] else -1)) > score:
+                score, k = s, 1
+            if (s := above[c + 1] - 1) > score:
+                score, k = s, 2
+            if (s := row[c - 1] - 1) > score:
+                score, k = s, 3
+            row[c], move[c] = score, k
+            if score > best:
+                best, at = score, (i, c)
+        moves.append(move)
+        above = row
     out = []
-    while at and score[at] > 0:
+    while at and (k := moves[at[0] - 1][at[1]]):
         i, c = at
-        j = i - 1 + diagonal + c - 1 - band
-        k = move[i, c]
         if k == 1:
+            j = i - 1 + diagonal - band + c - 1
             if template[i - 1] == words[j]:
                 out.append((i - 1, j))
-            at = (i - 1, c)
+            at = (i - 1, c) if i > 1 else None
         elif k == 2:
-            at = (i - 1, c + 1)
-        elif k == 3:
-            at = (i, c - 1)
+            at = (i - 1, c + 1) if i > 1 else None
         else:
-            break
+            at = (i, c - 1)
     return out[::-1]
 
 
@@ -130,14 +139,12 @@ def scan(text: str | None, index: Index, coverage: float = COVERAGE, band: int =
     if not text:
         return []
     words = WORD.findall(text.lower())
-    get = index.ids.get
-    ids = np.fromiter((get(w, 0) for w in words), np.uint64, len(words))
-    known = ids != 0
-    if known.sum() < index.k:
-        return []
-    h = gram_hashes(ids, index.k)
-    if not len(h):
+    get = index.number.get
+    numbers = np.fromiter([get(w, 0) for w in words], np.int64, len(words))
+    known = numbers > 0
+    if len(words) < index.k or not known.any():
         return []
+    h = gram_hashes(index.hash[numbers], index.k)
     full = known[: len(h)].copy()
     for i in range(1, index.k):
         full &= known[i : len(h) + i]
@@ -145,7 +152,7 @@ def scan(text: str | None, index: Index, coverage: float = COVERAGE, band: int =
         return []
     chosen = np.zeros(len(h), bool)
     chosen[winnow(h, index.window)] = True
-    places = np.flatnonzero(full & ((chosen & _within(h, index.keys)) | _within(h, index.short)))
+    places = np.flatnonzero(full & chosen & _within(h, index.keys))
     if not len(places):
         return []
     diagonals = defaultdict(list)
@@ -155,10 +162,12 @@ def scan(text: str | None, index: Index, coverage: float = COVERAGE, band: int =
     spans = None
     found = []
     for t, hits in diagonals.items():
-        template = index.words[t]
+        n = len(index.words[t])
+        if len(words) < coverage * n:
+            continue
         hits.sort()
         groups = [[hits[0]]]
-        width = min(band, max(1, len(template) // 4))  # so that short notices in a row stay apart
+        width = reach(n, band)
         for d in hits[1:]:
             if d[0] - groups[-1][0][0] <= width:
                 groups[-1].append(d)
@@ -166,8 +175,13 @@ def scan(text: str | None, index: Index, coverage: float = COVERAGE, band: int =
                 groups.append([d])
         for g in groups:
             middle = g[len(g) // 2][0]
-            pairs = align(template, words, middle, width)
-            if len(pairs) < coverage * len(template):
+            begin = max(0, middle - width)
+            own = numbers[begin : max(0, middle + n + width)]
+            # no alignment matches more words than both hold
+            if np.minimum(np.bincount(own, minlength=len(index.hash)), index.counts[t])[1:].sum() < coverage * n:
+                continue
+            pairs = [(i, j + begin) for i, j in align(index.numbers[t].tolist(), own.tolist(), middle - begin, width)]
+            if len(pairs) < coverage * n:
                 continue
             if spans is None:
                 spans = [m.span() for m in WORD.finditer(text.lower())]
@@ -176,7 +190,7 @@ def scan(text: str | None, index: Index, coverage: float = COVERAGE, band: int =
                     spans = [m.span() for m in WORD.finditer(text)]
                     if len(spans) != len(words):
                         spans = [(0, len(text))] * len(words)
-            found.append((len(pairs), round(len(pairs) / len(template), 4), t, spans[pairs[0][1]][0], spans[pairs[-1][1]][1]))
+            found.append((len(pairs), round(len(pairs) / n, 4), t, spans[pairs[0][1]][0], spans[pairs[-1][1]][1]))
     best = sorted(set(found), key=lambda f: (-f[0], -f[1], index.names[f[2]], f[3]))
     kept = disjoint(best, lambda f: f[3], lambda f: f[4])
     return [(index.licence[t], index.names[t], c, a, b) for _, c, t, a, b in sorted(kept, key=lambda f: f[3])]
@@ -185,7 +199,8 @@ def scan(text: str | None, index: Index, coverage: float = COVERAGE, band: int =
 def notices(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates=TEMPLATES, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, licence, template, coverage, span_start, span_end: one row per notice, offsets in characters; one pass, no shuffle.
 
-    Null and empty texts give no rows; repeated rows give theirs again; null ids stay null; an empty table gives an empty one; other columns aren't read. Whole texts are scanned.
+    Null and empty texts give no rows; repeated rows give theirs again; null ids stay null; an empty table gives an empty one; other columns, whatever their names, aren't read. Whole texts
+    are scanned, however long; ties between overlapping notices as in scan().
     """
     kind = docs.schema[doc_id].dataType.simpleString()
 
