@@ -15,8 +15,8 @@ from memquarry.llm.common import mapped
 
 LEVEL, CHUNK, BAD_SHARE = 3, 4096, 0.25
 #: least bytes of a band: least and largest ratio. Prose in Latin script has 1.1 to 1.8 at 200 bytes, 1.7 to 2.3 at 2 kB and up to 3.5 beyond 16 kB;
-#: random letters and digits have 1.3 at any length, a repeated line 5 and more.
-LIMITS = ((0, 0.0, 1e9), (64, 0.8, 2.2), (128, 0.95, 2.5), (256, 1.1, 2.8), (512, 1.2, 3.2), (1024, 1.33, 3.5), (4096, 1.4, 4.5), (16384, 1.45, 5.5))
+#: random letters and digits have 1.3 at any length, a repeated line 5 and more. Below 64 bytes prose has 0.6 to 1.1 and noise no less, so there only repetition shows.
+LIMITS = ((0, 0.0, 1.5), (32, 0.0, 1.8), (64, 0.8, 2.2), (128, 0.95, 2.5), (256, 1.1, 2.8), (512, 1.2, 3.2), (1024, 1.33, 3.5), (4096, 1.4, 4.5), (16384, 1.45, 5.5))
 
 
 def limits(n: int, bands=LIMITS) -> tuple[float, float]:
@@ -52,7 +52,8 @@ def rate(text: str | None, compressor, chunk: int = CHUNK, bad_share: float = BA
 def rated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk: int = CHUNK, bad_share: float = BAD_SHARE, bands=LIMITS) -> DataFrame:
     """doc_id, ratio, least_chunk, largest_chunk (4 places), verdict, keep: one row per row of docs; one pass, no shuffle.
 
-    Null and empty texts have null ratios and are kept; null ids and repeated rows stay as they are; an empty table gives an empty one; other columns aren't read.
+    Null and empty texts have null ratios and are kept; null ids and repeated rows stay as they are; an empty table gives an empty one; other columns, whatever their names, aren't read. Texts are
+    compressed whole, however long.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
 
