@@ -17,6 +17,8 @@ from memquarry.llm.token_counts import RANKS, with_counts
 from memquarry.session import ship
 
 ALPHA, SEED = 0.7, 17
+TABLE = 1 << 20  # tokens that the dynamic programme goes up to where fewer can't be filled
+RANKED = 50_000  # documents of one source and length that one task ranks, about
 
 
 def fill(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
@@ -49,24 +51,29 @@ def fill(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
 
 
 def plan(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length to take for a budget of tokens; a length of 0 is taken whole, as it costs nothing."""
+    """How many documents of each length to take for a budget of tokens; a length of 0 is taken whole, as it costs nothing. The dynamic programme is left four times the longest document, and where that can't be filled exactly four times as much
+    each time, up to TABLE tokens; within them the sum is the largest of all choices."""
     lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts.copy()
-    share = counts * (budget / total)
-    base = np.minimum(np.floor(share).astype(np.int64), counts)
-    base[lengths == 0] = counts[lengths == 0]
-    left = budget - int((base * lengths).sum())
     most = 4 * int(lengths.max())
-    # largest remainders first, until what is left is a few documents' worth
-    for i in np.lexsort((lengths, -(share - base))):
-        if left <= most:
-            break
-        if base[i] < counts[i] and lengths[i]:
-            base[i] += 1
-            left -= int(lengths[i])
-    return base + fill(lengths, counts - base, left)
+    while True:
+        share = counts * (max(0, budget - most) / total)
+        base = np.minimum(np.floor(share).astype(np.int64), counts)
+        base[lengths == 0] = counts[lengths == 0]
+        left = budget - int((base * lengths).sum())
+        # largest remainders first, until what is left is a few documents' worth
+        for i in np.lexsort((lengths, -(share - base))):
+            if left <= most:
+                break
+            if base[i] < counts[i] and lengths[i]:
+                base[i] += 1
+                left -= int(lengths[i])
+        more = fill(lengths, counts - base, left)
+        if most >= min(budget, TABLE) or int((more * lengths).sum()) == left:
+            return base + more
+        most *= 4  # what is left can't be filled: leave more to the programme
 
 
 def budgets(totals: dict, weights: dict | None, total: int | None, alpha: float) -> dict:
@@ -84,7 +91,8 @@ def select(docs: DataFrame, weights: dict | None = None, total: int | None = Non
     """doc_id, source, n_tokens of the selected documents. weights: source to share, others 0; total: tokens of the whole mixture.
 
     Rows that repeat an id are one document with the sum of their tokens and the least of their sources. Rows with a null id are never selected; a null source is a source of its own (None in
-    weights); null and empty texts have length 0 and are taken wherever their source has a budget plan. Ties of the hash fall by id. An empty table gives an empty one. Other columns aren't read.
+    weights); null and empty texts have length 0 and are taken wherever their source has a budget plan. Ties of the hash fall by id. An empty table gives an empty one. Other columns, whatever their names, aren't read.
+    Texts are counted whole, however long.
 
     What is shuffled are ids, sources and lengths. The driver sees one total per source; the histogram of a source is handled by one task.
     """
@@ -103,16 +111,30 @@ def select(docs: DataFrame, weights: dict | None = None, total: int | None = Non
 
     ship(docs.sparkSession)
     quota = by_length.groupBy("source").applyInPandas(planned, "source string, n_tokens long, take long").where("take > 0")
+    return taken(counted, quota, seed).select(F.col("doc_id").cast(kind), "source", "n_tokens")
+
+
+def taken(counted: DataFrame, quota: DataFrame, seed: int, most: int = RANKED) -> DataFrame:
+    """The documents (doc_id, source, n_tokens) that come first, by a seeded hash of their ids and then by id, among those of their source and length, as many as quota (source, n_tokens, take) says.
+
+    Those of one source and length are parted by ranges of the hash, about `most` in each, so that no task ranks them all: ranges are counted, and each begins with the rank that those before it leave.
+    """
+    same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source")) & (F.col(f"{a}.n_tokens") == F.col(f"{b}.n_tokens"))
+    parts = counted.groupBy("source", "n_tokens").agg(F.ceil(F.count(F.lit(1)) / most).cast("long").alias("parts")).alias("p")
+    h = F.xxhash64("doc_id", F.lit(seed))
+    of = ((F.shiftright(h, 33) + (1 << 30)) * F.col("parts")) / (1 << 31)
+    rows = counted.alias("c").join(parts, same("c", "p")).select("c.doc_id", "c.source", "c.n_tokens", h.alias("h"), F.floor(of).cast("long").alias("part"))
     key = [F.coalesce("source", F.lit("")), F.col("source").isNull(), F.col("n_tokens")]
-    order = Window.partitionBy(*key).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id")
-    ranked = counted.select("*", F.row_number().over(order).alias("__rank")).alias("d")
-    q = quota.alias("q")
-    chosen = ranked.join(q, F.col("d.source").eqNullSafe(F.col("q.source")) & (F.col("d.n_tokens") == F.col("q.n_tokens")) & (F.col("d.__rank") <= F.col("q.take")), "left_semi")
-    return chosen.select(F.col("doc_id").cast(kind), "source", "n_tokens")
+    before = Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("source", "n_tokens", "part").agg(F.count(F.lit(1)).alias("k")).select("source", "n_tokens", "part", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("start"))
+    room = starts.alias("s").join(quota.alias("q"), same("s", "q")).where("take > start").select("s.source", "s.n_tokens", "part", (F.col("take") - F.col("start")).alias("room")).alias("r")
+    held = rows.alias("d").join(room, same("d", "r") & (F.col("d.part") == F.col("r.part"))).select("d.doc_id", "d.source", "d.n_tokens", "d.part", "d.h", "r.room")
+    ranked = held.withColumn("rank", F.row_number().over(Window.partitionBy(*key, "part").orderBy("h", "doc_id")))
+    return ranked.where("rank <= room").select("doc_id", "source", "n_tokens")
 
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs whose ids select() takes, all columns as they are."""
+    """The rows of docs whose ids select() takes, all columns, whatever their names, as they are. Rows that repeat an id stay or go together; rows with a null id go; null and empty texts count 0 tokens; ties and long texts as in select(); an empty table stays empty."""
     ids = written(select(docs, doc_id=doc_id, **options).select(F.col("doc_id").alias("__chosen")), "chosen")
     ids = F.broadcast(ids) if ids.count() <= 1_000_000 else ids.hint("shuffle_hash")
     return docs.join(ids, docs[f"`{doc_id}`"] == ids["__chosen"], "left_semi")

@@ -1,7 +1,9 @@
 import itertools
 import random
+import struct
 
 import numpy as np
+import xxhash
 
 from memquarry.llm import mixture, token_counts
 
@@ -71,6 +73,49 @@ def test_query_against_brute_force(spark, data):
     assert got == want
 
 
+def spark_hash(doc_id, seed):
+    """Spark's xxhash64 of an id and a seed, by the library."""
+    h = xxhash.xxh64_intdigest(struct.pack("<i", seed), seed=xxhash.xxh64_intdigest(struct.pack("<q", doc_id), seed=42))
+    return h - (1 << 64) if h >> 63 else h
+
+
+def test_budgets_sums_and_seeded_picks_by_brute_force(spark):
+    """Without the module's own plan: budgets by the formula, each source's sum the largest that any choice of its documents reaches within its budget, and of each length the documents that come first by hash."""
+    docs = [(r["doc_id"], r["source"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    known = token_counts.encoding(token_counts.RANKS)
+    size = {d: (s, len(known.encode_ordinary(t))) for d, s, t in docs}
+    total = {}
+    for s, n in size.values():
+        total[s] = total.get(s, 0) + n
+    weight = {s: t**0.7 for s, t in total.items()}
+    whole = min(total[s] / weight[s] for s in total)
+    picked = mixture.select(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
+    chosen = {r["doc_id"] for r in picked}
+    assert len(chosen) == len(picked) and all((r["source"], r["n_tokens"]) == size[r["doc_id"]] for r in picked)
+    for s in total:
+        budget = min(total[s], int(whole * weight[s] + 1e-6))
+        reach = 1
+        for d, (t, n) in size.items():
+            if t == s:
+                reach |= reach << n
+        best = (reach & ((1 << (budget + 1)) - 1)).bit_length() - 1
+        assert sum(size[d][1] for d in chosen if size[d][0] == s) == best
+        for n in {n for t, n in size.values() if t == s}:
+            order = sorted((spark_hash(d, mixture.SEED), d) for d, x in size.items() if x == (s, n))
+            k = sum(d in chosen for _, d in order)
+            assert {d for _, d in order[:k]} <= chosen
+
+
+def test_one_length_ranked_in_parts(spark):
+    """Ten thousand documents of one source and length, and one of another, ranked about ten at a time: the ones that plain sorting takes."""
+    counted = spark.createDataFrame([(i, None if i % 2 else "s", 5) for i in range(10_000)] + [(-1, "s", 6)], "doc_id long, source string, n_tokens long")
+    quota = spark.createDataFrame([("s", 5, 1234), (None, 5, 77), ("s", 6, 1)], "source string, n_tokens long, take long")
+    for most in (10, 1000, 10**9):
+        got = {r["doc_id"] for r in mixture.taken(counted, quota, 17, most).collect()}
+        first = lambda ids, k: {d for _, d in sorted((spark_hash(d, 17), d) for d in ids)[:k]}
+        assert got == first(range(0, 10_000, 2), 1234) | first(range(1, 10_000, 2), 77) | {-1}
+
+
 def test_odd_tables(odd, table):
     rows = mixture.select(odd).collect()
     ids = [r["doc_id"] for r in rows]
