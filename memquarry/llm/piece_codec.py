@@ -4,9 +4,9 @@ A text is cut where no piece of the vocabulary can reach across: before every ru
 space mark, are sorted; in that order they are the leaves of a trie met depth first, so the forward scores of a word's prefix are those of its predecessor up to
 their common prefix and are kept on a stack. At each place an Aho-Corasick automaton names the pieces that end there.
 
-For a unigram model the forward score of a place is the largest sum of piece scores. A BPE model's segmentation isn't that of the largest sum, so there the
-search runs over those steps only that BPE could take: piece t may follow piece s where BPE leaves s + t as these two pieces. Each place
-then has exactly one path, which is BPE's segmentation of the prefix; both modes give the ids of the library for the same model file.
+The forward score of a place is the largest sum of piece scores over the steps that lead there. For a unigram model these are all pieces. A BPE model's segmentation isn't that of the largest sum, so there the
+search runs over those steps only that BPE could take: piece t may follow piece s where BPE leaves s + t as these two pieces. Exactly one such step leads to each place, whose score is the largest,
+so the search stops at it; the path is BPE's segmentation of the prefix. Both modes give the ids of the library for the same model file.
 """
 
 from __future__ import annotations
@@ -150,13 +150,15 @@ class Pieces:
                             if ok is None:
                                 ok = self.follows(s, i)
                         if ok:
+                            # no other piece that ends here may be taken: this one's score is the largest
                             last.append(i)
                             size.append(length)
+                            forward.append(forward[b] + score[i])
                             break
                     else:
                         last.append(_OTHER + ord(ch))
                         size.append(1)
-                    forward.append(0.0)
+                        forward.append(forward[d] + lowest)
                 else:
                     best, i, length = lowest + forward[d], _OTHER + ord(ch), 1
                     if found and found[-1][0] == 1:
@@ -255,7 +257,7 @@ def encode(docs: DataFrame, path: str = MODEL, doc_id: str = "doc_id", text: str
     """doc_id, ids, n_ids, restored: one row per row of docs, in one pass without a shuffle. `restored` says whether decoding the ids gives the text.
 
     A null text has null ids, count and flag; an empty one no ids. The mark U+2581 in a text counts as a space, as in the library, so such a text isn't restored. Ids that are null
-    or repeat are kept as they are; an empty table gives an empty one; other columns aren't read. Every word of the text is encoded, however long.
+    or repeat are kept as they are; an empty table gives an empty one; other columns, whatever their names, aren't read. Every word of the text is encoded, however long.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
 
@@ -277,7 +279,7 @@ def encode(docs: DataFrame, path: str = MODEL, doc_id: str = "doc_id", text: str
 
 
 def decode(encoded: DataFrame, path: str = MODEL, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """doc_id, text: the texts of id lists; null lists give null texts, empty ones empty texts."""
+    """doc_id, text: the texts of id lists; null lists give null texts, empty ones empty texts, lists of any length their whole text. Ids that are null or repeat stay as they are; an empty table gives an empty one; other columns, whatever their names, aren't read."""
     kind = encoded.schema[doc_id].dataType.simpleString()
 
     def run(batches):

@@ -40,6 +40,26 @@ def test_documents(spark, data):
     assert {r["doc_id"]: r["text"] for r in C.decode(got).collect()} == texts
 
 
+def test_one_step_leads_to_each_place(spark, data):
+    """In a BPE model no second piece may be taken where one is, so the forward score of that one is the largest; the path's score is the sum of its pieces'."""
+    words = sorted({"▁" + w for r in spark.read.parquet(f"{data}/documents.parquet").select("text").limit(30).collect() for w in r["text"].split()})[:400]
+    for word, ids in zip(words, MODEL.encode_sorted(words)):
+        last, forward = [-1], [0.0]
+        for d in range(len(word)):
+            steps = []
+            for length, i in [(n, MODEL.id[word[d + 1 - n : d + 1]]) for n in range(1, d + 2) if word[d + 1 - n : d + 1] in MODEL.id]:
+                s = last[d + 1 - length]
+                alone = s == -1 and len(MODEL.merged(MODEL.text[i])) == 1
+                if alone or s >= 0 and MODEL.merged(MODEL.string(s) + MODEL.text[i]) == [MODEL.string(s), MODEL.text[i]]:
+                    steps.append((forward[d + 1 - length] + MODEL.score[i], i))
+            assert len(steps) <= 1
+            score, i = max(steps, default=(forward[d] + MODEL.least - 10, C._OTHER + ord(word[d])))
+            last.append(i)
+            forward.append(score)
+        if all(i < C._OTHER for i in last[1:]):
+            assert ids[-1] == last[-1] and forward[-1] == sum(MODEL.score[i] for i in ids)
+
+
 def test_unigram_scores(tmp_path):
     """A unigram model with the same pieces and random scores: the plain Viterbi search gives the library's ids."""
     model = proto.ModelProto()
