@@ -15,7 +15,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
-from memquarry.session import passing_path, ship
+from memquarry.session import ship, written  # noqa: F401  (the operators take written from here)
 
 TOKENIZER_DIR = os.environ.get("MEMQUARRY_TOKENIZERS", "/opt/tokenizers")
 
@@ -46,13 +46,6 @@ def _tidy() -> None:
         pass
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, without lineage, readable after the loss of executors. The table goes when the driver ends."""
-    path = passing_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser over uint64."""
     x = x ^ (x >> np.uint64(30))

@@ -17,6 +17,7 @@ from memquarry.llm.token_counts import RANKS, with_counts
 from memquarry.session import ship
 
 ALPHA, SEED = 0.7, 17
+BROADCAST_IDS = 200_000  # ids of some 40 bytes: 8 MB
 TABLE = 1 << 20  # tokens that the dynamic programme goes up to where fewer can't be filled
 RANKED = 50_000  # documents of one source and length that one task ranks, about
 
@@ -136,5 +137,5 @@ def taken(counted: DataFrame, quota: DataFrame, seed: int, most: int = RANKED) -
 def mixed(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
     """The rows of docs whose ids select() takes, all columns, whatever their names, as they are. Rows that repeat an id stay or go together; rows with a null id go; null and empty texts count 0 tokens; ties and long texts as in select(); an empty table stays empty."""
     ids = written(select(docs, doc_id=doc_id, **options).select(F.col("doc_id").alias("__chosen")), "chosen")
-    ids = F.broadcast(ids) if ids.count() <= 1_000_000 else ids.hint("shuffle_hash")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("shuffle_hash")
     return docs.join(ids, docs[f"`{doc_id}`"] == ids["__chosen"], "left_semi")
