@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memquarry.operators.retrieval import bm25
+from memquarry.session import written
 
 MOST_BYTES, CONTRADICTION = 100_000, 5.0
 
@@ -43,16 +44,22 @@ def retracted(bank: DataFrame, entry_id) -> DataFrame:
     return bank.withColumn("status", F.when(F.col("id") == entry_id, "retracted").otherwise(F.col("status")))
 
 
-def chains(links: DataFrame, node: str, following: str, most: int = 64) -> DataFrame:
-    """node, last, steps: the end of every entry's chain, by pointer doubling, so a chain of n links takes log n joins; `most` doublings bound a cycle, whose entries get null."""
-    jump = links.select(F.col(node).alias("node"), F.col(following).alias("to"), F.col(following).isNotNull().cast("long").alias("steps"))
-    rounds = max(1, most.bit_length())
-    for _ in range(rounds):
-        nxt = jump.select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("steps").alias("steps2"))
+def chains(links: DataFrame, node: str, following: str) -> DataFrame:
+    """node, last, steps, cyclic: the end of every entry's chain and the links to it, whatever its length, by pointer doubling: one join and one written table a round, in as many rounds as the longest chain's length has bits.
+
+    Entries that run into a cycle are marked and have no last; steps then say how far they were followed. A chain that ends at an id which isn't an entry has that id for its last.
+    """
+    jump = written(links.select(F.col(node).alias("node"), F.col(following).alias("to"), F.col(following).isNotNull().cast("long").alias("steps")), "chains")
+    ended = F.col("to2").isNull()
+    for _ in range(max(1, jump.count()).bit_length()):  # no chain without a cycle is longer than the table
+        nxt = jump.where("to IS NOT NULL").select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("steps").alias("steps2"))
         j = jump.join(nxt, "to", "left")
-        jump = j.select("node", F.coalesce("to2", "to").alias("to"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"))
-    ends = links.where(F.col(following).isNull()).select(F.col(node).alias("to"), F.lit(True).alias("ended"))
-    return jump.join(ends, "to", "left").select("node", F.when(F.col("to").isNull(), F.col("node")).when(F.col("ended"), F.col("to")).alias("last"), "steps")
+        jump = written(j.select("node", F.coalesce("to2", "to").alias("to"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"), ended.alias("done")), "chains")
+        if jump.where("NOT done").isEmpty():
+            break
+    onward = links.where(F.col(following).isNotNull()).select(F.col(node).alias("to"), F.lit(True).alias("onward"))
+    cyclic = F.coalesce("onward", F.lit(False))
+    return jump.select("node", "to", "steps").join(onward, "to", "left").select("node", F.when(~cyclic, F.coalesce("to", "node")).alias("last"), "steps", cyclic.alias("cyclic"))
 
 
 def merged_summary(facts: Column, new_facts: Column, questions: Column, resolved: Column, new_questions: Column) -> tuple[Column, Column]:

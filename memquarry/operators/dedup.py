@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 import pandas as pd
@@ -122,19 +121,7 @@ def tiers(chunks: DataFrame, hot_refs: int = 5, hot_most: int = 10_000, idle: in
     return chunks.join(hot, "chunk", "left").select("chunk", "refs", F.coalesce("h", F.when((F.col("refs") < hot_refs) & old, "cold").otherwise("warm")).alias("tier"))
 
 
-def set_jaccard(sets: DataFrame, key: str, item: str, least: float = 0.3, most_df: int = 64) -> DataFrame:
-    """id_a < id_b, shared, jaccard of sets (key, item rows) that share an item of at most `most_df` sets. Items in more sets propose no pair (that join would be quadratic) but count in the similarity of those proposed."""
-    items = sets.select(key, item).distinct()
-    n = items.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    rare = items.groupBy(item).agg(F.count(F.lit(1)).alias("df")).where((F.col("df") > 1) & (F.col("df") <= most_df)).select(item)
-    held = items.join(rare, item)
-    pairs = held.select(item, F.col(key).alias("id_a")).join(held.select(item, F.col(key).alias("id_b")), item).where("id_a < id_b").select("id_a", "id_b").distinct()
-    shared = pairs.join(items.withColumnRenamed(key, "id_a"), "id_a").join(items.withColumnRenamed(key, "id_b"), ["id_b", item]).groupBy("id_a", "id_b").agg(F.count(F.lit(1)).alias("shared"))
-    scored = shared.join(n.toDF("id_a", "na"), "id_a").join(n.toDF("id_b", "nb"), "id_b")
-    return scored.select("id_a", "id_b", "shared", F.round(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), 6).alias("jaccard")).where(F.col("jaccard") >= least)
-
-
-def set_jaccard_all(sets: DataFrame, key: str, item: str, least: float = 0.3) -> DataFrame:
+def set_jaccard(sets: DataFrame, key: str, item: str, least: float = 0.3) -> DataFrame:
     """id_a < id_b, shared, jaccard of all sets (key, item rows) of at least `least`, whatever the number of sets that hold an item.
 
     Equal sets are joined once, by their least key, and expanded at the end. Of the others a pair at `least` shares an item among the first n - ceil(least n) + 1 of each set, the rarest first, so only those propose pairs.
@@ -213,15 +200,7 @@ def simhash_nearest(pairs: DataFrame) -> DataFrame:
     return best.select(F.col("id_a").alias("id"), F.col("m.id_b").alias("nearest"), F.col("m.distance").alias("distance"))
 
 
-def cooccurrence(chunks: DataFrame, key: str = "doc_id", window: int = 5) -> DataFrame:
-    """a, b, cnt: how often chunk b follows chunk a within `window` places of one document. The window bounds what one document adds."""
-    w = Window.partitionBy(key).orderBy("pos")
-    ahead = F.collect_list("chunk").over(w.rowsBetween(1, window))
-    placed = chunks.select(F.col("chunk").alias("a"), ahead.alias("ahead"))
-    return placed.select("a", F.explode("ahead").alias("b")).where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("cnt"))
-
-
-def cooccurrence_all(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
+def cooccurrence(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
     """a, b, cnt: how often chunk b stands at another place of a document than chunk a, over all ordered pairs of places, so a chunk that repeats in a document pairs with itself. Documents of the same chunks are counted once and weighted."""
     held = chunks.groupBy(key, "chunk").agg(F.count(F.lit(1)).alias("n")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("chunk", "n"))).alias("own"))
     one = held.groupBy(F.sha2(F.to_json("own"), 256).alias("mark")).agg(F.first("own").alias("own"), F.count(F.lit(1)).alias("copies"))
@@ -279,32 +258,29 @@ def restore_bytes(delta: bytes, old: bytes) -> bytes:
     return zstandard.ZstdDecompressor(dict_data=d).decompress(delta[8:])
 
 
+_MARK, _OWN = "«REF:", "«OWN»"
+
+
 def compacted(docs: DataFrame, chunks: DataFrame, refs: int = 3, least: int = 100, key: str = "doc_id") -> DataFrame:
-    """key, compact, saved: texts with the lines of at least `least` characters that occur `refs` times or more replaced by a reference; `saved` in tokens of four characters."""
+    """key, compact, saved: texts with the lines of at least `least` characters that occur `refs` times or more replaced by their digest; `saved` in tokens of four characters. A line that itself begins like a mark gets another in front, so expanded() gives every text back."""
     often = chunks.where(F.length("line") >= least).groupBy("chunk").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= refs).select("chunk")
     lines = docs.select(key, F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("chunk", F.sha2("line", 256))
-    marked = lines.join(often.withColumn("often", F.lit(True)), "chunk", "left").withColumn("out", F.when(F.col("often"), F.concat(F.lit("«REF:"), F.substring("chunk", 1, 12), F.lit("»"))).otherwise(F.col("line")))
+    own = F.when(F.col("line").startswith(_MARK) | F.col("line").startswith(_OWN), F.concat(F.lit(_OWN), "line")).otherwise(F.col("line"))
+    marked = lines.join(often.withColumn("often", F.lit(True)), "chunk", "left").withColumn("out", F.when(F.col("often"), F.concat(F.lit(_MARK), "chunk", F.lit("»"))).otherwise(own))
     rows = F.array_sort(F.collect_list(F.struct("pos", "out")))
     saved = F.sum(F.length("line") - F.length("out"))
     return marked.groupBy(key).agg(F.array_join(F.transform(rows, lambda x: x["out"]), "\n").alias("compact"), F.floor(saved / 4).cast("long").alias("saved"))
 
 
 def expanded(compact: DataFrame, chunks: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The texts behind compacted ones."""
-    known = chunks.select(F.substring("chunk", 1, 12).alias("ref"), "line").distinct()
-    parts = compact.select(key, F.posexplode(F.split("compact", "\n")).alias("pos", "part")).withColumn("ref", F.regexp_extract("part", "^«REF:([0-9a-f]{12})»$", 1))
-    filled = parts.join(known, "ref", "left").withColumn("out", F.coalesce("line", "part"))
+    """The texts behind compacted ones. Digests are whole, so no two lines have one."""
+    known = chunks.select(F.col("chunk").alias("ref"), "line").distinct()
+    parts = compact.select(key, F.posexplode(F.split("compact", "\n")).alias("pos", "part")).withColumn("ref", F.regexp_extract("part", "^«REF:([0-9a-f]{64})»$", 1))
+    own = F.when(F.col("part").startswith(_OWN), F.substring("part", len(_OWN) + 1, 1 << 30)).otherwise(F.col("part"))
+    filled = parts.join(known, "ref", "left").withColumn("out", F.coalesce("line", own))
     rows = F.array_sort(F.collect_list(F.struct("pos", "out")))
     return filled.groupBy(key).agg(F.array_join(F.transform(rows, lambda x: x["out"]), "\n").alias("text"))
 
 
-def fast_digest(c: Column) -> Column:
-    return F.xxhash64(c)
-
-
-def crc(data: bytes) -> int:
-    return zlib.crc32(data)
-
-
 def integrity_issues(ratio: Column, refs: Column, most_ratio: float = 100.0, most_refs: int = 1000) -> Column:
     return F.array_compact(F.array(F.when(ratio > most_ratio, "ratio"), F.when(refs > most_refs, "refs")))

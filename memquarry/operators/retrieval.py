@@ -6,51 +6,31 @@ terms. Scores are rounded to 6 places before they rank, ties fall by id.
 
 from __future__ import annotations
 
-import re
-from functools import reduce
+import regex
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memquarry.functions.text import words
+from memquarry.functions.text import WORDS
 from memquarry.functions.vectors import cosine, sign_buckets
+from memquarry.operators.keyword_index import KeywordIndex, indexed
 
-K1, B = 1.2, 0.75
 RRF, VECTOR_WEIGHT, KEYWORD_WEIGHT = 60, 0.7, 0.3
 
 
 def query_terms(query: str) -> list[str]:
-    """Distinct lower-cased terms; anything but letters, digits and underscores parts them."""
-    return sorted(set(re.sub(r"[^\w\s]", " ", query).lower().split()))
+    """Distinct lower-cased terms, by the rule that parts texts: runs of letters and digits."""
+    return sorted(set(regex.findall(WORDS, query.lower())))
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, term, tf, dl: an inverted index to keep as a table; it follows the documents by key."""
-    held = docs.select(key, words(F.col(text)).alias("w"))
-    return held.select(key, F.size("w").cast("long").alias("dl"), F.explode("w").alias("term")).groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def _equals(term: str):
-    return lambda x: x == term
-
-
-def bm25(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text", keep: Column | None = None) -> DataFrame:
-    """key, score of the texts that hold all terms. One scan counts lengths and term frequencies of the query's terms only; statistics cover all of docs, `keep` filters after matching."""
+def bm25(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text", keep: Column | None = None, index: KeywordIndex | None = None) -> DataFrame:
+    """key, score of the texts that hold all terms, from the stored index of docs: its postings of the query's terms are read, no text. Statistics cover all of docs, `keep` filters after matching."""
     terms = query_terms(query)
-    if not terms:
+    scored = (index or indexed(docs, key, text)).bm25(terms) if terms else None
+    if scored is None:
         return docs.select(F.col(key), F.lit(0.0).alias("score")).limit(0)
-    # two projections: the tokens are made once and read for each term
-    tokens = docs.select(F.col(key), (keep if keep is not None else F.lit(True)).alias("__keep"), words(F.col(text)).alias("__w"))
-    counted = tokens.select(key, "__keep", F.size("__w").cast("double").alias("__dl"), *[F.size(F.filter("__w", _equals(t))).cast("double").alias(f"__t{i}") for i, t in enumerate(terms)])
-    stats = counted.agg(F.count(F.lit(1)).cast("double").alias("__n"), F.avg("__dl").alias("__avg"), *[F.sum((F.col(f"__t{i}") > 0).cast("double")).alias(f"__df{i}") for i in range(len(terms))])
-    matching = counted.where(reduce(lambda a, b: a & b, [F.col(f"__t{i}") > 0 for i in range(len(terms))]) & F.col("__keep"))
-    scored = matching.crossJoin(F.broadcast(stats))  # one row
-    parts = [
-        F.log(1 + (F.col("__n") - F.col(f"__df{i}") + 0.5) / (F.col(f"__df{i}") + 0.5)) * F.col(f"__t{i}") * (K1 + 1)
-        / (F.col(f"__t{i}") + K1 * (1 - B + B * F.col("__dl") / F.col("__avg")))
-        for i in range(len(terms))
-    ]
-    return scored.select(key, F.round(reduce(lambda a, b: a + b, parts), 6).alias("score"))
+    scored = scored.withColumnRenamed("key", key)
+    return scored if keep is None else scored.join(docs.where(keep).select(key), key, "left_semi")
 
 
 def top(scored: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
@@ -90,9 +70,10 @@ def fuse(keyword: DataFrame, vector: DataFrame, k: int, key: str = "doc_id") ->
 
 
 def hybrid(docs: DataFrame, vectors: DataFrame, query: str, query_vector: DataFrame, k: int = 20, key: str = "doc_id", text: str = "text", vec_key: str = "vec_id") -> DataFrame:
-    """Fusion of the best 3 k by words and by vector, with the texts."""
+    """Fusion of the best 3 k by words and by vector, with the texts: the ids found, at most k, go to the documents' scan as a filter."""
     found = fuse(ranked(bm25(docs, query, key, text), 3 * k, key), ranked(vector_scores(vectors, query_vector, vec_key).withColumnRenamed(vec_key, key), 3 * k, key), k, key)
-    return docs.join(F.broadcast(found), key)
+    hits = found.collect()
+    return docs.where(F.col(key).isin([h[key] for h in hits])).join(F.broadcast(docs.sparkSession.createDataFrame(hits, found.schema)), key)
 
 
 def search_all(chunks: DataFrame, bank: DataFrame, k: int) -> DataFrame:

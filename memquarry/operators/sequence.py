@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from memquarry.session import ship
+
 
 def rolling_z(rows: DataFrame, by: str, order: list[str], value: str, size: int = 50, least: int = 5) -> DataFrame:
     """rows with z (6 places; null before `least` prior values) and severity: z < -2 medium, < -3 high, > 3 low, > 4.5 medium. A deviation of 0 counts as 0.001."""
@@ -47,38 +53,62 @@ def longest_known(events: DataFrame, by: str, order: list[str], event: str, leas
 
 
 def motif_encode(events: DataFrame, by: str, order: list[str], event: str, least: int = 3, most: int = 10) -> DataFrame:
-    """by, encoded, n_events, n_symbols, savings: each sequence with all its repeated runs, numbered from the heaviest, replaced from left to right by M and a number. One sequence is handled at a time."""
+    """by, encoded, n_events, n_symbols, savings, parts, motifs: each sequence with all its repeated runs, numbered from the heaviest, replaced from left to right by M and a number.
+
+    parts are the symbols, an event that itself begins with M and a digit or with a backslash behind a backslash, encoded the same joined by blanks; motifs are the runs by number, those that are used or not. Null events are left out.
+    motif_decode() gives the events back. One sequence is handled at a time.
+    """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        seq = pdf.sort_values(order)[event].tolist()
+        seq = [str(e) for e in pdf.sort_values(order)[event].tolist()]
         counts: dict = {}
         for n in range(least, most + 1):
             for i in range(len(seq) - n + 1):
                 g = tuple(seq[i : i + n])
                 counts[g] = counts.get(g, 0) + 1
-        table = {g: k for k, g in enumerate(sorted((g for g, c in counts.items() if c > 1), key=lambda g: (-counts[g] * len(g), g)))}
+        runs = sorted((g for g, c in counts.items() if c > 1), key=lambda g: (-counts[g] * len(g), g))
+        table = {g: k for k, g in enumerate(runs)}
         out, i = [], 0
         while i < len(seq):
             n = next((n for n in range(most, least - 1, -1) if tuple(seq[i : i + n]) in table and i + n <= len(seq)), 0)
-            out.append(f"M{table[tuple(seq[i:i + n])]}" if n else str(seq[i]))
+            out.append(f"M{table[tuple(seq[i:i + n])]}" if n else "\\" + seq[i] if _LIKE_MOTIF.match(seq[i]) else seq[i])
             i += n or 1
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "encoded": [" ".join(out)], "n_events": [len(seq)], "n_symbols": [len(out)], "savings": [round(1 - len(out) / len(seq), 6)]})
+        return pd.DataFrame({by: [pdf[by].iloc[0]], "encoded": [" ".join(out)], "n_events": [len(seq)], "n_symbols": [len(out)], "savings": [round(1 - len(out) / len(seq), 6)], "parts": [out], "motifs": [[list(g) for g in runs]]})
 
-    schema = f"{by} {events.schema[by].dataType.simpleString()}, encoded string, n_events long, n_symbols long, savings double"
-    return events.select(by, event, *[o for o in order if o not in (by, event)]).groupBy(by).applyInPandas(one, schema)
+    schema = f"{by} {events.schema[by].dataType.simpleString()}, encoded string, n_events long, n_symbols long, savings double, parts array<string>, motifs array<array<string>>"
+    return events.where(F.col(event).isNotNull()).select(by, event, *[o for o in order if o not in (by, event)]).groupBy(by).applyInPandas(one, schema)
 
 
-def _links(values: Column) -> Column:
-    zero = F.lit("0" * 64)
-    step = lambda acc, v: F.concat(acc, F.array(F.sha2(F.concat(F.unhex(F.element_at(acc, -1)), F.unhex(F.sha2(v, 256))), 256)))
-    return F.slice(F.aggregate(values, F.array(zero), step), F.lit(2), F.greatest(F.size(values), F.lit(1)))
+_LIKE_MOTIF = re.compile(r"M\d|\\")
+
+
+def motif_decode(encoded: DataFrame, by: str) -> DataFrame:
+    """by, place (from 0), event: the events of motif_encode()'s sequences in their order; built-in functions only."""
+    part = lambda x: F.when(x.rlike(r"^M\d+$"), F.get("motifs", F.substring(x, 2, 20).cast("int"))).otherwise(F.array(F.when(x.startswith("\\"), F.substring(x, 2, 1 << 30)).otherwise(x)))
+    return encoded.select(by, F.posexplode(F.flatten(F.transform("parts", part))).alias("place", "event"))
 
 
 def hash_chain(rows: DataFrame, by: str, order: str, value: str) -> DataFrame:
-    """by, place, link: link = sha256(previous link || sha256(value)), the first after 32 zero bytes."""
-    values = F.transform(F.array_sort(F.collect_list(F.struct(order, F.col(value).alias("v")))), lambda x: x["v"])
-    chains = rows.groupBy(by).agg(values.alias("vs"))
-    return chains.select(by, F.posexplode(_links(F.col("vs"))).alias("place", "link"))
+    """by, place, link: link = sha256(previous link || sha256(value)), the first after 32 zero bytes; a null value counts as an empty one. Sequences are read once in order from sorted partitions, so one may be of any length."""
+    ship(rows.sparkSession)
+    kind = rows.schema[by].dataType.simpleString()
+
+    def run(batches):
+        own, place, link = object(), 0, b""
+        for b in batches:
+            places, links = [], []
+            for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if k != own:
+                    own, place, link = k, 0, bytes(32)
+                link = hashlib.sha256(link + bytes.fromhex(v)).digest()
+                places.append(place)
+                links.append(link.hex())
+                place += 1
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(places, pa.int32()), pa.array(links, pa.string())], names=[by, "place", "link"])
+
+    digest = F.sha2(F.coalesce(F.col(value).cast("string"), F.lit("")), 256).alias("__digest")
+    placed = rows.select(by, order, digest).repartition(by).sortWithinPartitions(by, order).select(by, "__digest")
+    return placed.mapInArrow(run, f"{by} {kind}, place int, link string")
 
 
 def verify_chain(rows: DataFrame, links: DataFrame, by: str, order: str, value: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 IP = r"^(25[0-5]|2[0-4]\d|1?\d?\d)(\.(25[0-5]|2[0-4]\d|1?\d?\d)){3}$"
@@ -15,9 +15,8 @@ def placed(rows: DataFrame, slots: str = "slots", order: str = "line_no") -> Dat
 def slot_model(rows: DataFrame, slots: str = "slots", order: str = "line_no") -> DataFrame:
     """slot, value, hits, total, accuracy: the most frequent value of each slot, of equals the first seen."""
     counted = placed(rows, slots, order).groupBy("slot", "value").agg(F.count(F.lit(1)).alias("hits"), F.min(order).alias("first"))
-    w = Window.partitionBy("slot")
-    best = counted.withColumn("total", F.sum("hits").over(w)).withColumn("r", F.row_number().over(w.orderBy(F.desc("hits"), "first"))).where("r = 1")
-    return best.select("slot", "value", "hits", F.col("total").cast("long").alias("total"), F.round(F.col("hits") / F.col("total"), 6).alias("accuracy"))
+    best = counted.groupBy("slot").agg(F.max(F.struct("hits", (-F.col("first")).alias("early"), "value")).alias("m"), F.sum("hits").cast("long").alias("total"))
+    return best.select("slot", F.col("m.value").alias("value"), F.col("m.hits").alias("hits"), "total", F.round(F.col("m.hits") / F.col("total"), 6).alias("accuracy"))
 
 
 def slot_prediction(rows: DataFrame, model: DataFrame, slots: str = "slots", order: str = "line_no") -> DataFrame:

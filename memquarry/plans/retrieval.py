@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from memquarry.functions import vectors as V
 from memquarry.operators import bank, retrieval as R
+from memquarry.operators.keyword_index import postings
 from memquarry.plans.registry import query
 
 TOK = r"regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}]+')"
@@ -53,7 +54,7 @@ def bm25_all_matches(t):
 
 @query("SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(" + TOK.format(c="text") + ") AS term FROM documents) GROUP BY 1, 2")
 def postings_index(t):
-    return R.postings(t("documents"), "doc_id", "text").select("doc_id", "term", "tf")
+    return postings(t("documents"), "doc_id", "text").select("doc_id", "term", "tf")
 
 
 @query("WITH " + cosine_sql() + " SELECT doc_id AS vec_id, score FROM vec ORDER BY score DESC, doc_id LIMIT 10")

@@ -39,9 +39,14 @@ def motif_running(t):
     return S.longest_known(t("events"), "user_id", ["ts", "event_id"], "event_type")
 
 
+@query("SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INTEGER) AS place, event_type AS event FROM events")
+def motif_decode(t):
+    return S.motif_decode(S.motif_encode(t("events"), "user_id", ["event_id"], "event_type"), "user_id")
+
+
 @query()
 def motif_encode(t):
-    return S.motif_encode(t("events"), "user_id", ["event_id"], "event_type")
+    return S.motif_encode(t("events"), "user_id", ["event_id"], "event_type").drop("parts", "motifs")
 
 
 _CHAIN = "WITH RECURSIVE p AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM conversations), c AS (SELECT conv_id, place, sha256(unhex(repeat('0', 64) || sha256(text))) AS link FROM p WHERE place = 0 UNION ALL SELECT p.conv_id, p.place, sha256(unhex(c.link || sha256(p.text))) FROM p JOIN c ON p.conv_id = c.conv_id AND p.place = c.place + 1)"
@@ -92,7 +97,7 @@ def delta_decode(t):
 _LINKS = "l AS (SELECT o_custkey, o_orderkey AS id, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nxt, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) - 1 AS steps, max(o_orderkey) OVER (PARTITION BY o_custkey) AS last FROM orders)"
 
 
-@query("WITH " + _LINKS + " SELECT id AS node, last, steps FROM l")
+@query("WITH " + _LINKS + " SELECT id AS node, last, steps, false AS cyclic FROM l")
 def supersession_chain(t):
     links = t("orders").select(F.col("o_orderkey").alias("id"), F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("nxt"))
     return bank.chains(links, "id", "nxt")
@@ -164,16 +169,11 @@ def dedup_stats(t):
 _SETS = _LINES + ", s AS (SELECT DISTINCT doc_id, chunk FROM ch), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1)"
 
 
-@query("WITH " + _SETS + ", df AS (SELECT chunk FROM s GROUP BY chunk HAVING count(*) BETWEEN 2 AND 64), h AS (SELECT s.* FROM s JOIN df USING (chunk)), p AS (SELECT DISTINCT a.doc_id AS id_a, b.doc_id AS id_b FROM h a JOIN h b ON a.chunk = b.chunk AND a.doc_id < b.doc_id), k AS (SELECT id_a, id_b, count(*) AS shared FROM p JOIN s a ON a.doc_id = id_a JOIN s b ON b.doc_id = id_b AND a.chunk = b.chunk GROUP BY 1, 2) SELECT id_a, id_b, shared, round(shared / (x.n + y.n - shared), 6) AS jaccard FROM k JOIN n x ON x.doc_id = id_a JOIN n y ON y.doc_id = id_b WHERE round(shared / (x.n + y.n - shared), 6) >= 0.3")
+@query("WITH " + _SETS + ", k AS (SELECT a.doc_id AS id_a, b.doc_id AS id_b, count(*) AS shared FROM s a JOIN s b ON a.chunk = b.chunk AND a.doc_id < b.doc_id GROUP BY 1, 2) SELECT id_a, id_b, shared, round(shared / (x.n + y.n - shared), 6) AS jaccard FROM k JOIN n x ON x.doc_id = id_a JOIN n y ON y.doc_id = id_b WHERE round(shared / (x.n + y.n - shared), 6) >= 0.3")
 def line_jaccard(t):
     return D.set_jaccard(D.line_chunks(t("documents")), "doc_id", "chunk")
 
 
-@query("WITH " + _SETS + ", k AS (SELECT a.doc_id AS id_a, b.doc_id AS id_b, count(*) AS shared FROM s a JOIN s b ON a.chunk = b.chunk AND a.doc_id < b.doc_id GROUP BY 1, 2) SELECT id_a, id_b, shared, round(shared / (x.n + y.n - shared), 6) AS jaccard FROM k JOIN n x ON x.doc_id = id_a JOIN n y ON y.doc_id = id_b WHERE round(shared / (x.n + y.n - shared), 6) >= 0.3")
-def line_jaccard_all(t):
-    return D.set_jaccard_all(D.line_chunks(t("documents")), "doc_id", "chunk")
-
-
 @query("WITH " + _SETS + ", o AS (SELECT chunk FROM s WHERE doc_id = 0), k AS (SELECT doc_id, count(*) AS shared FROM s JOIN o USING (chunk) WHERE doc_id <> 0 GROUP BY 1) SELECT k.doc_id, shared, round(shared / (n.n + (SELECT count(*) FROM o) - shared), 6) AS jaccard FROM k JOIN n ON n.doc_id = k.doc_id WHERE round(shared / (n.n + (SELECT count(*) FROM o) - shared), 6) >= 0.05")
 def find_similar(t):
     return D.similar_to(D.line_chunks(t("documents")), "doc_id", "chunk", 0, 0.05)
@@ -184,12 +184,12 @@ def simhash_nearest(t):
     return D.simhash_nearest(D.simhash_pairs(D.simhashes(t("documents"))))
 
 
-_CO = _LINES + ", r AS (SELECT doc_id, chunk, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM ch), co AS (SELECT a.chunk AS a, b.chunk AS b, count(*) AS cnt FROM r a JOIN r b ON a.doc_id = b.doc_id AND b.k BETWEEN a.k + 1 AND a.k + 5 WHERE a.chunk <> b.chunk GROUP BY 1, 2)"
+_CO = _LINES + ", co AS (SELECT a.chunk AS a, b.chunk AS b, count(*) AS cnt FROM ch a JOIN ch b ON a.doc_id = b.doc_id AND a.pos <> b.pos GROUP BY 1, 2)"
 
 
-@query("WITH " + _CO + " SELECT a, b, cnt FROM co WHERE cnt > 1")
+@query("WITH " + _CO + " SELECT a, b, cnt FROM co")
 def cooccurrence(t):
-    return D.cooccurrence(D.line_chunks(t("documents"))).where("cnt > 1")
+    return D.cooccurrence(D.line_chunks(t("documents")))
 
 
 @query("WITH " + _CO + ", k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY cnt DESC, b) AS r FROM co) SELECT a, b, cnt, CAST(r AS INTEGER) AS rank FROM k WHERE r <= 5")
@@ -197,19 +197,6 @@ def predicted_chunks(t):
     return D.predicted(D.cooccurrence(D.line_chunks(t("documents"))))
 
 
-_CO_ALL = _LINES + ", co AS (SELECT a.chunk AS a, b.chunk AS b, count(*) AS cnt FROM ch a JOIN ch b ON a.doc_id = b.doc_id AND a.pos <> b.pos GROUP BY 1, 2)"
-
-
-@query("WITH " + _CO_ALL + " SELECT a, b, cnt FROM co WHERE cnt > 1")
-def cooccurrence_all(t):
-    return D.cooccurrence_all(D.line_chunks(t("documents"))).where("cnt > 1")
-
-
-@query("WITH " + _CO_ALL + ", k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY cnt DESC, b) AS r FROM co) SELECT a, b, cnt, CAST(r AS INTEGER) AS rank FROM k WHERE r <= 5")
-def predicted_chunks_all(t):
-    return D.predicted(D.cooccurrence_all(D.line_chunks(t("documents"))))
-
-
 @query("WITH " + _LINES + ", o AS (SELECT chunk, count(*) AS refs, max(doc_id) % 100 AS last_seen FROM ch GROUP BY chunk), h AS (SELECT chunk FROM o WHERE refs >= 5 ORDER BY refs DESC, chunk LIMIT 10000) SELECT o.chunk, refs, CASE WHEN h.chunk IS NOT NULL THEN 'hot' WHEN refs < 5 AND 100 - last_seen > 30 THEN 'cold' ELSE 'warm' END AS tier FROM o LEFT JOIN h USING (chunk)")
 def chunk_tiers(t):
     rows = D.line_chunks(t("documents")).groupBy("chunk").agg(F.count(F.lit(1)).alias("refs"), (F.max("doc_id") % 100).alias("last_seen"))
@@ -249,7 +236,7 @@ def forensic_diff(t):
     return D.forensic_diff(rows.where("turn <> 2"), b, ["conv_id", "turn"], "text")
 
 
-_OFTEN = "often AS (SELECT chunk FROM ch WHERE length(line) >= 40 GROUP BY chunk HAVING count(*) >= 3), o AS (SELECT l.doc_id, l.pos, l.line, CASE WHEN f.chunk IS NOT NULL THEN '«REF:' || substr(f.chunk, 1, 12) || '»' ELSE l.line END AS out FROM lines l LEFT JOIN often f ON sha256(l.line) = f.chunk)"
+_OFTEN = "often AS (SELECT chunk FROM ch WHERE length(line) >= 40 GROUP BY chunk HAVING count(*) >= 3), o AS (SELECT l.doc_id, l.pos, l.line, CASE WHEN f.chunk IS NOT NULL THEN '«REF:' || f.chunk || '»' WHEN starts_with(l.line, '«REF:') OR starts_with(l.line, '«OWN»') THEN '«OWN»' || l.line ELSE l.line END AS out FROM lines l LEFT JOIN often f ON sha256(l.line) = f.chunk)"
 
 
 @query("WITH " + _LINES + ", " + _OFTEN + " SELECT doc_id, string_agg(out, chr(10) ORDER BY pos) AS compact, CAST(floor(sum(length(line) - length(out)) / 4) AS BIGINT) AS saved FROM o GROUP BY doc_id")
@@ -396,7 +383,11 @@ def sessions_nested(t):
     return sessions.parse_lines(_lines(t, flat=False)).select("file", "role", "content", "idx")
 
 
-@query()
+# a file whose first record is of neither role is a generic one: all its texts, of unknown role
+_FLAT = "WITH f AS (SELECT conv_id, arg_min(role, turn) IN ('user', 'assistant') AS flat FROM conversations GROUP BY 1), m AS (SELECT CAST(conv_id AS VARCHAR) AS file, turn, CASE WHEN flat THEN role ELSE 'unknown' END AS role, trim(CASE WHEN flat THEN text ELSE substr(text, 1, 5000) END) AS content FROM conversations JOIN f USING (conv_id) WHERE NOT flat OR role IN ('user', 'assistant')) SELECT file, role, content, row_number() OVER (PARTITION BY file ORDER BY turn) - 1 AS idx FROM m WHERE length(content) >= 20"
+
+
+@query(_FLAT)
 def sessions_flat(t):
     return sessions.parse_lines(_lines(t, flat=True)).select("file", "role", "content", "idx")
 
@@ -467,6 +458,16 @@ def _stream(name: str, table: str, make, sql: str | None, mode: str = "append")
 _BY_ID = _GRAMS.replace("ORDER BY ts, event_id", "ORDER BY event_id")
 _stream("stream_motif_tracker", "events", trackers.motif_tracker, "WITH " + _BY_ID.replace("row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS start", "event_id AS e, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS start") + ", s AS (SELECT user_id, start + n - 1 AS place, n, row_number() OVER (PARTITION BY user_id, motif ORDER BY start) AS times FROM g) SELECT s.user_id AS key, e AS at, CAST(max(n) AS INTEGER) AS longest FROM s JOIN o ON o.user_id = s.user_id AND o.start = s.place WHERE times >= 2 GROUP BY 1, 2")
 _stream("stream_ratio_monitor", "events", trackers.ratio_monitor, "WITH " + _Z.replace("ORDER BY ts, event_id", "ORDER BY event_id") + " SELECT user_id AS key, event_id AS at, z FROM zz WHERE z IS NOT NULL")
-_stream("stream_chunks", "conversations", trackers.chunk_stream, None)
+
+
+@query("SELECT conv_id AS key, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM conversations GROUP BY conv_id")
+def stream_chunks(t):
+    rows = t("conversations")
+    path = rows.inputFiles()[0].rsplit("conversations.parquet", 1)[0] + "conversations.parquet"
+    ends = rows.groupBy("conv_id").agg(F.max("turn").alias("end"))
+    stream = trackers.events_stream(rows.sparkSession, path, rows.schema).join(ends, "conv_id").withColumn("last", F.col("turn") == F.col("end"))
+    return trackers.drained(trackers.chunk_stream(stream, last="last")).groupBy("key").agg(F.sum("size").alias("bytes"))
+
+
 _stream("stream_windows", "events", lambda s: trackers.windowed_counts(s).withColumn("total", F.round("total", 4)), "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2", "complete")
 _stream("stream_agents", "events", lambda s: trackers.merged_agents({"a": s.where("user_id % 2 = 0"), "b": s.where("user_id % 2 = 1")}).select("event_id", "agent"), "SELECT event_id, CASE WHEN user_id % 2 = 0 THEN 'a' ELSE 'b' END AS agent FROM events")

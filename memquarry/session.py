@@ -1,6 +1,6 @@
 """The session settings that the rest of the package assumes."""
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -57,6 +57,13 @@ def shared_folder(spark: SparkSession) -> str:
     return str(base)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: computed once, without lineage, readable after the loss of executors."""
+    path = passing_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def passing_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder that is removed when the driver ends."""
     import uuid

@@ -135,7 +135,7 @@ def stored(parsed: DataFrame) -> DataFrame:
 
 
 def chunk_text(text: str | None, size: int = 2000, overlap: int = 200) -> list[str]:
-    """Windows of `size` characters that end, where the later half has one, after a blank line, a line feed, or a full stop and a space; each begins `overlap` before the last one's end."""
+    """Windows of `size` characters that end, where the later half has one, after a blank line, a line feed, a full stop and a space, or a space; each begins `overlap` before the last one's end."""
     text = text or ""
     if len(text) <= size:
         return [text] if text.strip() else []
@@ -143,7 +143,7 @@ def chunk_text(text: str | None, size: int = 2000, overlap: int = 200) -> list[s
     while start < len(text):
         end = min(start + size, len(text))
         if end < len(text):
-            for mark in ("\n\n", "\n", ". "):
+            for mark in ("\n\n", "\n", ". ", " "):
                 at = text.rfind(mark, start, end)
                 if at > start + size // 2:
                     end = at + len(mark)

@@ -78,31 +78,44 @@ def ratio_monitor(events: DataFrame, by: str = "user_id", order: str = "event_id
     return events.select(by, order, value).groupBy(by).applyInPandasWithState(step, f"key {kind}, at {at}, z double", "past array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
-def chunk_stream(pieces: DataFrame, by: str = "conv_id", order: str = "turn", text: str = "text") -> DataFrame:
-    """key, kind (FULL or REF), sha256, size of content-defined chunks of texts that arrive piece by piece. State: the bytes behind the last cut and the digests seen; a short last chunk waits for more."""
+def chunk_stream(pieces: DataFrame, by: str = "conv_id", order: str = "turn", text: str = "text", last: str | None = None, idle: str | None = None) -> DataFrame:
+    """key, kind (FULL or REF), sha256, size of content-defined chunks of texts that arrive piece by piece; a key's chunks joined give its bytes, and are the same however the pieces fall into batches.
+
+    What lies behind the last cut that more bytes can't move waits in the state. It is given as the key's last chunk where a piece has the column `last` true, or, with `idle` (such as "10 minutes"), where no piece has come for that
+    long; a later piece of such a key begins anew. State: those bytes, at most one chunk's, and the digests that the key has had.
+    """
     import hashlib
 
-    from memquarry.operators.dedup import LEAST, cut_points
+    from memquarry.operators.dedup import cut_points
 
     ship(pieces.sparkSession)
     kind = pieces.schema[by].dataType.simpleString()
+    wait = pd.Timedelta(idle).total_seconds() * 1000 if idle else 0
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rest, seen = (bytes(state.get[0]), set(state.get[1])) if state.exists else (b"", set())
-        rows = pd.concat(list(batches)).sort_values(order)
-        data = rest + "".join(t or "" for t in rows[text]).encode()
-        cuts, start, out = cut_points(data), 0, []
-        for end in cuts:
-            if end == len(data) and end - start < LEAST:
-                break
-            h = hashlib.sha256(data[start:end]).hexdigest()
+        ended = state.hasTimedOut
+        if not ended:
+            rows = pd.concat(list(batches)).sort_values(order)
+            rest += "".join(t or "" for t in rows[text]).encode()
+            ended = bool(rows["__last"].any())
+        cuts, start, out = cut_points(rest), 0, []
+        for end in cuts if ended else cuts[:-1]:  # more bytes may move the last cut
+            h = hashlib.sha256(rest[start:end]).hexdigest()
             out.append((key[0], "REF" if h in seen else "FULL", h, end - start))
             seen.add(h)
             start = end
-        state.update((data[start:], sorted(seen)))
+        if ended:
+            state.remove()
+        else:
+            state.update((rest[start:], sorted(seen)))
+            if wait:
+                state.setTimeoutDuration(int(wait))
         yield pd.DataFrame(out, columns=["key", "kind", "sha256", "size"])
 
-    return pieces.select(by, order, text).groupBy(by).applyInPandasWithState(step, f"key {kind}, kind string, sha256 string, size int", "rest binary, seen array<string>", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
+    rows = pieces.select(by, order, text, (F.col(last) if last else F.lit(False)).alias("__last"))
+    return rows.groupBy(by).applyInPandasWithState(step, f"key {kind}, kind string, sha256 string, size int", "rest binary, seen array<string>", "append", timeout)
 
 
 def merged_agents(streams: dict[str, DataFrame]) -> DataFrame:

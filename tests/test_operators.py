@@ -57,6 +57,8 @@ def test_delta_round_trip():
 
 
 def test_chunk_text():
+    spaced = "word " * 900
+    assert all(not c.startswith("ord") and c.endswith("word") for c in sessions.chunk_text(spaced)[:-1]) and len(sessions.chunk_text(spaced)) > 2
     assert sessions.chunk_text("short") == ["short"] and sessions.chunk_text("") == [] and sessions.chunk_text(None) == []
     parts = sessions.chunk_text("x" * 3700)
     assert all(len(p) <= 2000 for p in parts) and sum(map(len, parts)) >= 3700
@@ -196,16 +198,16 @@ def test_set_jaccard_of_many_copies_and_common_items(spark):
         for b in sets:
             if a < b and (j := round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6)) >= 0.3:
                 want[a, b] = (len(sets[a] & sets[b]), j)
-    found = D.set_jaccard_all(rows, "doc_id", "chunk").collect()
+    found = D.set_jaccard(rows, "doc_id", "chunk").collect()
     assert len(found) == len(want) and {(r["id_a"], r["id_b"]): (r["shared"], r["jaccard"]) for r in found} == want
 
 
-def test_line_jaccard_all_same_as_sql(spark):
+def test_line_jaccard_same_as_sql(spark):
     import compare
     from memquarry.plans import registry, sequences  # noqa: F401
 
     folder = "/root/testdata/sf0.01"
-    compare.same(registry.QUERIES["line_jaccard_all"](spark, folder), compare.tables(folder), registry.ORACLE_SQL["line_jaccard_all"])
+    compare.same(registry.QUERIES["line_jaccard"](spark, folder), compare.tables(folder), registry.ORACLE_SQL["line_jaccard"])
 
 
 def test_motif_encode_takes_every_repeated_run(spark):
@@ -229,4 +231,99 @@ def test_cooccurrence_of_all_ordered_pairs(spark):
                 if i != j:
                     want[x, y] = want.get((x, y), 0) + 1
     rows = spark.createDataFrame([(k, i, c) for k, d in docs.items() for i, c in enumerate(d)], "doc_id long, pos int, chunk string")
-    assert {(r["a"], r["b"]): r["cnt"] for r in D.cooccurrence_all(rows).collect()} == want
+    assert {(r["a"], r["b"]): r["cnt"] for r in D.cooccurrence(rows).collect()} == want
+
+
+def test_chains_of_any_length_and_cycles(spark):
+    n = 1200
+    links = [(i, i + 1 if i < n - 1 else None) for i in range(n)] + [(5000, 5001), (5001, 5002), (5002, 5000), (6000, 5000), (7000, None), (8000, 9999)]
+    got = {r["node"]: (r["last"], r["steps"], r["cyclic"]) for r in bank.chains(spark.createDataFrame(links, "id long, nxt long"), "id", "nxt").collect()}
+    assert all(got[i] == (n - 1, n - 1 - i, False) for i in range(n))
+    assert all(got[i][0] is None and got[i][2] for i in (5000, 5001, 5002, 6000)) and got[7000] == (7000, 0, False) and got[8000][::2] == (9999, False)
+    assert bank.chains(spark.createDataFrame([], "id long, nxt long"), "id", "nxt").collect() == []
+
+
+def test_motifs_decode_to_the_events(spark):
+    import random
+
+    r = random.Random(2)
+    names = ["a", "b c", "M1", "M", "\\x", "\\M2", "Mx", "é"]
+    rows = [(u, i, r.choice(names)) for u in range(6) for i in range(r.choice([1, 2, 50, 200]))]
+    coded = S.motif_encode(spark.createDataFrame(rows, "user_id long, event_id long, event_type string"), "user_id", ["event_id"], "event_type")
+    assert sorted(map(tuple, S.motif_decode(coded, "user_id").collect())) == sorted(rows)
+    assert any(x["n_symbols"] < x["n_events"] for x in coded.collect())
+
+
+def test_marks_of_a_texts_own_survive(spark):
+    line = "a line of some length that occurs three times, so that it is taken out"
+    digest = hashlib.sha256(line.encode()).hexdigest()
+    texts = [(i, t) for i, t in enumerate([f"{line}\nx", f"{line}\n«REF:{digest}»", f"«OWN»«REF:{digest}»\n{line}\n«OWN»", "«REF:", ""])]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    chunks = D.line_chunks(docs)
+    small = D.compacted(docs, chunks, least=40)
+    assert sorted(map(tuple, D.expanded(small, chunks).collect())) == texts and small.where(F.col("compact").contains(line)).count() == 0
+    odd = spark.createDataFrame([("<@> at 2024-01-01 10:00:00 <@> id 123456789",), ("<@>",), ("",)], "t string")
+    canonical, tokens = T.canonicalize_lossless(F.col("t"))
+    assert all(r["t"] == r["u"] for r in odd.select("t", T.reinflate(canonical, tokens).alias("u")).collect())
+
+
+def test_stream_chunks_do_not_depend_on_batches(spark, tmp_path):
+    """The same pieces in one batch and in five give the same chunks, whose sizes add up to all bytes."""
+    import random
+
+    from memquarry.streaming import trackers
+
+    r = random.Random(5)
+    pieces = [(k, i, "".join(r.choice("abcdefgh \n") for _ in range(r.choice([0, 10, 900, 7000]))), False) for k in range(4) for i in range(10)]
+    pieces = [(k, i, t, i == 9) for k, i, t, _ in pieces]
+    found = []
+    for n in (1, 5):
+        folder = str(tmp_path / f"in{n}.parquet")
+        for b in range(n):
+            part = [p for p in pieces if p[1] * n // 10 == b]
+            spark.createDataFrame(part, "conv_id long, turn long, text string, last boolean").coalesce(1).write.mode("append").parquet(folder)
+        schema = spark.read.parquet(folder).schema
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        rows = trackers.drained(trackers.chunk_stream(stream, last="last")).collect()
+        found.append(sorted((x["key"], x["sha256"], x["size"], x["kind"]) for x in rows))
+    assert found[0] == found[1]
+    for k in range(4):
+        data = "".join(t for key, _, t, _ in pieces if key == k).encode()
+        cuts = [0, *D.cut_points(data)]
+        assert sorted(x[1] for x in found[0] if x[0] == k) == sorted(hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(cuts, cuts[1:]))
+
+
+def test_keyword_index(spark, tmp_path):
+    """Appending and removing keep an index equal to one of what is left, and no text is read for a query."""
+    from memquarry.operators.keyword_index import KeywordIndex
+
+    rows = [(i, f"alpha foo_bar word{i % 3} " + "filler " * (i % 5)) for i in range(30)] + [(90, ""), (91, None)]
+    docs = spark.createDataFrame(rows, "id long, body string")
+    index = KeywordIndex(spark, str(tmp_path / "index"))
+    index.append(docs.where("id < 20"), "id", "body")
+    index.append(docs.where("id >= 20"), "id", "body")
+    index.remove(docs.where("id % 4 = 0").select("id"))
+    index.remove(docs.where("id % 8 = 0").select("id"))  # gone already
+    index.append(docs.where("id = 8"), "id", "body")
+    left = [(i, t) for i, t in rows if i % 4 or i == 8]
+    fresh = KeywordIndex(spark, str(tmp_path / "fresh"))
+    fresh.append(spark.createDataFrame(left, docs.schema), "id", "body")
+    for query in ("alpha", "Foo word1", "foo_bar FILLER", "absent"):
+        terms = R.query_terms(query)
+        want = sorted(map(tuple, fresh.bm25(terms).collect()))
+        assert sorted(map(tuple, index.bm25(terms).collect())) == want and (query == "absent") == (want == [])
+    index.compact()
+    assert sorted(map(tuple, index.bm25(["alpha"]).collect())) == sorted(map(tuple, fresh.bm25(["alpha"]).collect()))
+    assert KeywordIndex(spark, str(tmp_path / "none")).bm25(["alpha"]) is None
+
+
+def test_keyword_queries_read_postings_only(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    plan = R.bm25(docs, "The, WITH")._jdf.queryExecution().executedPlan().toString()
+    assert "documents.parquet" not in plan and "In(term" in plan.replace(" ", "") or "PushedFilters" in plan and "term" in plan
+    assert "text" not in "".join(x for x in plan.splitlines() if "ReadSchema" in x)
+
+
+def test_summaries_of_odd_texts(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, " \n \n"), (4, "one"), (4, "one"), (None, "a b\nb c\n\nzzz")], "doc_id long, text string")
+    assert sorted(((r["doc_id"] or 0), r["summary"], r["n_lines"]) for r in T.gist(docs, 2).collect()) == [(0, "a b\nb c", 2), (4, "one", 1), (4, "one", 1)]
