@@ -10,7 +10,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from memquarry.functions.text import fingerprint
 from memquarry.operators import bank, dedup, retrieval, sequence
+from memquarry.operators.keyword_index import KeywordIndex
 from memquarry.sources import sessions
 from memquarry.sources.store import Store, embedder, missing_embeddings, with_embeddings
 
@@ -19,6 +21,7 @@ class Engine:
     def __init__(self, spark: SparkSession, root: str, dims: int = 64, embed=None, model: str = "hashed-words"):
         self.spark, self.store, self.dims, self.model = spark, Store(spark, root), dims, model
         self.embed = embed or embedder(dims)
+        self.words = KeywordIndex(spark, f"{root}/chunk_words")
 
     # ---- ingest
 
@@ -28,6 +31,7 @@ class Engine:
         n = new.count()
         if n:
             self.index(new)  # first: writing chunks makes Spark drop what is cached over them
+            self.words.append(new.select("id", "content"), "id", "content")
             self.store.append("chunks", new)
         new.unpersist()
         return n
@@ -66,7 +70,7 @@ class Engine:
         return self.store.table("chunks")
 
     def _keyword(self, query: str, k: int) -> DataFrame:
-        found = retrieval.search_all(retrieval.bm25(self.chunks(), query, "id", "content"), self._bank_scores(query), k)
+        found = retrieval.search_all(retrieval.bm25(self.chunks(), query, "id", "content", index=self.words), self._bank_scores(query), k)
         return found
 
     def _bank_scores(self, query: str) -> DataFrame:
@@ -109,11 +113,52 @@ class Engine:
             self.store.audit("write", "reasoning", found["id"], "; ".join(found["i"]), "refused")
             return None, found["i"]
         against = [r["id"] for r in bank.contradictions(self.bank(), title).collect()]
+        against += sorted({r["id"] for r in self._overlapping(f"{title}. {content}").collect()} - set(against))
         new = found["id"]
         self.store.append("reasoning_bank", self.spark.createDataFrame([(new, title, content, tags, evidence, "active", session)], row.schema).withColumn("created_at", F.current_timestamp()))
         self.store.audit("write", "reasoning", new, f"{len(against)} contradictions")
         return new, against
 
+    def _overlapping(self, text: str) -> DataFrame:
+        """Active entries near a text by its vector."""
+        asked = self.spark.createDataFrame([(text,)], "content string").select(self.embed("content").alias("embedding"))
+        chunks = self.chunks().select("id", "content")
+        held = with_embeddings(chunks, self.store.table("embedding_cache"), self.model).where("embedding IS NOT NULL").select("id", "embedding")
+        return bank.semantic_contradictions(self.bank(), chunks, held, asked)
+
+    def reason(self, task: str, steps: list[dict] | None = None) -> dict:
+        """Runs the steps of a task in a session of its own: each searches by its query, carries its facts and questions over, and writes an entry where it has a title and content and the gate lets it pass.
+
+        A step has query, output and, where it wants, new_facts, resolved_questions, new_questions, write_title, write_content, write_tags, evidence_ids. Without steps the task is searched for. Gives session, contexts (a DataFrame of
+        each step's results), written and refused.
+        """
+        session = uuid.uuid4().hex
+        self.start_session(session)
+        self.carry_over(session, f"Task: {task}", [], [task], [])
+        out = {"session": session, "contexts": [], "written": [], "refused": []}
+        for n, step in enumerate([{"query": task}] if not steps else steps):
+            found = self.search(step.get("query", ""), 10)
+            out["contexts"].append(found)
+            if not steps:
+                k = found.count()
+                step = {"output": f"Retrieved {k} relevant entries.", "new_facts": [f"Found {k} results for: {task}"]}
+            self.carry_over(session, f"Step {n}: {step.get('output', '')[:200]}", step.get("new_facts") or [], step.get("new_questions") or [], step.get("resolved_questions") or [])
+            if step.get("write_title") and step.get("write_content"):
+                entry, issues = self.add_entry(step["write_title"], step["write_content"], step.get("write_tags") or [], step.get("evidence_ids") or [], session)
+                out["written" if entry else "refused"].append(entry or (step["write_title"], issues))
+        self.end_session(session)
+        return out
+
+    def commit(self, packet_version: str, used_tier: int, confidence: float, text: str) -> None:
+        """Appends a decoded memory that was accepted, with its fingerprint."""
+        row = self.spark.createDataFrame([(packet_version, used_tier, float(confidence), text)], "packet_version string, used_tier int, confidence double, text string")
+        self.store.append("commits", row.withColumn("text_fingerprint", fingerprint(F.col("text"))).withColumn("created_at", F.current_timestamp()))
+
+    def last_commit(self) -> DataFrame:
+        """The latest commit's row; none before the first."""
+        rows = self.store.table("commits")
+        return rows.orderBy(F.desc("created_at")).limit(1)
+
     def _restate(self, entry: str, change) -> None:
         row = change(self.bank().where(F.col("id") == entry)).withColumn("created_at", F.current_timestamp())
         self.store.append("reasoning_bank", row)

@@ -40,5 +40,5 @@ def might_hold(bloom: Column, token: Column, bits: int = 8192, hashes: int = 4)
 
 def false_positive_rate(filters: DataFrame, unseen: DataFrame, token: str = "token", bits: int = 8192, hashes: int = 4) -> DataFrame:
     """rate: hits of tokens that no group holds, over all tests."""
-    tests = filters.crossJoin(F.broadcast(unseen.limit(10_000)))
+    tests = filters.crossJoin(F.broadcast(unseen) if unseen.count() <= 10_000 else unseen)  # a stated set against all filters
     return tests.agg(F.avg(might_hold(F.col("bloom"), F.col(token), bits, hashes).cast("double")).alias("rate"))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memquarry.operators.retrieval import bm25
+from memquarry.operators.retrieval import bm25, top, vector_top_k
 from memquarry.session import written
 
-MOST_BYTES, CONTRADICTION = 100_000, 5.0
+MOST_BYTES, CONTRADICTION, SIMILAR = 100_000, 5.0, 0.75
 
 
 def issues(title: Column, content: Column, evidence: Column, most: int = MOST_BYTES) -> Column:
@@ -34,6 +34,20 @@ def contradictions(bank: DataFrame, title: str, k: int = 5, score: float = CONTR
     return found.where(F.col("score") > score)
 
 
+def semantic_contradictions(bank: DataFrame, chunks: DataFrame, vectors: DataFrame, query: DataFrame, k: int = 5, least: float = SIMILAR, entries: int = 3, words: int = 5) -> DataFrame:
+    """chunk_id, cosine, id of active entries that a new entry's vector (the one row of query) may speak against: of the k chunks (id, content) whose vectors (id, embedding) are nearest those of a cosine of at least `least`, and for each the entries, of
+    the `entries` best by the chunk's first `words` words, that are active. At most k chunks come to the driver."""
+    near = vector_top_k(vectors, query, k, "id").where(F.col("score") >= least)
+    hits = chunks.join(F.broadcast(near), "id").select("id", "score", F.slice(F.split(F.trim("content"), r"\s+"), 1, words).alias("w")).collect()  # at most k rows
+    text = bank.withColumn("__text", F.concat_ws(" ", "title", "content", F.array_join("tags", " ")))
+    out = bank.select(F.lit(None).cast(chunks.schema["id"].dataType).alias("chunk_id"), F.lit(None).cast("double").alias("cosine"), "id").limit(0)
+    active = bank.where("status = 'active'").select("id")
+    for h in sorted(hits, key=lambda h: (-h["score"], h["id"])):
+        best = top(bm25(text, " ".join(h["w"]), "id", "__text"), entries, "id").join(active, "id", "left_semi")
+        out = out.unionByName(best.select(F.lit(h["id"]).cast(chunks.schema["id"].dataType).alias("chunk_id"), F.lit(h["score"]).alias("cosine"), "id"))
+    return out
+
+
 def superseded(bank: DataFrame, old_id, new_id) -> DataFrame:
     """The bank with an entry marked as superseded by another."""
     old = F.col("id") == old_id

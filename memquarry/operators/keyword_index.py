@@ -19,17 +19,17 @@ from memquarry.session import passing_path
 K1, B = 1.2, 0.75
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, term, tf, dl of the lower-cased runs of letters and digits."""
-    held = docs.select(key, words(F.col(text)).alias("w"))
+def postings(docs: DataFrame, key: str, text: str, tokens=words) -> DataFrame:
+    """key, term, tf, dl of the texts' tokens, by default the lower-cased runs of letters and digits."""
+    held = docs.select(key, tokens(F.col(text)).alias("w"))
     return held.select(key, F.size("w").cast("long").alias("dl"), F.explode("w").alias("term")).groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 class KeywordIndex:
     """An index in a folder that all executors share; it is made by its first append."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, tokens=words):
+        self.spark, self.path, self.tokens = spark, path, tokens
 
     def _table(self, name: str) -> DataFrame | None:
         target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
@@ -41,8 +41,8 @@ class KeywordIndex:
         seg = time.time_ns()
         rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("key IS NOT NULL")
         put = lambda df, name: df.withColumn("seg", F.lit(seg)).write.mode("append").parquet(f"{self.path}/{name}")
-        put(postings(rows, "key", "text").select("term", "key", "tf", "dl").sortWithinPartitions("term"), "postings")
-        put(rows.select("key", F.coalesce(F.size(words(F.col("text"))), F.lit(0)).cast("long").alias("dl")), "lengths")
+        put(postings(rows, "key", "text", self.tokens).select("term", "key", "tf", "dl").sortWithinPartitions("term"), "postings")
+        put(rows.select("key", F.coalesce(F.size(self.tokens(F.col("text"))), F.lit(0)).cast("long").alias("dl")), "lengths")
         put(self._table("lengths").where(F.col("seg") == seg).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words")), "totals")
         return seg
 
@@ -62,9 +62,9 @@ class KeywordIndex:
         """One row: n documents and their mean number of words."""
         all_, gone = self._table("totals").agg(F.sum("n").alias("n"), F.sum("words").alias("w")), self._table("gone")
         if gone is None:
-            return all_.select(F.col("n").cast("double").alias("__n"), (F.col("w") / F.col("n")).alias("__avg"))
+            return all_.select(F.col("n").cast("double").alias("__n"), F.try_divide("w", "n").alias("__avg"))
         less = gone.agg(F.count(F.lit(1)).alias("gn"), F.coalesce(F.sum("dl"), F.lit(0)).alias("gw"))
-        return all_.crossJoin(F.broadcast(less)).select((F.col("n") - F.col("gn")).cast("double").alias("__n"), ((F.col("w") - F.col("gw")) / (F.col("n") - F.col("gn"))).alias("__avg"))  # one row each
+        return all_.crossJoin(F.broadcast(less)).select((F.col("n") - F.col("gn")).cast("double").alias("__n"), F.try_divide(F.col("w") - F.col("gw"), F.col("n") - F.col("gn")).alias("__avg"))  # one row each
 
     def found(self, terms: list[str]) -> DataFrame | None:
         """term, key, tf, dl of the terms' postings; nothing else of the index is read."""
@@ -96,7 +96,7 @@ class KeywordIndex:
         self._table("lengths").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words")).withColumn("seg", seg).write.parquet(f"{path}/totals")
 
 
-def indexed(docs: DataFrame, key: str, text: str) -> KeywordIndex:
+def indexed(docs: DataFrame, key: str, text: str, tokens=words) -> KeywordIndex:
     """The index of a table that is read from files, made the first time that this driver asks for it and again when the files change."""
     spark = docs.sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
@@ -105,10 +105,10 @@ def indexed(docs: DataFrame, key: str, text: str) -> KeywordIndex:
     for folder in sorted({f.rsplit("/", 1)[0] for f in files}):
         path = jvm.org.apache.hadoop.fs.Path(folder)
         seen += [(s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in path.getFileSystem(conf).listStatus(path)]
-    mark = hashlib.sha256(repr((docs.semanticHash(), key, text, sorted(files), seen)).encode()).hexdigest()
+    mark = hashlib.sha256(repr((docs.semanticHash(), key, text, tokens.__name__, sorted(files), seen)).encode()).hexdigest()
     made = spark.sparkContext.__dict__.setdefault("_memquarry_indexes", {})
     if mark not in made or not files:
-        index = KeywordIndex(spark, passing_path(spark, "keyword-index"))
+        index = KeywordIndex(spark, passing_path(spark, "keyword-index"), tokens)
         index.append(docs, key, text)
         made[mark] = index
     return made[mark]

@@ -9,10 +9,13 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memquarry.functions.text import canonicalize_lossy, log_tokens, stem_lite
+from memquarry.operators.keyword_index import KeywordIndex
+from memquarry.session import ship
 
 WILD = re.compile(r"<\*>|\[\*\]")
 TRACE = r"^(?:\[?(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?Z?)\]?\s+)?tool_call::(\S+)(?:\s+rid=(\S+))?(?:\s+payload=(.*))?$"
@@ -26,15 +29,25 @@ def compile_template(template: str) -> tuple[str, str, int]:
 
 
 def match_templates(lines: DataFrame, templates: list[tuple[int, str]], line: str = "line") -> DataFrame:
-    """lines with event_id and params of the first template that matches, those of fewer wildcards, then longer anchors, first; null and empty for unknown lines. One pass: a chain of conditions, each anchor tested before its expression."""
-    compiled = sorted(((*compile_template(t), e) for e, t in templates), key=lambda c: (c[2], -len(c[1]), c[3]))
-    c = F.col(line)
-    event, params = F.lit(None).cast("long"), F.array().cast("array<string>")
-    for pattern, anchor, wild, e in reversed(compiled):
-        hit = c.contains(anchor) & c.rlike(pattern)
-        event = F.when(hit, F.lit(e).cast("long")).otherwise(event)
-        params = F.when(hit, F.array(*[F.regexp_extract(c, pattern, i + 1) for i in range(wild)]).cast("array<string>")).otherwise(params)
-    return lines.withColumn("event_id", event).withColumn("params", params)
+    """lines with event_id and params of the first template that matches, those of fewer wildcards, then longer anchors, first; null and empty for unknown lines. One pass, in which each template's expression is tried once a line, behind its anchor, and the
+    first that matches gives the parameters, too; the templates go along as one list, so the plan doesn't grow with them."""
+    ship(lines.sparkSession)
+    order = sorted(((*compile_template(t), e) for e, t in templates), key=lambda c: (c[2], -len(c[1]), c[3]))
+
+    @F.pandas_udf("event_id long, params array<string>")
+    def match(texts: pd.Series) -> pd.DataFrame:
+        compiled = [(anchor, re.compile(pattern).match, e) for pattern, anchor, _, e in order]
+
+        def one(t):
+            for anchor, matches, e in compiled if t is not None else ():
+                if anchor in t and (m := matches(t)):
+                    return e, [g if g is not None else "" for g in m.groups()]
+            return None, []
+
+        found = [one(t) for t in texts]
+        return pd.DataFrame({"event_id": pd.array([e for e, _ in found], dtype="Int64"), "params": [p for _, p in found]})
+
+    return lines.withColumn("__match", match(F.col(line))).withColumn("event_id", F.col("__match.event_id")).withColumn("params", F.col("__match.params")).drop("__match")
 
 
 def render(template: Column, params: Column) -> Column:
@@ -43,14 +56,36 @@ def render(template: Column, params: Column) -> Column:
     return F.array_join(F.zip_with(parts, F.concat(params, F.array(F.lit(""))), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
 
-def mine_templates(lines: DataFrame, line: str = "line") -> DataFrame:
-    """template, n: lines masked to canonical form and grouped by token count and first token; a place where a group has several tokens becomes a wildcard. Independent of the order of lines."""
-    tokens = F.split(canonicalize_lossy(F.col(line)), " ")
-    held = lines.select(tokens.alias("tok")).where(F.size("tok") > 0).withColumn("len", F.size("tok")).withColumn("head", F.col("tok")[0])
-    places = held.groupBy("len", "head", "tok").count().select("len", "head", "count", F.posexplode("tok").alias("pos", "token"))
-    shape = places.groupBy("len", "head", "pos").agg(F.min("token").alias("lo"), F.max("token").alias("hi"), F.sum("count").alias("n"))
-    cell = F.struct("pos", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise("<*>").alias("t"))
-    return shape.groupBy("len", "head").agg(F.array_join(F.transform(F.array_sort(F.collect_list(cell)), lambda x: x["t"]), " ").alias("template"), F.max("n").alias("n")).select("template", "n")
+def templated(lines: DataFrame, line: str = "line", share: float = 1.0) -> DataFrame:
+    """lines with template and slots, mined from the lines themselves: each line in its canonical form, its tokens kept where, among the lines of as many tokens and the same first one, at least `share` have that token in that place, and
+    wildcards elsewhere; slots are the tokens behind the wildcards, in order. With a share of 1 only what never varies is kept. Independent of the order of lines; a place keeps at most 1 / share tokens."""
+    tok = F.split(canonicalize_lossy(F.col(line)), " ")
+    held = lines.withColumn("__tok", tok).withColumn("__len", F.size("__tok")).withColumn("__head", F.col("__tok")[0])
+    counted = held.groupBy("__len", "__head", "__tok").agg(F.count(F.lit(1)).alias("k"))
+    places = counted.select("__len", "__head", "k", F.posexplode("__tok").alias("pos", "token")).groupBy("__len", "__head", "pos", "token").agg(F.sum("k").alias("k"))
+    size = counted.groupBy("__len", "__head").agg(F.sum("k").alias("n"))
+    usual = places.join(size, ["__len", "__head"]).where(F.col("k") >= F.lit(share) * F.col("n") - 1e-9).select("__len", "__head", F.struct("pos", "token").alias("u"))
+    usual = usual.groupBy("__len", "__head").agg(F.collect_set("u").alias("__usual"))
+    known = held.join(usual, ["__len", "__head"], "left")
+    kept = lambda t, i: F.coalesce(F.array_contains("__usual", F.struct(i.alias("pos"), t.alias("token"))), F.lit(False))
+    shaped = known.withColumn("__kept", F.transform("__tok", lambda t, i: F.struct(t.alias("t"), kept(t, i).alias("k"))))
+    template = F.array_join(F.transform("__kept", lambda x: F.when(x["k"], x["t"]).otherwise("<*>")), " ")
+    slots = F.transform(F.filter("__kept", lambda x: ~x["k"]), lambda x: x["t"])
+    return shaped.withColumn("template", template).withColumn("slots", slots).drop("__tok", "__len", "__head", "__usual", "__kept")
+
+
+def mine_templates(lines: DataFrame, line: str = "line", share: float = 1.0) -> DataFrame:
+    """template, n: the templates of templated() and their lines."""
+    return templated(lines.select(line), line, share).groupBy("template").agg(F.count(F.lit(1)).alias("n"))
+
+
+def tune(lines: DataFrame, line: str = "line", shares: tuple = (0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8)) -> DataFrame:
+    """share, templates, slots, lines, reuse, cost of mining with each share; the one of the least cost, of equals the least share, is to be used."""
+    out = None
+    for share in shares:
+        one = template_stats(mine_templates(lines, line, share)).select(F.lit(float(share)).alias("share"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def template_stats(mined: DataFrame) -> DataFrame:
@@ -90,6 +125,19 @@ def fast_filter(rows: DataFrame, query: str, most: int = 32, line: str = "line")
     return keyword_filter(chosen, query, line)
 
 
+def scan_filter(rows: DataFrame, query: str, line: str = "line") -> DataFrame:
+    """Rows whose line holds the whole query as it stands, ignoring case; none for an empty query."""
+    return rows.where(F.lower(line).contains(query.lower())) if query else rows.limit(0)
+
+
+def routed(rows: DataFrame, query: str, most: int = 32, line: str = "line") -> DataFrame:
+    """The rows of fast_filter() where it finds any, else those of keyword_filter(); `route` says which. Whether there is one is asked first, and that search stops at the first row."""
+    fast = fast_filter(rows, query, most, line)
+    if not fast.isEmpty():
+        return fast.withColumn("route", F.lit("fast"))
+    return keyword_filter(rows, query, line).withColumn("route", F.lit("keyword"))
+
+
 def parse_trace(rows: DataFrame, line: str = "line") -> DataFrame:
     """rows with ts, tool, rid and payload of tool-call lines, null where a part isn't there."""
     part = lambda i: F.when(F.regexp_extract(line, TRACE, i) != "", F.regexp_extract(line, TRACE, i))
@@ -201,12 +249,13 @@ def packets_for(postings: DataFrame, groups: list[list[str]], every: bool = True
     return found.where(F.col("groups") >= (len(groups) if every else 1)).select("packet")
 
 
-def two_level(rows: DataFrame, postings: DataFrame, terms: list[str], group: int = 2, line: str = "line") -> DataFrame:
-    """Exact token search that narrows to blocks, then packets, then lines. Each step is a semi join, so no line is lost to another packet's tokens."""
-    found = packets_for(postings, [[t] for t in terms])
+def two_level(rows: DataFrame, index: KeywordIndex, terms: list[str], group: int = 2, line: str = "line") -> DataFrame:
+    """Exact token search that narrows to blocks, then packets, then lines, by a stored index of the packets' tokens. Each step is a semi join, so no line is lost to another packet's tokens."""
+    wanted = sorted({t.lower() for t in terms})
+    found = index.found(wanted).groupBy(F.col("key").alias("packet")).agg(F.count_distinct("term").alias("k")).where(F.col("k") == len(wanted)).select("packet")
     blocks = found.select(F.floor(F.col("packet") / group).cast("long").alias("block")).distinct()
     narrowed = rows.join(blocks, "block", "left_semi").join(found, "packet", "left_semi")
-    return narrowed.where(reduce(lambda a, b: a & b, [F.array_contains(log_tokens(F.col(line)), t.lower()) for t in terms]))
+    return narrowed.where(reduce(lambda a, b: a & b, [F.array_contains(log_tokens(F.col(line)), t) for t in wanted]))
 
 
 def packet_range(rows: DataFrame, start: int, stop: int) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from memquarry.functions import text as T
+from memquarry.functions import bloom, text as T
 from memquarry.operators import cql, logs, slots
+from memquarry.operators.keyword_index import indexed
 from memquarry.plans.registry import LOG_SQL, TRACE_SQL, log_rows, query, trace_lines
 
 W = "WITH " + LOG_SQL
@@ -77,23 +78,25 @@ def keyword_all(t):
     return logs.keyword_filter(log_rows(t("events")).select("line_no", F.col("text").alias("line")), "ERROR user=1")
 
 
-@query(W + " SELECT line_no, text AS line FROM log WHERE text LIKE '%signup%' OR text LIKE '%user=77 %'")
+@query(W + " SELECT line_no, text AS line FROM log WHERE text LIKE '%signup%' OR text LIKE '%user=77%'")
 def keyword_any(t):
     rows = log_rows(t("events")).select("line_no", F.col("text").alias("line"))
-    return logs.keyword_filter(rows.withColumn("line", F.col("line")), "signup user=77", every=False).where(F.lower("line").contains("signup") | F.col("line").contains("user=77 "))
+    return logs.keyword_filter(rows, "signup user=77", every=False)
+
+
+def _named(t):
+    return _events(t).withColumn("template", F.coalesce(*[F.when(F.col("event_id") == e, F.lit(s)) for e, s in TEMPLATES]))
 
 
 @query(W + " SELECT line_no, text AS line FROM log WHERE text LIKE '%purchase%' AND text LIKE '%user=9%'")
 def keyword_fast(t):
-    named = {e: s for e, s in TEMPLATES}
-    rows = _events(t).withColumn("template", F.coalesce(*[F.when(F.col("event_id") == e, F.lit(s)) for e, s in named.items()]))
-    return logs.fast_filter(rows, "purchase user=9").select("line_no", "line")
+    return logs.fast_filter(_named(t), "purchase user=9").select("line_no", "line")
 
 
 @query(W + " SELECT line_no FROM log WHERE regexp_matches(text, '(^|[^A-Za-z0-9_./:-])error($|[^A-Za-z0-9_./:-])') AND regexp_matches(text, '(^| )user($|=)') AND contains(text, '=7 ')")
 def keyword_two_level(t):
     rows = logs.packets(log_rows(t("events")).select("line_no", F.col("text").alias("line")), 500)
-    found = logs.two_level(rows, logs.token_postings(rows), ["error", "user"])
+    found = logs.two_level(rows, indexed(rows, "packet", "line", T.log_tokens), ["error", "user"])
     return found.where(F.col("line").contains("=7 ")).select("line_no")
 
 
@@ -174,10 +177,58 @@ def template_mining(t):
     return logs.mine_templates(rows)
 
 
-@query("SELECT CAST(5 AS BIGINT) AS templates, CAST(10 AS BIGINT) AS slots, count(*) AS lines, round(count(*) / 5, 6) AS reuse, CAST(6 AS DOUBLE) AS cost FROM events")
+_MINED = "words AS (SELECT event_id AS line_no, list_transform([event_type, 'happened', 'to', CAST(user_id AS VARCHAR), 'with'] || string_split(props, ' '), lambda x: x) AS tok FROM events), placed AS (SELECT line_no, len(tok) AS n, tok[1] AS head, unnest(tok) AS token, generate_subscripts(tok, 1) AS pos FROM words), sizes AS (SELECT len(tok) AS n, tok[1] AS head, count(*) AS lines FROM words GROUP BY 1, 2), shares AS (SELECT unnest([{}]) AS share), usual AS (SELECT share, n, head, pos, token FROM (SELECT n, head, pos, token, count(*) AS k FROM placed GROUP BY ALL) JOIN sizes USING (n, head), shares WHERE k >= share * lines - 1e-9), shaped AS (SELECT s.share, p.line_no, string_agg(CASE WHEN u.token IS NULL THEN '<*>' ELSE p.token END, ' ' ORDER BY p.pos) AS template, count(*) FILTER (u.token IS NULL) AS holes, string_agg(CASE WHEN u.token IS NULL THEN p.token END, '|' ORDER BY p.pos) AS slots FROM placed p CROSS JOIN shares s LEFT JOIN usual u ON u.share = s.share AND u.n = p.n AND u.head = p.head AND u.pos = p.pos AND u.token = p.token GROUP BY 1, 2), mined AS (SELECT share, template, any_value(holes) AS holes, count(*) AS k FROM shaped GROUP BY 1, 2), cost AS (SELECT share, count(*) AS templates, CAST(sum(holes) AS BIGINT) AS slots, CAST(sum(k) AS BIGINT) AS lines, round(sum(k) / count(*), 6) AS reuse, round(count(*) + 0.1 * sum(holes), 6) AS cost FROM mined GROUP BY share)"
+
+
+def _happenings(t):
+    return t("events").select(F.col("event_id").alias("line_no"), F.concat("event_type", F.lit(" happened to "), F.col("user_id").cast("string"), F.lit(" with "), "props").alias("line"))
+
+
+@query("WITH " + _MINED.format("CAST(1.0 AS DOUBLE)") + " SELECT templates, slots, lines, CAST(reuse AS DOUBLE) AS reuse, CAST(cost AS DOUBLE) AS cost FROM cost")
 def template_stats(t):
-    rows = t("events").select(F.concat("event_type", F.lit(" happened to "), F.col("user_id").cast("string"), F.lit(" with "), "props").alias("line"))
-    return logs.template_stats(logs.mine_templates(rows))
+    return logs.template_stats(logs.mine_templates(_happenings(t)))
+
+
+@query("WITH " + _MINED.format("CAST(1.0 AS DOUBLE)") + " SELECT line_no, template, coalesce(slots, '') AS slots FROM shaped")
+def mined_slots(t):
+    return logs.templated(_happenings(t)).select("line_no", "template", F.array_join("slots", "|").alias("slots"))
+
+
+@query("WITH " + _MINED.format("CAST(0.05 AS DOUBLE), CAST(0.2 AS DOUBLE), CAST(0.8 AS DOUBLE)") + " SELECT share, templates, slots, lines, CAST(reuse AS DOUBLE) AS reuse, CAST(cost AS DOUBLE) AS cost FROM cost")
+def template_tuning(t):
+    return logs.tune(_happenings(t), shares=(0.05, 0.2, 0.8))
+
+
+@query(W + " SELECT line_no, text AS line FROM log WHERE text LIKE '%error user=1%'")
+def keyword_scan(t):
+    return logs.scan_filter(log_rows(t("events")).select("line_no", F.col("text").alias("line")), "Error USER=1")
+
+
+@query(W + " SELECT line_no, text AS line, 'fast' AS route FROM log WHERE text LIKE '%purchase%' AND text LIKE '%user=9%'")
+def keyword_routed(t):
+    return logs.routed(_named(t), "purchase user=9").select("line_no", "line", "route")
+
+
+@query(W + " SELECT line_no, text AS line, 'keyword' AS route FROM log WHERE text LIKE '%=11%'")
+def keyword_routed_on(t):
+    return logs.routed(_named(t), "=11").select("line_no", "line", "route")
+
+
+@query("WITH " + LOG_SQL + ", t AS (SELECT DISTINCT CAST(floor(line_no / 500) AS BIGINT) AS packet, unnest(regexp_extract_all(lower(text), '[A-Za-z0-9_./:-]{2,}')) AS token FROM log) SELECT packet, count(*) AS tokens, count(*) AS hits FROM t GROUP BY packet")
+def bloom_members(t):
+    rows = logs.packets(log_rows(t("events")), 500)
+    tokens = rows.select("packet", F.explode(F.array_distinct(T.log_tokens(F.col("text")))).alias("token")).distinct()
+    filters = bloom.blooms(tokens, "packet", bits=32_768)
+    hit = bloom.might_hold(F.col("bloom"), F.col("token"), 32_768)
+    return tokens.join(filters, "packet").groupBy("packet").agg(F.count(F.lit(1)).alias("tokens"), F.sum(hit.cast("long")).alias("hits"))
+
+
+@query()
+def bloom_false_positives(t):
+    rows = logs.packets(log_rows(t("events")), 500)
+    tokens = rows.select("packet", F.explode(F.array_distinct(T.log_tokens(F.col("text")))).alias("token")).distinct()
+    unseen = t("customer").select(F.concat(F.lit("unseen-"), F.col("c_custkey").cast("string")).alias("token"))
+    return bloom.false_positive_rate(bloom.blooms(tokens, "packet", bits=32_768), unseen, bits=32_768)
 
 
 @query("SELECT 'job <*> ended on <*> after <*>' AS merged, count(*) AS n FROM events GROUP BY 1")

@@ -177,6 +177,19 @@ def vector_norms(t):
     return t("embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(V.dot(v, v)), 6).alias("mean_square"))
 
 
+# the bank is made of the documents' first lines; each near chunk's first five words ask for entries
+_FIRST = "ent AS (SELECT doc_id AS id, substr(string_split(text, chr(10))[1], 1, 200) AS body FROM documents), near AS (SELECT vec_id, score FROM (SELECT doc_id AS vec_id, score FROM vec) WHERE vec_id IN (SELECT doc_id FROM documents) ORDER BY score DESC, vec_id LIMIT 5), asked AS (SELECT DISTINCT n.vec_id, n.score, t.term FROM near n JOIN documents d ON d.doc_id = n.vec_id, unnest(regexp_extract_all(lower(array_to_string(regexp_split_to_array(trim(d.text), '\\s+')[1:5], ' ')), '[\\p{L}\\p{N}]+')) AS t(term)), toks AS (SELECT id, regexp_extract_all(lower(body), '[\\p{L}\\p{N}]+') AS w FROM ent), lens AS (SELECT id, len(w) AS dl FROM toks), st AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(dl) AS avgdl FROM lens), tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(w) AS term FROM toks) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), sc AS (SELECT a.vec_id, a.score AS cosine, tf.id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS s FROM asked a JOIN tf ON tf.term = a.term JOIN df ON df.term = a.term JOIN lens USING (id), st GROUP BY 1, 2, 3 HAVING count(*) = (SELECT count(*) FROM asked b WHERE b.vec_id = a.vec_id)), best AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, id) AS r FROM sc)"
+
+
+@query("WITH " + cosine_sql() + ", " + _FIRST + " SELECT vec_id AS chunk_id, cosine, id FROM best WHERE r <= 3 AND cosine >= 0.1 AND id % 4 <> 0")
+def semantic_contradictions(t):
+    docs = t("documents")
+    first = F.substring(F.split("text", "\n")[0], 1, 200)
+    entries = docs.select(F.col("doc_id").alias("id"), F.lit("").alias("title"), first.alias("content"), F.array().cast("array<string>").alias("tags"), F.when(F.col("doc_id") % 4 == 0, "superseded").otherwise("active").alias("status"))
+    held = t("embeddings").join(docs.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi").withColumnRenamed("vec_id", "id")
+    return bank.semantic_contradictions(entries, docs.select(F.col("doc_id").alias("id"), F.col("text").alias("content")), held, _vector(t), least=0.1)
+
+
 _ISSUES = "CASE WHEN trim(coalesce(o_orderpriority, '')) = '' THEN 'empty title,' ELSE '' END || CASE WHEN o_orderkey % 5 = 0 THEN 'empty content,' ELSE '' END || CASE WHEN o_orderkey % 3 = 0 THEN 'no evidence,' ELSE '' END"
 
 

@@ -276,6 +276,13 @@ def pii_counts(t):
     return t("documents").select("doc_id", *[T.pii_count(F.col("text"), k).alias(k) for k, _ in T.PII])
 
 
+@query(" UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(text, '{p}')) AS value, true AS there FROM documents" for k, p in _KINDS.items()))
+def pii_spans(t):
+    docs = t("documents")
+    spans = T.pii_spans(docs).join(docs.select("doc_id", "text"), "doc_id")
+    return spans.select("doc_id", "kind", "value", (F.expr("substring(text, span_start + 1, span_end - span_start)") == F.col("value")).alias("there"))
+
+
 _RED = "text"
 for _k, _p in _KINDS.items():
     _RED = f"regexp_replace({_RED}, '{_p}', '[{_k.upper()}]', 'g')"
@@ -435,6 +442,12 @@ def vault_methods(t):
     return store.vault_stats(store.vault(files))
 
 
+@query("SELECT url AS path, html FROM pages")
+def vault_round_trip(t):
+    files = t("pages").select(F.col("url").alias("path"), F.col("html").cast("binary").alias("content"))
+    return store.unvaulted(store.vault(files)).select("path", F.col("content").cast("string").alias("html"))
+
+
 @query("SELECT sha256(html) AS content_hash, url AS path, strlen(html) AS size_bytes FROM pages")
 def vault_files(t):
     files = t("pages").select(F.col("url").alias("path"), F.col("html").cast("binary").alias("content"))

@@ -17,6 +17,7 @@ TABLES = {
     "cos": "session_id string, sequence long, summary string, key_facts array<string>, open_questions array<string>, created_at timestamp",
     "audit_log": "id string, action string, target_type string, target_id string, detail string, outcome string, created_at timestamp",
     "files": "path string, content_hash string, size_bytes long, mime_type string, created_at timestamp",
+    "commits": "packet_version string, used_tier int, confidence double, text string, text_fingerprint string, created_at timestamp",
     "embedding_cache": "text_hash string, model string, embedding array<float>",
 }
 
@@ -86,7 +87,7 @@ def with_embeddings(texts: DataFrame, cache: DataFrame, model: str, text: str =
 
 
 def vault(files: DataFrame) -> DataFrame:
-    """content_hash, path, size_bytes, method, stored_bytes of files (path, content): the smallest of raw, zlib, bz2 and zstandard; files below 128 bytes stay raw."""
+    """content_hash, path, size_bytes, method, stored_bytes, payload of files (path, content): the smallest of raw, zlib, bz2 and zstandard; files below 128 bytes stay raw. unvaulted() gives the contents back."""
 
     def run(batches):
         import bz2
@@ -99,14 +100,34 @@ def vault(files: DataFrame) -> DataFrame:
             rows = []
             for path, data in zip(pdf["path"], pdf["content"]):
                 data = bytes(data)
-                forms = {"raw": len(data)}
+                forms = {"raw": data}
                 if len(data) >= 128:
-                    forms |= {"zstd": len(zstandard.ZstdCompressor(level=19).compress(data)), "zlib": len(zlib.compress(data, 9)), "bz2": len(bz2.compress(data))}
-                best = min(forms, key=lambda k: (forms[k], k))
-                rows.append((hashlib.sha256(data).hexdigest(), path, len(data), best, forms[best]))
-            yield pd.DataFrame(rows, columns=["content_hash", "path", "size_bytes", "method", "stored_bytes"])
+                    forms |= {"zstd": zstandard.ZstdCompressor(level=19).compress(data), "zlib": zlib.compress(data, 9), "bz2": bz2.compress(data)}
+                best = min(forms, key=lambda k: (len(forms[k]), k))
+                rows.append((hashlib.sha256(data).hexdigest(), path, len(data), best, len(forms[best]), forms[best]))
+            yield pd.DataFrame(rows, columns=["content_hash", "path", "size_bytes", "method", "stored_bytes", "payload"])
 
-    return files.select("path", "content").mapInPandas(run, "content_hash string, path string, size_bytes long, method string, stored_bytes long")
+    return files.where("content IS NOT NULL").select("path", "content").mapInPandas(run, "content_hash string, path string, size_bytes long, method string, stored_bytes long, payload binary")
+
+
+def unvaulted(stored: DataFrame) -> DataFrame:
+    """content_hash, path, content of vault() rows; a payload whose content doesn't have its digest is an error."""
+
+    def run(batches):
+        import bz2
+        import hashlib
+        import zlib
+
+        import zstandard
+
+        undo = {"raw": bytes, "zlib": zlib.decompress, "bz2": bz2.decompress, "zstd": lambda x: zstandard.ZstdDecompressor().decompress(x)}
+        for pdf in batches:
+            out = [undo[m](bytes(p)) for m, p in zip(pdf["method"], pdf["payload"])]
+            if any(hashlib.sha256(c).hexdigest() != h for c, h in zip(out, pdf["content_hash"])):
+                raise ValueError("a payload doesn't have its digest")
+            yield pd.DataFrame({"content_hash": pdf["content_hash"], "path": pdf["path"], "content": out})
+
+    return stored.select("content_hash", "path", "method", "payload").mapInPandas(run, "content_hash string, path string, content binary")
 
 
 def vault_stats(stored: DataFrame) -> DataFrame:

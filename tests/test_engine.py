@@ -49,6 +49,24 @@ def test_bank(spark, tmp_path):
     assert e.carried_over("s").first()["prompt"] == "# Carried over (2)\nsecond\n## Facts\n- f1\n- f2\n## Open questions\n- q2"
 
 
+def test_reasoning_commits_and_the_semantic_gate(spark, tmp_path):
+    e = Engine(spark, str(tmp_path))
+    assert e.last_commit().count() == 0
+    e.commit("v1", 3, 0.95, "first")
+    e.commit("v1", 0, 0.7, "second")
+    last = e.last_commit().first()
+    assert (last["text"], last["used_tier"], len(last["text_fingerprint"])) == ("second", 0, 10)
+    e.ingest_text("tides follow the moon and the sun", "a", "user")
+    old, _ = e.add_entry("tides follow the moon", "tides follow the moon and sun", [], ["e1"])
+    # the chunk is near by its vector; its first words find the entry
+    assert [r["id"] for r in e._overlapping("tides follow the moon and the sun").collect()] == [old]
+    assert e._overlapping("nothing alike at all").collect() == []
+    out = e.reason("tides", [{"query": "tides moon", "output": "read", "new_facts": ["f"], "write_title": "spring tides", "write_content": "are higher", "evidence_ids": ["e2"]}, {"query": "moon", "output": "no", "write_title": "x", "write_content": "y"}])
+    assert len(out["written"]) == 1 and out["refused"][0][0] == "x" and out["contexts"][0].count() >= 1
+    assert "- f" in e.carried_over(out["session"]).first()["prompt"]
+    assert "Found" in e.carried_over(e.reason("moon")["session"]).first()["prompt"]
+
+
 def test_blooms(spark):
     rows = spark.createDataFrame([(g, f"tok{g}-{i}") for g in range(3) for i in range(100)], "g int, token string")
     filters = bloom.blooms(rows, "g").cache()

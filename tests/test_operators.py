@@ -186,6 +186,9 @@ def test_vault_prefix(spark):
     v = store.vault(files).cache()
     got = {r["path"]: r for r in v.collect()}
     assert got["a"]["method"] != "raw" and got["b"]["method"] == "raw"
+    assert {r["path"]: bytes(r["content"]) for r in store.unvaulted(v).collect()} == {"a": b"x" * 1000, "b": b"small"}
+    with pytest.raises(Exception, match="digest"):
+        store.unvaulted(v.withColumn("content_hash", F.lit("no"))).collect()
     assert store.by_prefix(v, got["a"]["content_hash"][:10]).count() == 1 and store.by_prefix(v, "").count() == 0
 
 
@@ -327,3 +330,26 @@ def test_keyword_queries_read_postings_only(spark, data):
 def test_summaries_of_odd_texts(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, " \n \n"), (4, "one"), (4, "one"), (None, "a b\nb c\n\nzzz")], "doc_id long, text string")
     assert sorted(((r["doc_id"] or 0), r["summary"], r["n_lines"]) for r in T.gist(docs, 2).collect()) == [(0, "a b\nb c", 2), (4, "one", 1), (4, "one", 1)]
+
+
+def test_pii_spans_by_place(spark):
+    text = "mail a@b.org or 555-123-4567, ssn 123-45-6789 at 10.0.0.1, card 4111 1111 1111 1111"
+    rows = T.pii_spans(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")).collect()
+    assert [(r["kind"], r["value"]) for r in rows] == [("email", "a@b.org"), ("phone", "555-123-4567"), ("ssn", "123-45-6789"), ("ip", "10.0.0.1"), ("credit_card", "4111 1111 1111 1111")]
+    assert all(text[r["span_start"] : r["span_end"]] == r["value"] for r in rows)
+
+
+def test_templates_mined_with_a_bar(spark):
+    lines = [f"job {'ab'[i % 2]} ended on host{i} after {i % 7}s" for i in range(70)] + ["job c ended", "", "other line"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "line_no long, line string")
+    strict = {r["template"]: r["n"] for r in logs.mine_templates(df).collect()}
+    assert strict == {"job <*> ended on <*> after <*>": 70, "job c ended": 1, "": 1, "other line": 1}
+    loose = {r["template"]: r["n"] for r in logs.mine_templates(df, share=0.4).collect()}
+    assert loose["job a ended on <*> after <*>"] == 35 and loose["job b ended on <*> after <*>"] == 35
+    for r in logs.templated(df, share=0.4).collect():
+        assert len(r["slots"]) == r["template"].count("<*>")
+        for s in r["slots"]:
+            r = {"template": r["template"].replace("<*>", s, 1), "line": r["line"], "slots": []}
+        assert r["template"] == r["line"]
+    best = min(logs.tune(df).collect(), key=lambda r: (r["cost"], r["share"]))
+    assert best["cost"] == best["templates"] + 0.1 * best["slots"]
