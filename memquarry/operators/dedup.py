@@ -6,10 +6,11 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memquarry.session import ship
+from memquarry.session import ship, written
 
 LEAST, MOST, MASK = 1024, 16384, 4095
 BANDS, NEAR = 8, 8
@@ -80,31 +81,88 @@ def encode_refs(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
     return chunks.join(first, "chunk").select(key, "pos", "chunk", F.when(full, "FULL").otherwise("REF").alias("kind"), F.col(f"first.{key}").alias("ref_id"), F.col("first.pos").alias("ref_pos"))
 
 
-def encoded_sizes(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, seq, token, size: each content-defined chunk as the smallest of REF (seen before), FULL (compressed) and DELTA (compressed with the preceding chunk of its text as dictionary)."""
+def encoded(chunks: DataFrame, key: str = "doc_id", near: int = NEAR, most: int = 5) -> DataFrame:
+    """key, seq, sha256, token, deps, payload: each content-defined chunk (cdc_chunks) as REF where it arrived before, by (key, seq), else as the smallest of
+
+    FULL, compressed by itself; DELTA, compressed with the most similar chunk of the whole store for dictionary (by SimHash, within `near` bits, earlier, itself without such a chunk, so that no chain of deltas arises); and PRED_DELTA, compressed with the
+    up to `most` chunks that most often stand in a text with the chunk before and arrived earlier. deps are the digests of the dictionary's chunks in order; each counts 32 bytes. decoded() gives the chunks back.
+    """
     import zstandard
 
     ship(chunks.sparkSession)
-    first = chunks.groupBy("sha256").agg(F.min(F.struct(key, "seq")).alias("first"))
-    marked = chunks.join(first, "sha256").withColumn("ref", (F.col(key) != F.col(f"first.{key}")) | (F.col("seq") != F.col("first.seq")))
-    before = F.lag("data").over(Window.partitionBy(key).orderBy("seq"))
-    rows = marked.withColumn("base", before).select(key, "seq", "ref", "data", "base")
+    kind = chunks.schema[key].dataType.simpleString()
+    one = written(chunks.groupBy("sha256").agg(F.min(F.struct(F.col(key).alias("k"), "seq")).alias("place"), F.first("data").alias("data")), "store")
+
+    @F.pandas_udf("long")
+    def similarity(s: pd.Series) -> pd.Series:
+        return s.map(lambda b: simhash64(bytes(b)))
+
+    near_by = written(simhash_pairs(one.select("place", similarity("data").alias("simhash")), "place", near), "near-chunks")
+    later = near_by.select(F.col("id_b").alias("id_a")).distinct()
+    base = near_by.join(later, "id_a", "left_anti").groupBy(F.col("id_b").alias("place")).agg(F.min(F.struct("distance", F.col("id_a").alias("at"))).alias("m")).select("place", F.col("m.at").alias("at"))
+    at = one.select(F.col("place").alias("at"), F.col("sha256").alias("dep"), F.col("data").alias("dep_data"))
+    similar = base.join(at, "at").select("place", F.array("dep").alias("base"), F.col("dep_data").alias("base_data"))
+    before = chunks.select(F.struct(F.col(key).alias("k"), (F.col("seq") + 1).cast("int").alias("seq")).alias("place"), F.col("sha256").alias("a"))
+    guesses = predicted(cooccurrence(chunks.select(F.col(key).alias("doc_id"), F.col("seq").alias("pos"), F.col("sha256").alias("chunk"))), most).select("a", F.col("b").alias("dep"), "rank")
+    asked = one.select("place").join(before, "place").join(guesses, "a").join(at, "dep").where(F.col("at") < F.col("place"))
+    held = F.array_sort(F.collect_list(F.struct("rank", "dep", "dep_data")))
+    likely = asked.groupBy("place").agg(held.alias("h")).select("place", F.transform("h", lambda x: x["dep"]).alias("guess"), F.transform("h", lambda x: x["dep_data"]).alias("guess_data"))
 
     def run(batches):
         plain = zstandard.ZstdCompressor(level=3)
-        for pdf in batches:
+        squeezed = lambda data, known: zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(known, dict_type=zstandard.DICT_TYPE_RAWCONTENT)).compress(data)
+        for b in batches:
             out = []
-            for k, seq, ref, data, base in zip(pdf[key], pdf["seq"], pdf["ref"], pdf["data"], pdf["base"]):
-                if ref:
-                    out.append((k, seq, "REF", 32))
-                    continue
-                full, delta = len(plain.compress(data)), None
-                if base:
-                    delta = 32 + len(zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(bytes(base), dict_type=zstandard.DICT_TYPE_RAWCONTENT)).compress(data))
-                out.append((k, seq, "DELTA", delta) if delta is not None and delta < full else (k, seq, "FULL", full))
-            yield pd.DataFrame(out, columns=[key, "seq", "token", "size"])
-
-    return rows.mapInPandas(run, f"{key} {chunks.schema[key].dataType.simpleString()}, seq int, token string, size long")
+            for row in b.to_pylist():
+                forms = [("FULL", [], plain.compress(row["data"]))]
+                if row["base"] and len(row["base_data"]) >= 8:
+                    forms.append(("DELTA", row["base"], squeezed(row["data"], row["base_data"])))
+                if row["guess"] and len(known := b"".join(row["guess_data"])) >= 8:
+                    forms.append(("PRED_DELTA", row["guess"], squeezed(row["data"], known)))
+                out.append((row["sha256"], row["place"], *min(forms, key=lambda f: len(f[2]) + 32 * len(f[1]))))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), place_type, pa.string(), pa.list_(pa.string()), pa.binary()))], names=["sha256", "place", "token", "deps", "payload"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    place_type = to_arrow_type(one.schema["place"].dataType)
+    rows = one.join(similar, "place", "left").join(likely, "place", "left").select("sha256", "place", "data", "base", "base_data", "guess", "guess_data")
+    coded = written(rows.mapInArrow(run, f"sha256 string, place struct<k:{kind},seq:int>, token string, deps array<string>, payload binary"), "coded")
+    first = (F.col(key) == F.col("place.k")) & (F.col("seq") == F.col("place.seq"))
+    ref = lambda c: F.when(first, F.col(c))
+    return chunks.select(key, "seq", "sha256").join(coded, "sha256").select(key, "seq", "sha256", F.coalesce(ref("token"), F.lit("REF")).alias("token"), F.coalesce(ref("deps"), F.array("sha256")).alias("deps"), ref("payload").alias("payload"))
+
+
+def decoded(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, seq, sha256, data of encoded()'s tokens. Chunks whose dictionaries are known are decoded round by round, FULL ones first, each round written; a chunk's dictionary is always of earlier chunks, so this ends. Data that hasn't its digest is an error."""
+    import zstandard
+
+    ship(tokens.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for row in b.to_pylist():
+                known = b"".join(x["data"] for x in row["known"] or [])
+                options = {"dict_data": zstandard.ZstdCompressionDict(known, dict_type=zstandard.DICT_TYPE_RAWCONTENT)} if known else {}
+                data = zstandard.ZstdDecompressor(**options).decompress(row["payload"])
+                if hashlib.sha256(data).hexdigest() != row["sha256"]:
+                    raise ValueError("a chunk doesn't have its digest")
+                out.append((row["sha256"], data))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.binary())], names=["sha256", "data"])
+
+    coded = written(tokens.where("token <> 'REF'").select("sha256", "deps", "payload"), "coded")
+    schema, none = "sha256 string, data binary", F.lit(None).cast("array<struct<pos:int,data:binary>>").alias("known")
+    done = written(coded.where(F.size("deps") == 0).select("sha256", "payload", none).mapInArrow(run, schema), "chunks")
+    left = coded.where(F.size("deps") > 0)
+    while True:
+        found = left.select("sha256", F.posexplode("deps").alias("pos", "dep")).join(done.select(F.col("sha256").alias("dep"), "data"), "dep").groupBy("sha256").agg(F.array_sort(F.collect_list(F.struct("pos", "data"))).alias("known"))
+        ready = left.join(found, "sha256").where(F.size("known") == F.size("deps"))
+        more = written(ready.select("sha256", "payload", "known").mapInArrow(run, schema), "chunks")
+        if more.isEmpty():
+            break
+        done = done.unionByName(more)
+        left = written(left.join(more.select("sha256"), "sha256", "left_anti"), "left")
+    return tokens.select(key, "seq", "sha256").join(done, "sha256").select(key, "seq", "sha256", "data")
 
 
 def store_stats(chunks: DataFrame) -> DataFrame:

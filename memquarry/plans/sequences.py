@@ -157,8 +157,14 @@ def cdc_chunks(t):
 
 
 @query()
-def dedup_encoded_sizes(t):
-    return D.encoded_sizes(D.cdc_chunks(t("documents")))
+def dedup_encoded(t):
+    coded = D.encoded(D.cdc_chunks(t("documents")))
+    return coded.select("doc_id", "seq", "sha256", "token", F.size("deps").alias("n_deps"), F.octet_length("payload").alias("size"))
+
+
+@query("SELECT doc_id, sha256(text) AS whole FROM documents WHERE strlen(text) > 0")
+def dedup_decoded(t):
+    return D.rebuilt(D.decoded(D.encoded(D.cdc_chunks(t("documents")))))
 
 
 @query("WITH " + _LINES + ", o AS (SELECT chunk, count(*) AS refs, max(length(line)) AS size FROM ch GROUP BY chunk) SELECT count(*) AS unique_chunks, CAST(sum(refs) AS BIGINT) AS total_refs, CAST(sum(size) AS BIGINT) AS unique_chars, round(sum(refs) / count(*), 6) AS dedup_ratio FROM o")

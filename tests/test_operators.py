@@ -353,3 +353,24 @@ def test_templates_mined_with_a_bar(spark):
         assert r["template"] == r["line"]
     best = min(logs.tune(df).collect(), key=lambda r: (r["cost"], r["share"]))
     assert best["cost"] == best["templates"] + 0.1 * best["slots"]
+
+
+def test_chunks_are_coded_against_similar_and_predicted_ones(spark):
+    """A near copy in another document is a delta of the original, every token decodes, and the choice is the smallest of its forms."""
+    import random
+
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    base = " ".join(word() for _ in range(140))
+    edited = base.replace(base.split()[70], "edited", 1)
+    follow = " ".join(word() for _ in range(140))
+    rows = []
+    for d, parts in enumerate([[base, follow], [edited], [base, follow], [base, follow[:400] + follow], ["tiny"], [""]]):
+        rows += [(d, i, hashlib.sha256(p.encode()).hexdigest(), p.encode()) for i, p in enumerate(parts)]
+    chunks = spark.createDataFrame(rows, "doc_id long, seq int, sha256 string, data binary")
+    coded = D.encoded(chunks)
+    got = {(x["doc_id"], x["seq"]): x for x in coded.collect()}
+    assert got[0, 0]["token"] == "FULL" and got[1, 0]["token"] == "DELTA" and got[1, 0]["deps"] == [got[0, 0]["sha256"]]
+    assert got[2, 0]["token"] == got[2, 1]["token"] == got[3, 0]["token"] == "REF" and got[2, 1]["deps"] == [got[0, 1]["sha256"]]
+    assert got[3, 1]["token"] in ("DELTA", "PRED_DELTA") and len(got[3, 1]["payload"]) < 200
+    assert sorted((x["doc_id"], x["seq"], bytes(x["data"])) for x in D.decoded(coded).collect()) == sorted((d, i, p) for d, i, _, p in rows)
