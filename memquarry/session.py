@@ -23,13 +23,13 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives this package to the session's Python workers, once per context, as a zip file that Spark distributes. Arrow batches of a session that leaves Spark's 10,000 rows are set to 2,000, as rows here hold whole texts."""
+    """Gives this package to the session's Python workers, once per context, as a zip file that Spark distributes. Arrow batches of a session that says nothing of their rows are set to 2,000 in place of Spark's 10,000, as rows here hold whole texts."""
     import tempfile
     import zipfile
     from pathlib import Path
 
     batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(batch) == "10000":
+    if not spark._jsparkSession.sessionState().conf().contains(batch):
         spark.conf.set(batch, "2000")
     context = spark.sparkContext
     if getattr(context, "_memquarry_shipped", False):
