@@ -1,4 +1,4 @@
-"""Deduplication and similarity: content-defined chunks, exact and delta encoding, SimHash with bands, Jaccard, co-occurrence, tiers, state differences."""
+"""Deduplication and similarity: content-defined chunks, exact and delta encoding, SimHash by blocks of bits, Jaccard, co-occurrence, tiers, state differences."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from memquarry.session import ship, written
 
 LEAST, MOST, MASK = 1024, 16384, 4095
-BANDS, NEAR = 8, 8
+NEAR = 8
 
 
 def cut_points(data: bytes, least: int = LEAST, most: int = MOST, mask: int = MASK) -> list[int]:
@@ -240,13 +240,21 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def simhash_pairs(hashes: DataFrame, key: str = "doc_id", near: int = NEAR, bands: int = BANDS) -> DataFrame:
-    """id_a < id_b, distance <= near, of hashes that share a band. Equal hashes are joined once, by their least id, so copies aren't compared with one another; a band that many hashes share is split by AQE's skew join."""
+def _block_pairs(h: Column, near: int) -> Column:
+    """A key for every pair of the near + 2 blocks that a hash's 64 bits are cut into: hashes that differ in at most `near` bits have two blocks in common, so at least one key."""
+    n = near + 2
+    edge = [64 * i // n for i in range(n + 1)]
+    block = [F.shiftrightunsigned(h, edge[i]).bitwiseAND(F.lit((1 << (edge[i + 1] - edge[i])) - 1)) for i in range(n)]
+    return F.array(*[F.lit((i * n + j) << 48).bitwiseOR(F.shiftleft(block[i], 24)).bitwiseOR(block[j]) for i in range(n) for j in range(i + 1, n)])
+
+
+def simhash_pairs(hashes: DataFrame, key: str = "doc_id", near: int = NEAR) -> DataFrame:
+    """id_a < id_b, distance <= near, of all hashes that lie so near, none left out. Equal hashes are joined once, by their least id, so copies aren't compared with one another; each other one meets those with two equal blocks of bits, of which the first pair
+    that two hashes share counts; a pair of blocks that many hashes share is split by AQE's skew join."""
     one = hashes.groupBy("simhash").agg(F.min(key).alias("id"))
-    band = F.posexplode(F.array(*[F.shiftrightunsigned("simhash", 64 // bands * i).bitwiseAND(F.lit((1 << (64 // bands)) - 1)) for i in range(bands)])).alias("band", "value")
-    keyed = one.select("id", "simhash", band)
-    a, b = keyed.toDF("id_a", "ha", "band", "value"), keyed.toDF("id_b", "hb", "band", "value")
-    between = a.join(b, ["band", "value"]).where("id_a < id_b").withColumn("distance", hamming(F.col("ha"), F.col("hb"))).where(F.col("distance") <= near).select("id_a", "id_b", "distance").distinct()
+    keyed = one.select("id", "simhash", F.explode(_block_pairs(F.col("simhash"), near)).alias("value"))
+    a, b = keyed.toDF("id_a", "ha", "value"), keyed.toDF("id_b", "hb", "value")
+    between = a.join(b, "value").where("id_a < id_b").withColumn("distance", hamming(F.col("ha"), F.col("hb"))).where(F.col("distance") <= near).select("id_a", "id_b", "distance").distinct()
     copies = hashes.join(one, "simhash").where(F.col(key) > F.col("id")).select(F.col("id").alias("id_a"), F.col(key).alias("id_b"), F.lit(0).alias("distance"))
     return between.unionByName(copies)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from memquarry.functions import vectors as V
 from memquarry.operators import bank, retrieval as R
 from memquarry.operators.keyword_index import postings
+from memquarry.operators.vector_index import CellIndex
 from memquarry.plans.registry import query
 
 TOK = r"regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}]+')"
@@ -157,6 +158,13 @@ def vector_remove(t):
     return R.not_in(t("embeddings").select("vec_id", "label"), gone, "vec_id", "vec_id")
 
 
+@query()
+def vector_cells(t):
+    """Every vector whose id is divisible by 20 against all vectors."""
+    vectors = t("embeddings")
+    return CellIndex(vectors).search(vectors.where("vec_id % 20 = 0"), 10)
+
+
 _BITS = ", ".join(f"CAST(list_sum(list_transform(generate_series(1, 8), lambda i: CASE WHEN embedding[{g} * 8 + i] > 0 THEN CAST(pow(2, i - 1) AS BIGINT) ELSE 0 END)) AS BIGINT) % 64 AS b{g}" for g in range(8))
 
 

@@ -374,3 +374,48 @@ def test_chunks_are_coded_against_similar_and_predicted_ones(spark):
     assert got[2, 0]["token"] == got[2, 1]["token"] == got[3, 0]["token"] == "REF" and got[2, 1]["deps"] == [got[0, 1]["sha256"]]
     assert got[3, 1]["token"] in ("DELTA", "PRED_DELTA") and len(got[3, 1]["payload"]) < 200
     assert sorted((x["doc_id"], x["seq"], bytes(x["data"])) for x in D.decoded(coded).collect()) == sorted((d, i, p) for d, i, _, p in rows)
+
+
+def test_simhash_pairs_are_all_found(spark):
+    import random
+
+    r = random.Random(4)
+    hashes = [r.getrandbits(64) for _ in range(60)]
+    for h in hashes[:40]:
+        x = h
+        for bit in r.sample(range(64), r.randrange(0, 12)):
+            x ^= 1 << bit
+        hashes.append(x)
+    signed = [h - (1 << 64) if h >> 63 else h for h in hashes]
+    rows = spark.createDataFrame(list(enumerate(signed)), "doc_id long, simhash long")
+    got = {(x["id_a"], x["id_b"]): x["distance"] for x in D.simhash_pairs(rows).collect()}
+    want = {(i, j): d for i in range(100) for j in range(i + 1, 100) if (d := bin(hashes[i] ^ hashes[j]).count("1")) <= 8}
+    first = {h: hashes.index(h) for h in hashes}
+    assert got == {(i, j): d for (i, j), d in want.items() if d == 0 and first[hashes[j]] == i or d and first[hashes[i]] == i and first[hashes[j]] == j}
+
+
+def test_cell_index_recall(spark, monkeypatch):
+    """Against exact search, of all vectors whose id is divisible by 20; in blocks, too."""
+    import numpy as np
+
+    from memquarry.operators import vector_index
+    from memquarry.operators.vector_index import CellIndex
+
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = vectors.select("vec_id", "embedding").collect()
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], np.float64)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    for block in (8192, 50):
+        monkeypatch.setattr(vector_index, "BLOCK", block)
+        got = {}
+        for r in CellIndex(vectors).search(vectors.where("vec_id % 20 = 0"), 10).collect():
+            got.setdefault(r["query"], set()).add(r["neighbour"])
+        hits = total = 0
+        for q in ids[ids % 20 == 0]:
+            s = x @ x[np.flatnonzero(ids == q)[0]]
+            s[ids == q] = -2
+            hits += len({*ids[np.argsort(-s)[:10]].tolist()} & got[q])
+            total += 10
+        assert hits >= 0.9 * total, hits / total
+    empty = vectors.limit(0)
+    assert CellIndex(empty).search(empty).collect() == []
