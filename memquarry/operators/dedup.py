@@ -180,9 +180,9 @@ def tiers(chunks: DataFrame, hot_refs: int = 5, hot_most: int = 10_000, idle: in
 
 
 def set_jaccard(sets: DataFrame, key: str, item: str, least: float = 0.3) -> DataFrame:
-    """id_a < id_b, shared, jaccard of all sets (key, item rows) of at least `least`, whatever the number of sets that hold an item.
+    """id_a < id_b, shared, jaccard of all different sets (key, item rows) of at least `least`, whatever the number of sets that hold an item, and of each set's copies with it.
 
-    Equal sets are joined once, by their least key, and expanded at the end. Of the others a pair at `least` shares an item among the first n - ceil(least n) + 1 of each set, the rarest first, so only those propose pairs.
+    Equal sets are one, named by their least key; their other keys are its members, each with one row, and aren't expanded to pairs. Of the others a pair at `least` shares an item among the first n - ceil(least n) + 1 of each set, the rarest first, so only those propose pairs.
     """
     items = F.array_sort(F.collect_set(item))
     held = sets.where(F.col(key).isNotNull() & F.col(item).isNotNull()).groupBy(key).agg(items.alias("items")).withColumn("mark", F.sha2(F.to_json("items"), 256))
@@ -197,11 +197,8 @@ def set_jaccard(sets: DataFrame, key: str, item: str, least: float = 0.3) -> Dat
     both = pairs.join(one.select(F.col("rep").alias("ra"), F.col("items").alias("ia")), "ra").join(one.select(F.col("rep").alias("rb"), F.col("items").alias("ib")), "rb")
     shared = F.size(F.array_intersect("ia", "ib")).cast("long")
     scored = both.select("ra", "rb", shared.alias("shared"), F.round(shared / (F.size("ia") + F.size("ib") - shared), 6).alias("jaccard")).where(F.col("jaccard") >= least)
-    copies = held.join(one.select("mark", "rep"), "mark").select(F.col(key).alias("id"), "rep", F.size("items").cast("long").alias("n"))
-    x, y = copies.select(F.col("id").alias("x"), F.col("rep").alias("ra")), copies.select(F.col("id").alias("y"), F.col("rep").alias("rb"))
-    across = scored.join(x, "ra").join(y, "rb").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "shared", "jaccard")
-    within = copies.select(F.col("id").alias("id_a"), "rep", "n").join(copies.select(F.col("id").alias("id_b"), "rep"), "rep").where("id_a < id_b").select("id_a", "id_b", F.col("n").alias("shared"), F.lit(1.0).alias("jaccard"))
-    return across.unionByName(within)
+    copies = held.join(one.select("mark", "rep"), "mark").where(F.col(key) != F.col("rep")).select(F.col("rep").alias("id_a"), F.col(key).alias("id_b"), F.size("items").cast("long").alias("shared"), F.lit(1.0).alias("jaccard"))
+    return scored.select(F.col("ra").alias("id_a"), F.col("rb").alias("id_b"), "shared", "jaccard").unionByName(copies)
 
 
 def similar_to(sets: DataFrame, key: str, item: str, one, least: float = 0.3) -> DataFrame:

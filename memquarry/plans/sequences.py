@@ -175,7 +175,10 @@ def dedup_stats(t):
 _SETS = _LINES + ", s AS (SELECT DISTINCT doc_id, chunk FROM ch), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1)"
 
 
-@query("WITH " + _SETS + ", k AS (SELECT a.doc_id AS id_a, b.doc_id AS id_b, count(*) AS shared FROM s a JOIN s b ON a.chunk = b.chunk AND a.doc_id < b.doc_id GROUP BY 1, 2) SELECT id_a, id_b, shared, round(shared / (x.n + y.n - shared), 6) AS jaccard FROM k JOIN n x ON x.doc_id = id_a JOIN n y ON y.doc_id = id_b WHERE round(shared / (x.n + y.n - shared), 6) >= 0.3")
+_REPS = _SETS + ", m AS (SELECT doc_id, string_agg(chunk, ',' ORDER BY chunk) AS mark FROM s GROUP BY 1), r AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY mark) AS rep FROM m), one AS (SELECT s.* FROM s JOIN r ON r.doc_id = s.doc_id AND rep = r.doc_id), k AS (SELECT a.doc_id AS id_a, b.doc_id AS id_b, count(*) AS shared FROM one a JOIN one b ON a.chunk = b.chunk AND a.doc_id < b.doc_id GROUP BY 1, 2)"
+
+
+@query("WITH " + _REPS + " SELECT id_a, id_b, shared, round(shared / (x.n + y.n - shared), 6) AS jaccard FROM k JOIN n x ON x.doc_id = id_a JOIN n y ON y.doc_id = id_b WHERE round(shared / (x.n + y.n - shared), 6) >= 0.3 UNION ALL SELECT rep, r.doc_id, n, 1.0 FROM r JOIN n USING (doc_id) WHERE rep <> r.doc_id")
 def line_jaccard(t):
     return D.set_jaccard(D.line_chunks(t("documents")), "doc_id", "chunk")
 
