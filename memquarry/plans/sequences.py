@@ -408,9 +408,9 @@ def sessions_flat(t):
     return sessions.parse_lines(_lines(t, flat=True)).select("file", "role", "content", "idx")
 
 
-@query("SELECT CAST(page_id AS VARCHAR) AS file, 'unknown' AS role, trim(substr(trim(url) || chr(10) || 'seen on ' || url, 1, 5000)) AS content FROM pages")
+@query("WITH g AS (SELECT CAST(page_id AS VARCHAR) AS file, regexp_replace(substr(html || chr(10) || url || chr(10) || 'seen on ' || url, 1, 5000), '^\\s+|\\s+$', '', 'g') AS content FROM pages) SELECT file, 'unknown' AS role, content FROM g WHERE length(content) >= 20")
 def sessions_generic(t):
-    record = F.struct(F.col("url").alias("content"), F.concat(F.lit("seen on "), "url").alias("summary"))
+    record = F.struct(F.col("html").alias("content"), F.array(F.col("url"), F.concat(F.lit("seen on "), "url")).alias("summary"), F.lit("left out").alias("other"))
     lines = t("pages").select(F.col("page_id").cast("string").alias("file"), F.lit(0).cast("long").alias("line_no"), F.to_json(record).alias("line"))
     return sessions.parse_lines(lines).select("file", "role", "content")
 
@@ -428,9 +428,9 @@ def message_adapter(t):
 
 @query("SELECT event_id, event_type AS name, CAST(user_id AS VARCHAR) AS trace_id, props AS attr FROM events")
 def span_adapter(t):
-    e = t("events").select("event_id", F.col("event_type").alias("name"), F.col("user_id").cast("string").alias("trace_id"), F.col("event_id").cast("string").alias("span_id"), F.lit(None).cast("string").alias("parent_id"), F.lit("ok").alias("status"), F.create_map(F.lit("p"), F.replace("props", F.lit(" "), F.lit("_"))).alias("attributes"))
+    e = t("events").select("event_id", F.col("event_type").alias("name"), F.col("user_id").cast("string").alias("trace_id"), F.col("event_id").cast("string").alias("span_id"), F.lit(None).cast("string").alias("parent_id"), F.lit("ok").alias("status"), F.create_map(F.lit("p"), F.col("props")).alias("attributes"))
     back = store.line_spans(store.span_lines(e).select("event_id", "line"))
-    return back.select("event_id", "name", F.col("fields")["trace_id"].alias("trace_id"), F.replace(F.col("fields")["p"], F.lit("_"), F.lit(" ")).alias("attr"))
+    return back.select("event_id", "name", F.col("fields")["trace_id"].alias("trace_id"), F.col("fields")["p"].alias("attr"))
 
 
 @query("SELECT DISTINCT sha256(text) AS text_hash FROM documents WHERE doc_id % 3 <> 0 AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 = 0)")

@@ -39,6 +39,17 @@ class Store:
             return self.spark.createDataFrame([], TABLES[table])
         return self.spark.read.schema(TABLES[table]).parquet(f"{self.root}/{table}")
 
+    def compact(self, table: str, files: int = 1) -> None:
+        """Rewrites a table, into which every write has put files of its own, as a few files. The new folder takes the old one's place by renaming; no other writer may be at work."""
+        jvm, conf, name = self.spark._jvm, self.spark._jsc.hadoopConfiguration(), f"{self.root}/{table}"
+        path = jvm.org.apache.hadoop.fs.Path
+        fs = path(name).getFileSystem(conf)
+        if fs.exists(path(name)):
+            self.table(table).coalesce(files).write.mode("overwrite").parquet(f"{name}.new")
+            fs.rename(path(name), path(f"{name}.old"))
+            fs.rename(path(f"{name}.new"), path(name))
+            fs.delete(path(f"{name}.old"), True)
+
     def newest(self, table: str, limit: int = 100) -> DataFrame:
         return self.table(table).orderBy(F.desc("created_at"), "id").limit(limit)
 
@@ -159,14 +170,30 @@ def line_messages(lines: DataFrame) -> DataFrame:
     return lines.withColumn("role", F.when(known, F.regexp_extract("line", pattern, 1)).otherwise("unknown")).withColumn("content", plain)
 
 
+_ESCAPES = (("%", "%25"), (" ", "%20"), ("=", "%3D"), ("\n", "%0A"))
+
+
+def _escaped(c):
+    for plain, code in _ESCAPES:
+        c = F.replace(c, F.lit(plain), F.lit(code))
+    return c
+
+
+def _plain(c):
+    for plain, code in reversed(_ESCAPES):
+        c = F.replace(c, F.lit(code), F.lit(plain))
+    return c
+
+
 def span_lines(spans: DataFrame) -> DataFrame:
-    """Spans (name, trace_id, span_id, parent_id, status, attributes) as `SPAN name k=v ...` lines, attributes sorted by name."""
-    pairs = F.array_sort(F.transform(F.map_entries("attributes"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
-    fixed = [F.concat(F.lit(f"{c}="), F.coalesce(c, F.lit(""))) for c in ("trace_id", "span_id", "parent_id", "status")]
-    return spans.withColumn("line", F.concat_ws(" ", F.lit("SPAN"), "name", *fixed, F.array_join(pairs, " ")))
+    """Spans (name, trace_id, span_id, parent_id, status, attributes) as `SPAN name k=v ...` lines, attributes sorted by name. Percent signs, blanks, equals signs and line feeds of names, keys and values are written as %25, %20, %3D and %0A; a null value is left out."""
+    pairs = F.array_sort(F.transform(F.filter(F.map_entries("attributes"), lambda e: e["value"].isNotNull()), lambda e: F.concat(_escaped(e["key"]), F.lit("="), _escaped(e["value"]))))
+    fixed = [F.concat(F.lit(f"{c}="), F.coalesce(_escaped(F.col(c)), F.lit(""))) for c in ("trace_id", "span_id", "parent_id", "status")]
+    return spans.withColumn("line", F.concat_ws(" ", F.lit("SPAN"), _escaped(F.col("name")), *fixed, F.array_join(pairs, " ")))
 
 
 def line_spans(lines: DataFrame) -> DataFrame:
     """The name and fields of such lines."""
     rest = F.regexp_extract("line", r"^SPAN \S+ ?(.*)$", 1)
-    return lines.where(F.col("line").startswith("SPAN ")).withColumn("name", F.regexp_extract("line", r"^SPAN (\S+)", 1)).withColumn("fields", F.str_to_map(rest, F.lit(" "), F.lit("=")))
+    fields = F.map_from_entries(F.transform(F.map_entries(F.str_to_map(rest, F.lit(" "), F.lit("="))), lambda e: F.struct(_plain(e["key"]), _plain(e["value"]))))
+    return lines.where(F.col("line").startswith("SPAN ")).withColumn("name", _plain(F.regexp_extract("line", r"^SPAN (\S+)", 1))).withColumn("fields", fields)

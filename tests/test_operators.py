@@ -419,3 +419,10 @@ def test_cell_index_recall(spark, monkeypatch):
         assert hits >= 0.9 * total, hits / total
     empty = vectors.limit(0)
     assert CellIndex(empty).search(empty).collect() == []
+
+
+def test_spans_keep_any_text(spark):
+    rows = [("get a=b", "t 1", "s%20", None, "ok", {"k ey": "a b=c%25\n d", "n": None})]
+    spans = spark.createDataFrame(rows, "name string, trace_id string, span_id string, parent_id string, status string, attributes map<string,string>")
+    (back,) = store.line_spans(store.span_lines(spans).select("line")).collect()
+    assert back["name"] == "get a=b" and back["fields"] == {"trace_id": "t 1", "span_id": "s%20", "parent_id": "", "status": "ok", "k ey": "a b=c%25\n d"}
