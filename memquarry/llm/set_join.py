@@ -32,6 +32,7 @@ BITS = 48
 CHUNK_ROWS = 60_000
 GROUPS, LEAF = 128, 16
 BLOCK, VISITORS = 256, 1024
+HOT = 20_000  # leaves with one item that a task compares; those of more are met in blocks of about as many
 _SPREAD = 4  # ranges of items a partition takes one after another
 _TIE = 1e-9
 
@@ -270,7 +271,8 @@ def _merged(item, leaf, size, rest):
     return item[start], leaf[start], np.minimum.reduceat(size, start), np.maximum.reduceat(rest, start)
 
 
-def _meetings(ranges: int, threshold: float):
+def _meetings(ranges: int, threshold: float, hot: int):
+    """Pairs of leaves; entries of an item that more than `hot` leaves have are passed on instead, to be met in blocks."""
     lows, share = range_starts(ranges), threshold / (1 + threshold)
 
     def pairs(p, rows):
@@ -278,7 +280,11 @@ def _meetings(ranges: int, threshold: float):
         item = np.concatenate([lows[p] + np.cumsum(c[0], dtype=np.uint64) for c in columns])
         item, leaf, size, rest = _merged(item, *(np.concatenate([c[k] for c in columns]).astype(t) for k, t in ((1, np.uint64), (2, np.int64), (3, np.int64))))
         start = np.flatnonzero(np.concatenate(([True], item[1:] != item[:-1])))
-        stop = np.repeat(np.append(start[1:], len(item)), np.diff(np.append(start, len(item))))
+        runs = np.diff(np.append(start, len(item)))
+        if (many := np.repeat(runs > hot, runs)).any():
+            yield item[many], leaf[many], size[many], rest[many]
+            item, leaf, size, rest, runs = item[~many], leaf[~many], size[~many], rest[~many], runs[runs <= hot]
+        stop = np.repeat(np.cumsum(runs), runs)
         i, step, found, count = np.arange(len(item)), 1, [], 0
         while True:  # each entry with the one `step` behind it, as long as items have that many
             i = i[i + step < stop[i]]
@@ -298,8 +304,31 @@ def _meetings(ranges: int, threshold: float):
     def run(batches):
         for (p,), rows in grouped(batches, ["p"]):
             for found in pairs(p, rows):
-                a, b = found.min(axis=1).view(np.int64), found.max(axis=1).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["node_a", "node_b"])
+                if isinstance(found, tuple):
+                    item, leaf, size, rest = (x.astype(np.uint64).view(np.int64) for x in found)
+                    columns = [pa.array(leaf), pa.nulls(len(leaf), pa.int64()), pa.array(item), pa.array(size), pa.array(rest)]
+                else:
+                    a, b = found.min(axis=1).view(np.int64), found.max(axis=1).view(np.int64)
+                    columns = [pa.array(a), pa.array(b), *(pa.nulls(len(a), pa.int64()) for _ in range(3))]
+                yield pa.RecordBatch.from_arrays(columns, names=["node_a", "node_b", "item", "size", "rest"])
+
+    return run
+
+
+def _block_meetings(threshold: float):
+    """The pairs of leaves of two blocks of one item's entries, or of one block."""
+    share = threshold / (1 + threshold)
+
+    def run(batches):
+        for (_, bi, bj), rows in grouped(batches, ["item", "bi", "bj"]):
+            leaf, size, rest, own = (np.array([r[k] for r in rows], np.int64) for k in ("node_a", "size", "rest", "own"))
+            left, right = np.flatnonzero(own == bi), np.flatnonzero(own == bj)
+            for at in range(0, len(left), 1024):
+                x = left[at : at + 1024]
+                i, j = np.nonzero(np.minimum(rest[x][:, None], rest[right][None, :]) >= share * (size[x][:, None] + size[right][None, :]) - _TIE)
+                a, b = leaf[x[i]], leaf[right[j]]
+                a, b = (v[a != b] if bi != bj else v[a < b] for v in (a, b))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a.view(np.uint64), b.view(np.uint64)).view(np.int64)), pa.array(np.maximum(a.view(np.uint64), b.view(np.uint64)).view(np.int64))], names=["node_a", "node_b"])
 
     return run
 
@@ -385,7 +414,15 @@ def links(table: DataFrame, threshold: float) -> DataFrame:
     sets = table.where("items IS NOT NULL").groupBy("mark").agg(F.first(F.struct("n", "node", "items")).alias("s")).select("mark", "s.*")
     sets = written(sets, "set-items")
     met = _by_range(mapped(sets.select("node", "n", "items"), _entries(ranges, threshold), "p int, data binary"), ranges)
-    met = written(mapped(met, _meetings(ranges, threshold), "node_a long, node_b long").distinct(), "leaf-pairs")
+    met = written(mapped(met, _meetings(ranges, threshold, HOT), "node_a long, node_b long, item long, size long, rest long"), "leaf-pairs")
+    hot, met = met.where("item IS NOT NULL"), met.where("item IS NULL").select("node_a", "node_b")
+    if not hot.isEmpty():
+        parts = hot.groupBy("item").agg(F.ceil(F.count(F.lit(1)) / HOT).cast("int").alias("parts"))
+        placed = hot.join(parts, "item").withColumn("own", F.pmod(F.xxhash64("node_a"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        placed = placed.select("item", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "own", "node_a", "size", "rest")
+        placed = placed.repartition(ranges // _SPREAD, "item", "bi", "bj").sortWithinPartitions("item", "bi", "bj")
+        met = met.unionByName(mapped(placed, _block_meetings(threshold), "node_a long, node_b long"))
+    met = met.distinct()
     count = sets.groupBy("node").agg(F.count(F.lit(1)).alias("c"))
     pairs = met.join(count.toDF("node_a", "ca"), "node_a").join(count.toDF("node_b", "cb"), "node_b")
     larger = F.col("ca") >= F.col("cb")

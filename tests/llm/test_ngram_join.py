@@ -113,7 +113,8 @@ def test_groups_of_near_copies_over_several_blocks(spark, table, monkeypatch):
     rows = [(i, t) for i, t in enumerate([*family(r, 60), *family(r, 2), *(" ".join(words(r, 50)) for _ in range(40)), "a shared head " * 20])]
     rows += [(1000 + i, t) for i, (_, t) in enumerate(rows[:30])]
     # blocks and parties are cut by the driver's plan, small ranges of items by the workers' functions
-    for block, visitors in ((256, 1024), (8, 16), (3, 1)):
+    for block, visitors, hot in ((256, 1024, 20_000), (8, 16, 20_000), (3, 1, 2)):
+        monkeypatch.setattr(S, "HOT", hot)
         monkeypatch.setattr(S, "BLOCK", block)
         monkeypatch.setattr(S, "VISITORS", visitors)
         assert pairs(J.ngram_pairs(table(rows))) == brute(rows)
@@ -183,3 +184,13 @@ def test_other_lengths(table, n):
     rows = [(1, "one two three four five six"), (2, "one two three four five seven"), (3, "one two"), (4, "two one"), (5, "one two")]
     got = pairs(J.ngram_pairs(table(rows), n=n, threshold=0.3))
     assert got == {k: v for k, v in brute(rows, 0.3, n).items()}
+
+
+def test_items_of_many_leaves_are_met_in_blocks(table, monkeypatch):
+    """Short texts that share single grams in many ways, so that items lie in many leaves; the pairs are the same in blocks of any size."""
+    r = random.Random(21)
+    rows = [(i, " ".join(r.choice("abc") for _ in range(r.randrange(4, 9)))) for i in range(120)]
+    want = brute(rows)
+    for hot in (2, 7, 20_000):
+        monkeypatch.setattr(S, "HOT", hot)
+        assert pairs(J.ngram_pairs(table(rows))) == want
