@@ -57,10 +57,15 @@ def _linked(docs: DataFrame, n: int, threshold: float, doc_id: str, text: str) -
 
 def linked_sets(table: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The three tables of _linked() from set_join.keyed()'s."""
+    own, prints = marked_sets(table)
+    return own, prints, written(links(table, threshold), "set-links")
+
+
+def marked_sets(table: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The first two tables of _linked() from set_join.keyed()'s."""
     own = table.select("doc_id", "mark").distinct()
     prints = own.where("mark IS NOT NULL").groupBy("mark").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members"))
-    prints = written(prints, "set-marks")
-    return own, prints, written(links(table, threshold), "set-links")
+    return own, written(prints, "set-marks")
 
 
 def _edges(own: DataFrame, prints: DataFrame, found: DataFrame) -> DataFrame:

@@ -5,18 +5,19 @@ xor-ed into a key and, hashed, into a check. Subtracting two sketches cancels wh
 stops early, the pair is tried again with four times the cells, until it succeeds, so results are exact.
 
 Versions are documents whose sets of paragraphs have a Jaccard similarity of at least a threshold, all of them, found by set_join. A document is held against the version it is most like among those of smaller ids.
+Boilerplate makes versions of all documents that have it beside one paragraph of their own, and their pairs grow as the square of the input. Such documents share one core (set_join.by_core); links are found between cores and counted for all documents of a core, never listed.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memquarry.llm.common import mapped, mix64, written
-from memquarry.llm.ngram_join import classed, linked_sets, ngram_pairs
-from memquarry.llm.set_join import BITS, keyed, marks_of
+from memquarry.llm.ngram_join import components, marked_sets, ngram_pairs
+from memquarry.llm.set_join import BITS, by_core, keyed, links, marks_of
 
 CELLS, GROW, THRESHOLD = 48, 4, 0.5
 _PARTS = 3
@@ -149,15 +150,36 @@ def version_differences(docs: DataFrame, threshold: float = THRESHOLD, doc_id: s
     """
     kind = docs.schema[doc_id].dataType.simpleString()
     digests = written(paragraph_digests(docs, doc_id, text), "digests")
-    own, prints, found = linked_sets(keyed(digests.select("doc_id", F.col("digests").alias("text")), _as_items, threshold, "paragraph-sets"), threshold)
-    rep = prints.select("mark", "rep")
-    pairs = found.join(rep.toDF("mark_a", "x"), "mark_a").join(rep.toDF("mark_b", "y"), "mark_b").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
+    table = keyed(digests.select("doc_id", F.col("digests").alias("text")), _as_items, threshold, "paragraph-sets")
+    own, prints = marked_sets(table)
+    core_of, cores = by_core(table, threshold)
+    found = written(links(cores, threshold), "core-links").toDF("core", "other", "jaccard")
+    sets = written(core_of.join(prints, "mark"), "sets-of-cores")
+    sums = written(sets.groupBy("core").agg(F.min("rep").alias("first"), F.sum("members").alias("docs")), "core-sums")
+    common = F.length("items") / (BITS // 8)
+    alike = cores.select(F.col("mark").alias("core"), F.col("mark").alias("other"), (common / (2 * F.col("n") - common)).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    met = found.unionByName(found.select(F.col("other").alias("core"), F.col("core").alias("other"), "jaccard")).unionByName(alike)
+    met = written(met.join(sums.withColumnRenamed("core", "other"), "other").select("core", "jaccard", "first", "docs", (F.col("core") == F.col("other")).alias("itself")), "cores-met")
+
     # a set's least id is the only one whose base may lie in another set; its copies have it for their base
-    best = written(pairs.groupBy("doc_b").agg(F.max(F.struct("jaccard", (-F.col("doc_a")).alias("less"))).alias("b")).select((-F.col("b.less")).cast(kind).alias("doc_a"), "doc_b"), "bases")
+    steps = met.groupBy("core", "jaccard").agg(F.min("first").alias("doc_a"))
+    before = F.max("jaccard").over(Window.partitionBy("core").orderBy("doc_a").rowsBetween(Window.unboundedPreceding, -1))
+    steps = steps.withColumn("before", before).where("before IS NULL OR jaccard > before")  # a core's least ids that are more alike than all lesser ones, so of those below a set's id the largest is its base
+    best = written(sets.join(steps, "core").where("doc_a < rep").groupBy(F.col("rep").alias("doc_b")).agg(F.max("doc_a").alias("doc_a")).select("doc_a", "doc_b"), "bases")
     apart = _peeled(kind, digests, best, cells).toDF("base_id", "doc_id", "n_only_base", "n_only_doc", "only_base", "only_doc")
-    same = own.join(rep, "mark").where("doc_id <> rep").select(F.col("rep").alias("base_id"), "doc_id", F.lit(0).cast("long").alias("n_only_base"), F.lit(0).cast("long").alias("n_only_doc"), F.lit("").alias("only_base"), F.lit("").alias("only_doc"))
+    within = own.join(prints, "mark").where("doc_id <> rep").select(F.col("rep").alias("base_id"), "doc_id")
+    same = within.select("base_id", "doc_id", F.lit(0).cast("long").alias("n_only_base"), F.lit(0).cast("long").alias("n_only_doc"), F.lit("").alias("only_base"), F.lit("").alias("only_doc"))
+
+    outer = met.groupBy("core").agg(F.sum("docs").alias("docs"), F.max("itself").alias("itself"))
+    per_set = sets.join(outer, "core").select("mark", (F.col("docs") - F.when(F.col("itself"), F.col("members")).otherwise(0)).alias("outer"))
+    counted = own.join(prints.join(per_set, "mark", "left"), "mark", "left").select("doc_id", (F.col("members") - 1 + F.coalesce("outer", F.lit(0))).alias("n_links"))
+    # all sets of a core that has any link are linked over it, so one star for each core will do
+    stars = sets.join(outer, "core", "left_semi").join(sums, "core").where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b"))
+    across = found.join(sums.select("core", F.col("first").alias("a")), "core").join(sums.select(F.col("core").alias("other"), F.col("first").alias("b")), "other").select("a", "b")
+    groups = components(within.toDF("a", "b").unionByName(stars).unionByName(across)).toDF("doc_id", "class_id")
+
     every = docs.select(F.col(doc_id).alias("doc_id")).where("doc_id IS NOT NULL").distinct()
-    classes = every.join(classed(own, prints, found), "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    classes = every.join(counted, "doc_id", "left").join(groups, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").cast(kind).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     return classes.join(apart.unionByName(same), "doc_id", "left").select("doc_id", "class_id", "n_links", "base_id", "n_only_base", "n_only_doc", "only_base", "only_doc")
 
 

@@ -408,6 +408,24 @@ def block_links(rows: list[dict], threshold: float) -> list[tuple]:
     return out
 
 
+def by_core(table: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """mark, core of the sets of keyed() that may have a partner; and mark, n, node, items of each core, which links() takes as a set. Both are written.
+
+    A set's core is what another set can share with it and how many items it has: of two sets all that their similarity depends on. So sets of one core have the same links but for their own, and are one point of the join however many they are.
+    keyed() counts rows; here items are counted again in different sets that may have a partner, so copies of a set, or sets without a partner, don't keep an item in the core.
+    """
+    wide = BITS // 8
+    sets = table.where("items IS NOT NULL").groupBy("mark").agg(F.first(F.struct("n", "node", "items")).alias("s")).select("mark", "s.*")
+    cut = F.transform(F.sequence(F.lit(0), (F.length("items") / wide).cast("int") - 1), lambda i: F.substring(F.col("items"), i * wide + 1, F.lit(wide)))
+    cut = written(sets.where(F.length("items") > 0).select("mark", "n", "node", F.posexplode(cut).alias("at", "item")), "set-pieces")
+    shared = cut.groupBy("item").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("item")
+    left = cut.join(shared, "item").groupBy("mark").agg(F.first("n").alias("n"), F.first("node").alias("node"), F.array_sort(F.collect_list(F.struct("at", "item"))).alias("left"))
+    left = left.where(F.size("left") >= threshold * F.col("n") - _TIE).select("mark", "n", "node", F.unhex(F.array_join(F.transform("left", lambda x: F.hex(x["item"])), "")).alias("items"))
+    left = written(left.withColumn("core", F.unhex(F.md5(F.concat(F.encode(F.concat(F.col("n").cast("string"), F.lit(":")), "utf-8"), F.col("items"))))), "set-cores")
+    cores = left.groupBy(F.col("core").alias("mark")).agg(F.first("n").alias("n"), F.min("node").alias("node"), F.first("items").alias("items"))
+    return left.select("mark", "core"), written(cores, "cores")
+
+
 def links(table: DataFrame, threshold: float) -> DataFrame:
     """mark_a < mark_b, jaccard: all pairs of different sets of keyed() that reach the threshold it was made with."""
     spark, ranges = table.sparkSession, ranges_of(table.sparkSession)

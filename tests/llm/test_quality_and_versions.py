@@ -158,6 +158,38 @@ def test_versions_that_share_no_least_digest(table):
     assert sorted(map(tuple, P.version_differences(table(rows)).collect())) == plain_versions(rows)
 
 
+def test_versions_over_boilerplate_are_counted_not_listed(table, monkeypatch):
+    from memquarry.llm import ngram_join, set_join
+
+    most = []
+
+    def written(df, name):
+        out = plain(df, name)
+        most.append((out.count(), name))
+        return out
+
+    plain = set_join.written
+    for module in (P, ngram_join, set_join):
+        monkeypatch.setattr(module, "written", written)
+    rows = [(i, f"paragraph {i}\nshared by all\nand this, too") for i in range(300)]
+    rows += [(300 + i, t) for i, (_, t) in enumerate(rows[:90])]  # copies, whose own paragraphs aren't of one row
+    assert sorted(map(tuple, P.version_differences(table(rows)).collect())) == plain_versions(rows)
+    assert max(most)[0] <= 4 * len(rows), max(most)
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.75])
+def test_versions_of_mixed_boilerplate(table, threshold):
+    r = random.Random(21)
+    common, rows = [f"line {k}" for k in range(6)], []
+    for i in range(260):
+        own = [f"own {i} {k}" for k in range(r.choice([0, 1, 1, 2, 3]))]
+        rows.append((r.randrange(10_000) * 300 + i, "\n".join(r.sample(common, r.randrange(5)) + own)))
+    for i, (_, text) in enumerate(rows[:80]):
+        rows.append((r.randrange(10_000) * 300 + 260 + i % 40, text if i % 3 else "\n".join([*text.split("\n")[1:], f"new {i}"])))
+    rows.append((5, "\n".join(common)))
+    assert sorted(map(tuple, P.version_differences(table(rows), threshold).collect())) == plain_versions(rows, threshold)
+
+
 def test_version_odd_tables(odd, table):
     from odd import ODD
 
