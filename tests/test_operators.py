@@ -426,3 +426,38 @@ def test_spans_keep_any_text(spark):
     spans = spark.createDataFrame(rows, "name string, trace_id string, span_id string, parent_id string, status string, attributes map<string,string>")
     (back,) = store.line_spans(store.span_lines(spans).select("line")).collect()
     assert back["name"] == "get a=b" and back["fields"] == {"trace_id": "t 1", "span_id": "s%20", "parent_id": "", "status": "ok", "k ey": "a b=c%25\n d"}
+
+
+def test_simhash_nearest_without_pairs(spark):
+    """Against brute force over equal, like and far hashes: the nearest, and the nearest root before each, in one block and in several; and hashes of which all pairs lie near, whose number is their square."""
+    import random
+
+    r = random.Random(9)
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    hashes = [r.getrandbits(64) for _ in range(40)]
+    for h in hashes[:40] * 3:
+        for bit in r.sample(range(64), r.randrange(0, 12)):
+            h ^= 1 << bit
+        hashes.append(h)
+    r.shuffle(hashes)
+    apart = lambda i, j: bin(hashes[i] ^ hashes[j]).count("1")
+    first = [hashes.index(h) for h in hashes]
+    reps = sorted(set(first))
+    want = {}
+    for i in range(len(hashes)):
+        near = [(0, first[i])] if first[i] < i else [(apart(i, j), j) for j in range(len(hashes)) if j != i and (first[j] == j or first[j] == i)]
+        if near and min(near)[0] <= 8:
+            want[i] = min(near)
+    rows = spark.createDataFrame([(i, signed(h)) for i, h in enumerate(hashes)], "doc_id long, simhash long")
+    assert {x["id"]: (x["distance"], x["nearest"]) for x in D.simhash_nearest(rows).collect()} == want
+    roots = [i for i in reps if not any(apart(i, j) <= 8 for j in reps if j < i)]
+    behind = {i: min((apart(i, j), j) for j in roots if j < i) for i in reps if any(apart(i, j) <= 8 for j in roots if j < i)}
+    behind |= {i: (0, f) for i, f in enumerate(first) if f < i and f in roots}
+    places = rows.select(F.struct(F.lit("x").alias("k"), F.col("doc_id").cast("int").alias("seq")).alias("id"), "simhash")
+    assert {x["id"]["seq"]: x["at"]["seq"] for x in D._earlier_roots(places, 8).collect()} == {i: j for i, (d, j) in behind.items() if d <= 8}
+    few = rows.where(F.col("doc_id").isin(reps)).withColumnRenamed("doc_id", "id")
+    one = {tuple(x) for x in D.nearest_hashes(few, few).collect()}
+    assert one == {tuple(x) for x in D.nearest_hashes(few, few, least_tasks=2, block=30).collect()} and len(one) > 50
+    dense = spark.range(4000).select(F.col("id").alias("doc_id"), F.shiftleft(F.col("id"), 3).alias("simhash"))
+    found = D.simhash_nearest(dense)
+    assert found.count() == 4000 and found.where("distance <> 1").count() == 0
