@@ -76,3 +76,15 @@ def test_blooms(spark):
     assert hits.where("NOT h").count() == 0
     rate = bloom.false_positive_rate(filters, spark.createDataFrame([(f"new{i}",) for i in range(500)], "token string")).first()["rate"]
     assert rate < 0.01
+
+
+def test_false_positives_of_many_filters_and_tokens(spark):
+    """Every token against every filter, as bits: the rate is that of single tests, over more filters than a row of bits holds; none where there is nothing to test; and a cross join isn't in the plan."""
+    rows = spark.range(3000).select((F.col("id") % 150).alias("g"), F.concat(F.lit("tok"), "id").alias("token"))
+    filters = bloom.blooms(rows, "g", bits=256)
+    unseen = spark.range(700).select(F.concat(F.lit("new"), "id").alias("token"))
+    want = filters.crossJoin(unseen).agg(F.avg(bloom.might_hold(F.col("bloom"), F.col("token"), 256).cast("double")).alias("rate")).first()["rate"]
+    got = bloom.false_positive_rate(filters, unseen, bits=256)
+    assert got.first()["rate"] == want > 0
+    assert "BroadcastNestedLoopJoin" not in got._jdf.queryExecution().toString() and "CartesianProduct" not in got._jdf.queryExecution().toString()
+    assert bloom.false_positive_rate(filters, unseen.limit(0), bits=256).first()["rate"] is None
