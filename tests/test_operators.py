@@ -461,3 +461,14 @@ def test_simhash_nearest_without_pairs(spark):
     dense = spark.range(4000).select(F.col("id").alias("doc_id"), F.shiftleft(F.col("id"), 3).alias("simhash"))
     found = D.simhash_nearest(dense)
     assert found.count() == 4000 and found.where("distance <> 1").count() == 0
+
+
+def test_cdc_rebuilt_has_every_text(spark, tmp_path):
+    """Texts without chunks, too: empty and null ones."""
+    import compare
+    from memquarry.plans import registry, sequences  # noqa: F401
+
+    folder = str(tmp_path)
+    rows = [(1, "a"), (2, ""), (3, None), (4, "é" * 3000 + "x" * 20000)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    compare.same(registry.QUERIES["cdc_rebuilt"](spark, folder), compare.tables(folder), registry.ORACLE_SQL["cdc_rebuilt"])
