@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import re
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,9 +42,75 @@ def _ngrams(events: DataFrame, by: str, order: list[str], event: str, least: int
 
 
 def motifs(events: DataFrame, by: str, order: list[str], event: str, least: int = 3, most: int = 10, repeats: int = 2) -> DataFrame:
-    """by, motif, n, occurrences, first_start, weight (occurrences times n) of runs of least to most events that occur at least `repeats` times in a sequence, overlaps included."""
-    grams = _ngrams(events, by, order, event, least, most)
-    return grams.groupBy(by, "motif", "n").agg(F.count(F.lit(1)).alias("occurrences"), F.min("start").cast("long").alias("first_start")).where(F.col("occurrences") >= repeats).withColumn("weight", F.col("occurrences") * F.col("n"))
+    """by, motif, n, occurrences, first_start, weight (occurrences times n) of runs of least to most events that occur at least `repeats` times in a sequence, overlaps included.
+
+    Sequences come in order and are counted in memory one at a time, so only events are shuffled: a run of n events is numbered by that of its first n - 1 and its last one, which takes one sort of the sequence for each length.
+    """
+    ship(events.sparkSession)
+    schema = f"{by} {events.schema[by].dataType.simpleString()}, motif string, n int, occurrences long, first_start long"
+
+    def spelled(labels):
+        """Runs by their spelling, where an event is null (it is left out of each window) or holds the separator, so different runs may be spelled alike."""
+        found: dict = {}
+        for i in range(len(labels)):
+            ahead = [x for x in labels[i : i + most] if x is not None]
+            for n in range(least, len(ahead) + 1):
+                at = found.setdefault((">".join(ahead[:n]), n), [0, i + 1])
+                at[0] += 1
+        return [(m, n, k, start) for (m, n), (k, start) in found.items() if k >= repeats]
+
+    def counted(codes, names, plain):
+        labels = [names[c] for c in codes] if not plain else None
+        if labels is not None:
+            return spelled(labels)
+        out, run = [], codes
+        for n in range(2, most + 1):
+            if len(codes) < n:
+                break
+            run = run[: len(codes) - n + 1] * len(names) + codes[n - 1 :]
+            _, first, run, k = np.unique(run, return_index=True, return_inverse=True, return_counts=True)
+            if n >= least:
+                for i in np.flatnonzero(k >= repeats):
+                    out.append((">".join(names[c] for c in codes[first[i] : first[i] + n]), n, int(k[i]), int(first[i]) + 1))
+        return out
+
+    def run(batches):
+        def rows(key, parts):
+            e = pa.chunked_array(parts).combine_chunks().dictionary_encode(null_encoding="encode")
+            names = e.dictionary.to_pylist()
+            plain = least >= 2 and all(x is not None and ">" not in x and x for x in names)
+            return [(key, *r) for r in counted(e.indices.to_numpy(zero_copy_only=False).astype(np.int64), names, plain)]
+
+        key, parts, ready = None, [], []
+
+        def batch():
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in ready], t) for k, t in enumerate((kind, pa.string(), pa.int32(), pa.int64(), pa.int64()))], names=[by, "motif", "n", "occurrences", "first_start"])
+
+        for b in batches:
+            keys = b.column(0)
+            ends = pc.run_end_encode(keys).run_ends.to_pylist() if len(keys) else []
+            start = 0
+            for end in ends:
+                this = keys[start].as_py()
+                if parts and this != key:
+                    ready += rows(key, parts)
+                    parts = []
+                key = this
+                parts.append(b.column(1).slice(start, end - start))
+                start = end
+                if len(ready) > 20_000:
+                    yield batch()
+                    ready = []
+        if parts:
+            ready += rows(key, parts)
+        if ready:
+            yield batch()
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = to_arrow_type(events.schema[by].dataType)
+    held = events.repartition(by).sortWithinPartitions(by, *order).select(by, event)
+    return held.mapInArrow(run, schema).withColumn("weight", F.col("occurrences") * F.col("n"))
 
 
 def longest_known(events: DataFrame, by: str, order: list[str], event: str, least: int = 3, most: int = 10) -> DataFrame:
