@@ -498,3 +498,43 @@ def test_equal_lines_are_mined_once(spark):
     assert {r["template"]: r["n"] for r in mined.where("template <> ''").collect()} == {"job <*> ok": 9, "other": 2}
     assert {r["template"]: r["n"] for r in logs.mine_templates(lines, share=0.5).where("template <> ''").collect()} == {"job a ok": 5, "job <*> ok": 4, "other": 2}
     assert "LogicalRDD" not in mined._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_motifs_of_sequences_in_memory(spark):
+    """By brute force, with sequences over several batches, null keys, null events and names that hold the separator; only events are shuffled."""
+    import random
+
+    r = random.Random(3)
+    rows = [(r.choice([1, 2, 3, None]), i, r.choice("ab")) for i in range(400)] + [(9, i, r.choice(["a", "a>b", "b", None])) for i in range(400, 450)]
+    events = spark.createDataFrame(rows, "u long, at long, e string")
+    want: dict = {}
+    for u in (1, 2, 3, None, 9):
+        seq = [e for k, _, e in rows if k == u]
+        for i in range(len(seq)):
+            ahead = [e for e in seq[i : i + 10] if e is not None]
+            for n in range(3, len(ahead) + 1):
+                k, first = want.get((u, ">".join(ahead[:n]), n), (0, i + 1))
+                want[u, ">".join(ahead[:n]), n] = (k + 1, first)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = S.motifs(events, "u", ["at"], "e")
+        got = {(x["u"], x["motif"], x["n"]): (x["occurrences"], x["first_start"]) for x in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == {m: v for m, v in want.items() if v[0] > 1}
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2 and "HashAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cooccurrence_sums_shared_pairs_only(spark):
+    """Chunks of one set, of several, repeated ones and copies of a set, by counting places."""
+    import random
+    from collections import Counter
+
+    r = random.Random(8)
+    docs = [[r.choice("abcdefgh") if r.random() < 0.6 else f"own{d}{r.randrange(3)}" for _ in range(r.randrange(1, 9))] for d in range(40)]
+    docs += docs[:5]
+    rows = spark.createDataFrame([(d, p, c) for d, cs in enumerate(docs) for p, c in enumerate(cs)], "doc_id long, pos int, chunk string")
+    want = Counter((a, b) for cs in docs for i, a in enumerate(cs) for j, b in enumerate(cs) if i != j)
+    got = D.cooccurrence(rows).collect()
+    assert len(got) == len(want) and {(x["a"], x["b"]): x["cnt"] for x in got} == want
