@@ -538,3 +538,9 @@ def test_cooccurrence_sums_shared_pairs_only(spark):
     want = Counter((a, b) for cs in docs for i, a in enumerate(cs) for j, b in enumerate(cs) if i != j)
     got = D.cooccurrence(rows).collect()
     assert len(got) == len(want) and {(x["a"], x["b"]): x["cnt"] for x in got} == want
+    full = {tuple(x[c] for c in ("a", "b", "cnt", "rank")) for k in (1, 3) for x in D.predicted(D.cooccurrence(rows), k).collect()}
+    some = {tuple(x[c] for c in ("a", "b", "cnt", "rank")) for k in (1, 3) for x in D.predicted_chunks(rows, k).collect()}
+    assert some == full and len(some) > 50
+    for a in {a for a, _ in want}:
+        best = sorted(((-n, b) for (x, b), n in want.items() if x == a))[:3]
+        assert {(a, b, -n, i + 1) for i, (n, b) in enumerate(best)} <= some
